@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,62 +91,77 @@ def backward_sample(words: Words, lattice, keys: np.ndarray) -> tuple[np.ndarray
     return out, taken
 
 
+PART_BYTES = 3 << 20  # text whose lattices are in memory at a time
+
+
+def segment(part: pa.RecordBatch, vocab: Vocabulary, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled pieces of all texts of a batch end to end and the bounds of each text's; the same of their bytes."""
+    data, offsets = text_bytes(part)
+    words = distinct_words(data, offsets)
+    bounds = np.searchsorted(words.starts, offsets)
+    key = mix64(pc.fill_null(part.column("key"), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    number = np.arange(len(words.code)) - np.repeat(bounds[:-1], np.diff(bounds))
+    keys = mix64(np.repeat(key, np.diff(bounds)) ^ mix64(number.astype(np.uint64)))
+    ids, taken = backward_sample(words, forward_filter(words, vocab, temperature), keys)
+    return ids, np.concatenate(([0], np.cumsum(taken)))[bounds], data, offsets
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0, vocab: Vocabulary | None = None, path: str = VOCAB_PATH) -> DataFrame:
-    """Adds piece_ids array<int>: one sampled segmentation of each text, seeded by the row's id."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocab or load_vocabulary(path))
+    """(id, piece_ids array<int>): one sampled segmentation of each text, seeded by the row's id."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab or load_vocabulary(path))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_parts(batch, limit=8 << 20):
-                data, offsets = text_bytes(part)
-                words = distinct_words(data, offsets)
-                bounds = np.searchsorted(words.starts, offsets)
-                key = mix64(pc.fill_null(part.column("key"), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                number = np.arange(len(words.code)) - np.repeat(bounds[:-1], np.diff(bounds))
-                keys = mix64(np.repeat(key, np.diff(bounds)) ^ mix64(number.astype(np.uint64)))
-                ids, taken = backward_sample(words, forward_filter(words, shared.value, temperature), keys)
-                counts = np.concatenate(([0], np.cumsum(taken)))[bounds]
+            for part in text_parts(batch, limit=PART_BYTES):
+                ids, bounds, _, _ = segment(part, shared.value, temperature)
                 absent = part.column("text").is_null().to_numpy(zero_copy_only=False)
-                lists = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), pa.array(ids), mask=pa.array(absent)) if len(absent) else pa.array([], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), lists], ["id", "text", "piece_ids"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(absent))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "piece_ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"))
-    return rows.mapInArrow(sample, "id long, text string, piece_ids array<int>").withColumnsRenamed({"id": id_col, "text": text_col})
+    return keyed(docs, id_col, text_col, seed).mapInArrow(sample, "id long, piece_ids array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), vocab: Vocabulary | None = None, path: str = VOCAB_PATH) -> DataFrame:
-    """(id, keep..., piece_ids, decoded string): the text that each row's pieces spell."""
+def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocab: Vocabulary | None = None, path: str = VOCAB_PATH) -> DataFrame:
+    """(keep..., decoded string): the text that each row's piece_ids spell."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocab or load_vocabulary(path))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                lists = part.column("piece_ids")
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                data, ends = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-                raw = data.tobytes()
-                absent = lists.is_null().to_pylist()
-                texts = [None if gone else raw[a:b].decode() for gone, a, b in zip(absent, offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
-
-    rows = encoded.select(id_col, *keep, "piece_ids")
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+            texts = []
+            for ids in batch.column("piece_ids"):
+                texts.append(None if ids.as_py() is None else shared.value.decode(ids.values.to_numpy().astype(np.int64))[0].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "decoded"])
+
+    rows = encoded.select(*keep, "piece_ids")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop("piece_ids").dtypes)
     return rows.mapInArrow(spell, f"{schema}, decoded string")
 
 
-def round_trip(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
-    """Digest of encoding and decoding every text: piece count, hash of the ids, exactness."""
-    encoded = encode(docs, seed=seed, **options)
-    decoded = decode(encoded, keep=("text",), **options)
-    return decoded.select(
-        "doc_id",
-        F.when(F.col("piece_ids").isNull(), 0).otherwise(F.size("piece_ids")).cast("long").alias("n_pieces"),
-        F.xxhash64("piece_ids").alias("piece_digest"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
-    )
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0, vocab: Vocabulary | None = None, path: str = VOCAB_PATH) -> DataFrame:
+    """(id, n_pieces, piece_digest, lossless): encode and decode every text in one pass.
+
+    piece_digest: XXH64 of the ids as 32-bit little-endian numbers, null for a null text;
+    lossless: whether the decoded bytes are the text's.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab or load_vocabulary(path))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch, limit=PART_BYTES):
+                ids, bounds, data, offsets = segment(part, shared.value, temperature)
+                spelt, ends = shared.value.decode(ids.astype(np.int64))
+                at = np.concatenate(([0], ends))[bounds]
+                exact = [np.array_equal(spelt[a:b], data[c:d]) for a, b, c, d in zip(at[:-1], at[1:], offsets[:-1], offsets[1:])]
+                raw = ids.astype("<i4")
+                digest = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.uint64).view(np.int64)
+                absent = part.column("text").is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digest, mask=absent), pa.array(exact, pa.bool_())], ["id", "n_pieces", "piece_digest", "lossless"])
+
+    return keyed(docs, id_col, text_col, seed).mapInArrow(sample, "id long, n_pieces long, piece_digest long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def op6_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
