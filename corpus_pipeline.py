@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import op4_simhash, op5_language_id, op6_sampling, op7_chunks, op9_decontaminate
-from tidemark.llm.common import crc_bucket, materialize, table
+from tidemark.llm.common import bounded_batches, crc_bucket, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told: some letter, and a posterior of 0.5."""
+    bounded_batches(spark)
     model = op5_language_id.fit(docs, crc_bucket(F.col("id"), 4) != 2)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     told = op5_language_id.predict(docs, model, keep=others)
@@ -25,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of every SimHash component; repeated rows are one document."""
+    bounded_batches(spark)
     found = op4_simhash.near_duplicates(docs.select("doc_id", "text"))
     firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
     firsts = materialize(firsts.withColumnRenamed("doc_id", "first_id"), "firsts")
@@ -36,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of all documents but their first; drops texts left blank."""
+    bounded_batches(spark)
     cut = op7_chunks.remove_passages(docs.withColumn("had_text", F.trim("text") != ""), op7_chunks.repeated_passages(docs))
     left = cut.filter(~(F.coalesce("had_text", F.lit(False)) & (F.trim("text") == ""))).drop("had_text")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
@@ -43,12 +46,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
+    bounded_batches(spark)
     leaks = op9_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentation of every text and its exact inverse, as counts and digests."""
+    bounded_batches(spark)
     return op6_sampling.round_trip(docs)
 
 

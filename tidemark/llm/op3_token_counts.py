@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_parts(batch, limit=3 << 20):
+            for part in text_parts(batch, limit=2 << 20):
                 data, offsets = text_bytes(part)
                 words = distinct_words(data, offsets)
                 each = terminal_counts(words, shared.value)[words.code]
