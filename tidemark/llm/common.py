@@ -63,7 +63,7 @@ def hash_share(key: Column, rows: int, wanted: int, seed: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * wanted / rows)
 
 
-def text_parts(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+def text_parts(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     """Slices of a batch that hold about `limit` bytes of text each (one row at least).
 
     Bounds the Python objects alive at a time, whatever number of rows Arrow delivers.

@@ -87,7 +87,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 seen[lang].update(words_of(text))
-            if sum(map(len, seen.values())) > 300_000:
+            if sum(map(len, seen.values())) > 100_000:
                 yield from rows(seen)
                 seen.clear()
         yield from rows(seen)
@@ -114,7 +114,7 @@ class _Rows(dict):
     def __init__(self, model: LanguageModel):
         super().__init__(model.words)
         self.model, self.pending = model, []
-        self.logs, self.used = np.concatenate((model.word_logs, np.zeros((250_000, len(model.languages))))), len(model.words)
+        self.logs, self.used = np.concatenate((model.word_logs, np.zeros((150_000, len(model.languages))))), len(model.words)
 
     def __missing__(self, word: str) -> int:
         self[word] = at = self.used + len(self.pending)
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         known, names = None, [*model.languages, UNDETERMINED]
         for batch in batches:
             for part in text_parts(batch):
-                if known is None or known.used - len(model.words) > 200_000:
+                if known is None or known.used - len(model.words) > 100_000:
                     known = _Rows(model)
                 found = [words_of(t) for t in part.column("text").to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(w) for w in found])))
