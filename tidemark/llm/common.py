@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -63,6 +64,14 @@ def hash_share(key: Column, rows: int, wanted: int, seed: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * wanted / rows)
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system; worker processes live on and are counted with their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def text_parts(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     """Slices of a batch that hold about `limit` bytes of text each (one row at least).
 
@@ -76,6 +85,7 @@ def text_parts(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release_memory()
 
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
