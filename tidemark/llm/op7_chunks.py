@@ -12,8 +12,9 @@ more are the repeated passages. Single short chunks that recur by chance form no
 its passage; 24 words of run stand for a passage of about 50.)
 
 Defined results: null and empty texts have no chunks; a repeat within one document only is no
-repeat across documents; rows with the same doc_id count as one document; rows with a null id
-take no part; a document may lose all its text.
+repeat across documents; rows with the same doc_id count as one document, and a chunk is cut
+only from a text that holds its very bytes there; rows with a null id take no part; a
+document may lose all its text.
 """
 
 from __future__ import annotations
@@ -89,8 +90,13 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray, reach: int, most: int) -
     return starts
 
 
+def digest_of(chunk: bytes) -> int:
+    """64-bit digest, as a signed number."""
+    return xxhash.xxh3_64_intdigest(chunk) - (1 << 63)
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 16, most: int = 256) -> DataFrame:
-    """(doc_id, n, first, last, words, digest): byte range and digest of every chunk."""
+    """(doc_id, first, length, words, digest): byte range and digest of every chunk."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,34 +106,34 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
                 starts = chunk_starts(data, offsets, reach, most)
                 ends = np.append(starts[1:], len(data))
                 row = np.searchsorted(offsets, starts, side="right") - 1
-                bounds = np.searchsorted(starts, offsets[:-1])
                 space = (data == 32) | ((data >= 9) & (data <= 13))
                 begins = ~space & np.concatenate(([True], space[:-1])) if len(data) else space
                 begins[offsets[:-1][offsets[:-1] < len(data)]] |= ~space[offsets[:-1][offsets[:-1] < len(data)]]
                 words = np.concatenate(([0], np.cumsum(begins)))
-                digest = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
+                digest = np.fromiter((digest_of(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").take(pa.array(row)), pa.array((np.arange(len(starts)) - bounds[row]).astype(np.int32)),
-                    pa.array((starts - offsets[row]).astype(np.int32)), pa.array((ends - offsets[row]).astype(np.int32)),
-                    pa.array((words[ends] - words[starts]).astype(np.int32)), pa.array(digest),
-                ], ["doc_id", "n", "first", "last", "words", "digest"])
+                    part.column("doc_id").take(pa.array(row)), pa.array((starts - offsets[row]).astype(np.int32)),
+                    pa.array((ends - starts).astype(np.int32)), pa.array((words[ends] - words[starts]).astype(np.int32)), pa.array(digest),
+                ], ["doc_id", "first", "length", "words", "digest"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(cut, "doc_id long, n int, first int, last int, words int, digest long")
+    return rows.mapInArrow(cut, "doc_id long, first int, length int, words int, digest long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, reach: int = 16, most: int = 256) -> DataFrame:
     """One row for each repeated passage of each document.
 
     (doc_id, first, last: its bytes; n_words, n_chunks; owner: smallest doc_id that one of its
-    chunks belongs to; extra array<struct<first, last>>: its chunks that belong to an earlier
+    chunks belongs to; extra array<struct<first, last, digest>>: its chunks that belong to an earlier
     document, which deduplication removes).
     """
     every = materialize(chunks(docs, id_col, text_col, reach, most), "chunks")
     repeated = every.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner <> other").drop("other")
-    found = every.join(repeated, "digest").groupBy("doc_id", "n").agg(*(F.min(c).alias(c) for c in ("first", "last", "words", "owner")))
-    run = F.col("n") - F.row_number().over(W.partitionBy("doc_id").orderBy("n"))
-    extra = F.when(F.col("owner") < F.col("doc_id"), F.struct("first", "last"))
+    found = every.join(repeated, "digest").dropDuplicates(["doc_id", "first", "digest"]).withColumn("last", F.col("first") + F.col("length"))
+    in_order = W.partitionBy("doc_id").orderBy("first", "last", "digest")
+    reached = F.max("last").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    run = F.sum((F.col("first") > F.coalesce(reached, F.lit(-1))).cast("int")).over(in_order)
+    extra = F.when(F.col("owner") < F.col("doc_id"), F.struct("first", "last", "digest"))
     passages = found.withColumn("run", run).groupBy("doc_id", "run").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
         F.min("owner").alias("owner"), F.sort_array(F.collect_list(extra)).alias("extra"),
@@ -146,8 +152,10 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
             if t is not None and c is not None:
                 raw, kept, at = t.encode(), [], 0
                 for x in sorted(c, key=lambda x: x["first"]):
-                    kept.append(raw[at : x["first"]])
-                    at = x["last"]
+                    span = raw[x["first"] : x["last"]]
+                    if x["first"] >= at and digest_of(span) == x["digest"]:
+                        kept.append(raw[at : x["first"]])
+                        at = x["last"]
                 t = b"".join([*kept, raw[at:]]).decode()
             out.append(t)
         return type(text)(out, dtype=object)
