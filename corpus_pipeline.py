@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     model = op5_language_id.fit(docs, crc_bucket(F.col("id"), 4) != 2)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    told = op5_language_id.predict(docs, model, keep=others)
-    kept = told.filter((told["lang_pred"] != op5_language_id.UNDETERMINED) & (told["score"] >= 0.5))
+    told = op5_language_id.predict(docs, model, keep=others, lang_out="__lang", score_out="__posterior")
+    kept = told.filter((F.col("__lang") != op5_language_id.UNDETERMINED) & (F.col("__posterior") >= 0.5))
     return kept.select(*docs.columns)
 
 
@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of all documents but their first; drops texts left blank."""
     bounded_batches(spark)
-    cut = op7_chunks.remove_passages(docs.withColumn("had_text", F.trim("text") != ""), op7_chunks.repeated_passages(docs))
-    left = cut.filter(~(F.coalesce("had_text", F.lit(False)) & (F.trim("text") == ""))).drop("had_text")
+    cut = op7_chunks.remove_passages(docs.withColumn("__had_text", F.trim("text") != ""), op7_chunks.repeated_passages(docs))
+    left = cut.filter(~(F.coalesce("__had_text", F.lit(False)) & (F.trim("text") == ""))).drop("__had_text")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

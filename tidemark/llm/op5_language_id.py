@@ -133,8 +133,8 @@ class _Rows(dict):
         return self.logs
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., text, lang_pred, score) of every row."""
+def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """(id, keep..., text, lang_out, score_out) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(score, f"{schema}, lang_pred string, score double").withColumnsRenamed({"id": id_col, "text": text_col} | {f"kept_{i}": c for i, c in enumerate(keep)})
+    return rows.mapInArrow(score, f"{schema}, lang_pred string, score double").withColumnsRenamed({"id": id_col, "text": text_col, "lang_pred": lang_out, "score": score_out} | {f"kept_{i}": c for i, c in enumerate(keep)})
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
