@@ -542,3 +542,20 @@ def j11_ordered_union(spark, sf_dir):
 @query("so3_latest_expiry", "SELECT user_id AS ticker, arg_max(event_type, ts) AS reason, max(ts) AS expires FROM events GROUP BY 1")
 def so3_latest_expiry(spark, sf_dir):
     return S.latest_expiry(D.mention_events(spark, sf_dir).select("ticker", F.col("source").alias("reason"), F.col("ts").alias("expires"), "seq"))
+
+
+@query("a9_state_digest", STATES + ", cur AS (SELECT ticker, arg_max(state, date) AS state FROM states GROUP BY 1) SELECT state, count(*) AS tickers FROM cur GROUP BY 1")
+def a9_state_digest(spark, sf_dir):
+    return S.since(states(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("tickers"))
+
+
+@query("a13_ranked", "WITH " + D.EVENTS_SQL + " SELECT ticker, sum(mentions)::BIGINT AS mentions FROM mention GROUP BY 1 ORDER BY mentions DESC, ticker LIMIT 25")
+def a13_ranked(spark, sf_dir):
+    return a3_mention_totals(spark, sf_dir).orderBy(F.desc("mentions"), "ticker").limit(25)
+
+
+@query("tk3_top_headlines", f"""WITH x AS (SELECT source, doc_id, len(regexp_extract_all(lower(text), '{RE(V.POSITIVE)}')) AS good FROM documents)
+SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY good DESC, doc_id) AS rank FROM x QUALIFY rank <= 6""")
+def tk3_top_headlines(spark, sf_dir):
+    rated = D.read(spark, sf_dir, "documents").select("source", "doc_id", T.count_words(F.lower("text"), V.POSITIVE).alias("good"))
+    return B.top_per_group(rated, "source", [F.desc("good"), F.col("doc_id")], 6).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
