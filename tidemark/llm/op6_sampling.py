@@ -91,7 +91,7 @@ def backward_sample(words: Words, lattice, keys: np.ndarray) -> tuple[np.ndarray
     return out, taken
 
 
-PART_BYTES = 2 << 20  # text whose lattices are in memory at a time
+PART_BYTES = 1 << 20  # text whose lattices are in memory at a time
 
 
 def segment(part: pa.RecordBatch, vocab: Vocabulary, temperature: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
