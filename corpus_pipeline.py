@@ -1,6 +1,6 @@
 """A corpus pipeline: documents in, reproducibly sampled piece sequences out.
 
-Language ID, SimHash near-duplicates, repeated passages, benchmark decontamination, pieces.
+Language ID, near-duplicates (five-word shingles, Jaccard 0.8), repeated passages, benchmark decontamination, pieces.
 Each stage works on all that the one before kept. Rows with a null id can't be compared by
 id: they pass the passage and decontamination stages untouched.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op4_simhash, op5_language_id, op6_sampling, op7_chunks, op9_decontaminate
+from tidemark.llm import near_copies, op5_language_id, op6_sampling, op7_chunks, op9_decontaminate
 from tidemark.llm.common import bounded_batches, crc_bucket, materialize, table
 
 
@@ -25,9 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every SimHash component; repeated rows are one document."""
+    """Keeps the smallest doc_id of every component of near copies; repeated rows are one document."""
     bounded_batches(spark)
-    found = op4_simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = near_copies.near_copies(docs.select("doc_id", "text"))
     firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
     firsts = materialize(firsts.withColumnRenamed("doc_id", "first_id"), "firsts")
     same = docs["doc_id"].eqNullSafe(firsts["first_id"])

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tidemark.llm import op4_simhash, op7_chunks, op9_decontaminate
+from tidemark.llm import near_copies, op4_simhash, op7_chunks, op9_decontaminate
 from tidemark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -165,3 +165,32 @@ def test_base_score_and_gain(spark):
         assert r["base_score"] == pytest.approx(float(np.log10([(counts.get(t, 0) + 0.1) / (n + 0.1 * (v + 1)) for t in ts]).sum()), rel=1e-9)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def jaccard_components(texts, size=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    least = list(range(len(texts)))
+    near = [[j for j in range(len(texts)) if len(a & sets[j]) >= similarity * len(a | sets[j])] for a in sets]
+    for _ in texts:
+        least = [min(least[j] for j in near[i]) for i in range(len(texts))]
+    return least
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_pipeline_near_copies_are_those_of_all_pairs(spark, small):
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(0, 120)) for _ in range(40)]
+    for _ in range(80):  # near copies: one to three words changed, some past the limit
+        words = texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.randint(1, 3) if words else 0):
+            words[rng.randrange(len(words))] = "zz"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = jaccard_components(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, small=small, block=8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(want)
