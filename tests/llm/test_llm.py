@@ -194,3 +194,17 @@ def test_pipeline_near_copies_are_those_of_all_pairs(spark, small):
     assert [got[i] for i in range(len(texts))] == want
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == set(want)
+
+
+def test_leak_of_an_item_that_repeats_words_is_found(spark):
+    """The repeated words and the answer are kept, which is most positions but few distinct words."""
+    rng = random.Random(12)
+    common, once, other, answer = "fa fb fc".split(), prose(rng, 15).split(), prose(rng, 15).split(), prose(rng, 10)
+    item = " ".join(f"{common[i % 3]} {w}" for i, w in enumerate(once)) + " " + answer
+    copy = " ".join(f"{common[i % 3]} {w}" for i, w in enumerate(other)) + " " + answer
+    texts = [prose(rng, 50) + " " + copy + " " + prose(rng, 40), *(prose(rng, 200) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, prose(rng, 40))], "item_id long, text string")
+    got = op9_decontaminate.contaminated(docs, bench, common=0.1).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(0, 0)]
+    assert got[0]["lcs"] == pytest.approx(25 / 40)

@@ -210,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, (weighted, used, latent) = shared.value, space.value
         segments = bench.segments
-        sets = [set(s.tolist()) for _, s in segments]
+        lists = [s.tolist() for _, s in segments]
         for batch in batches:
             for part in text_parts(batch):
                 doc_ids = part.column("doc_id").to_pylist()
@@ -236,8 +236,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         first = int(words[row[b]]) + (b - int(blocks[row[b]])) * bench.block
                         window = ids[first : min(first + 3 * bench.block, int(words[row[b] + 1]))].tolist()
                         item, wanted = segments[s]
-                        if len(sets[s].intersection(window)) < loose_lcs * len(sets[s]):
-                            continue  # each shared position needs its word
+                        if sum(map(set(window).__contains__, lists[s])) < loose_lcs * len(wanted):
+                            continue  # no more positions can be shared than have their word in the window
                         share = lcs(wanted, window) / len(wanted)
                         tail = wanted[-max(1, len(wanted) // 4) :]
                         if share >= loose_lcs:
