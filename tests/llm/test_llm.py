@@ -208,3 +208,20 @@ def test_leak_of_an_item_that_repeats_words_is_found(spark):
     got = op9_decontaminate.contaminated(docs, bench, common=0.1).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(0, 0)]
     assert got[0]["lcs"] == pytest.approx(25 / 40)
+
+
+def test_latent_space_grows_with_the_items(spark, monkeypatch):
+    """Copies with replaced words amid words of other items; each item has its own dimension."""
+    rng, shapes, basis_of = random.Random(13), [], op9_decontaminate.latent_basis
+    monkeypatch.setattr(op9_decontaminate, "latent_basis", lambda *a, **b: (basis := basis_of(*a, **b), shapes.append(basis.shape))[0])
+    items = [prose(rng, 20).split() for _ in range(400)]
+    pool = [w for item in items for w in item]
+    texts = []
+    for item in items:
+        copy = [rng.choice(pool) if i < 15 and i % 2 == 0 else w for i, w in enumerate(item)]
+        texts.append(" ".join([*rng.choices(pool, k=60), *copy, *rng.choices(pool, k=60)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op9_decontaminate.contaminated(docs, bench, common=1.0).collect()}
+    assert sum((i, i) in got for i in range(400)) >= 396
+    assert shapes[0][1] >= 400

@@ -7,9 +7,10 @@ words; a randomised SVD with one power iteration, summed over the cluster, gives
 space. Passages within `min_cosine` of an item are candidates; the longest common subsequence
 of words with the item, and with its last quarter, the answer, then decides.
 
-The document frequencies behind IDF cover all blocks of all texts. The SVD is fitted on the
-items and about `sample_docs` documents, a documented bound; every passage of every text is
-searched.
+The document frequencies behind IDF cover all blocks of all texts, and so does the SVD, with the
+items; every passage of every text is searched. The latent space has `rank_share` dimensions for
+each segment of an item, as far as there are terms; `min_cosine` is chosen by measured recall
+(README): what falls below is lost.
 
 Defined results: null and empty texts and items give no row; an item of fewer than
 `min_item_words` words is searched too, by the same rules; the best passage of each
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_share, raw_texts, table, text_parts
+from .common import materialize, raw_texts, table, text_parts
 
 _DROP = b".,;:!?\"'()[]{}*#$%&|"
 
@@ -137,37 +139,60 @@ def vectors(ids: np.ndarray, place: np.ndarray, n: int, weighted: np.ndarray, us
     return out
 
 
-def latent_basis(texts: DataFrame, bench, segments, idf: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+def compacted(texts: DataFrame, bench, used: np.ndarray) -> DataFrame:
+    """(ids, place): the weighted terms of all texts and their blocks, a row for each part of a batch."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch):
+                ids, place, _, _ = numbered(raw_texts(part), bench.value.terms, bench.value.block)
+                kept = (ids >= 0) & used[ids]
+                ends = pa.array([0, int(kept.sum())], pa.int32())
+                blocks = np.cumsum(np.diff(place[kept], prepend=-1) > 0) - 1
+                columns = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids[kept], blocks)]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "place"])
+
+    return texts.mapInArrow(scan, "ids array<int>, place array<int>")
+
+
+def latent_basis(terms: DataFrame, segments, idf: np.ndarray, rank: int, oversampling: int = 16, seed: int = 7) -> np.ndarray:
     """Leading right singular vectors of the TF-IDF passages, terms by rank.
 
-    Randomised range finding: each pass sums A'(A Q) over the cluster, one row a term.
+    Randomised range finding: each pass sums A'(A Q) over the cluster, one row a term, with
+    `oversampling` more columns than are kept. terms: the rows of `compacted`.
     """
     size = len(idf)
-    rank = min(rank, size)
-    spark = texts.sparkSession
-    names = [f"c{i}" for i in range(rank)]
+    width = min(rank + oversampling, size)
+    spark = terms.sparkSession
 
     def gram(q: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(q)
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((size, rank))
+            total = np.zeros((size, width))
             for batch in batches:
-                for part in text_parts(batch):
-                    ids, place, _, blocks = numbered(raw_texts(part), bench.value.terms, bench.value.block)
-                    total += spread(ids, place, int(blocks[-1]), shared.value)
+                for k in range(batch.num_rows):
+                    ids, place = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in ("ids", "place"))
+                    total += spread(ids, place, int(place[-1]) + 1 if len(place) else 0, shared.value)
             held = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(c) for c in total[held].T)], ["term", *names])
+            yield pa.RecordBatch.from_pydict({"term": pa.array(held), "part": pa.array([x.tobytes() for x in total[held]], pa.binary())})
 
-        out = np.zeros((size, rank))
-        schema = "term long, " + ", ".join(f"{c} double" for c in names)
-        for r in texts.mapInArrow(multiply, schema).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)).collect():
-            out[r["term"]] = r[1:]
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for t, x in zip(batch.column("term").to_pylist(), batch.column("part").to_pylist()):
+                    out[t] = out[t] + np.frombuffer(x) if t in out else np.frombuffer(x)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(out), pa.int64()), "part": pa.array([x.tobytes() for x in out.values()], pa.binary())})
+
+        out = np.zeros((size, width))
+        schema = "term long, part binary"
+        for r in terms.mapInArrow(multiply, schema).repartition("term").mapInArrow(summed, schema).collect():  # a row for each of the benchmark's terms
+            out[r["term"]] = np.frombuffer(r["part"])
         lengths = [len(s) for _, s in segments]
         return out + spread(np.concatenate([s for _, s in segments]), np.repeat(np.arange(len(lengths)), lengths), len(lengths), q)
 
     def spread(ids: np.ndarray, place: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
-        out = np.zeros((size, rank))
+        out = np.zeros((size, width))
         used = np.flatnonzero((ids >= 0) & (idf[ids] > 0))
         if len(used):
             y = vectors(ids, place, n, idf[:, None] * q, idf > 0)
@@ -176,14 +201,14 @@ def latent_basis(texts: DataFrame, bench, segments, idf: np.ndarray, rank: int,
             out[ids[order[starts]]] = np.add.reduceat(y[place[order]], starts, axis=0)
         return idf[:, None] * out
 
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, rank)))
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))
     q, _ = np.linalg.qr(gram(q))
     small = q.T @ gram(q)
     values, turn = np.linalg.eigh((small + small.T) / 2)
-    return (q @ turn[:, ::-1][:, values[::-1] > 1e-9]).astype(np.float32)
+    return (q @ turn[:, ::-1][:, values[::-1] > 1e-9][:, :rank]).astype(np.float32)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 32, rank: int = 128, min_cosine: float = 0.35, min_lcs: float = 0.75, loose_lcs: float = 0.6, min_answer: float = 0.75, common: float = 0.003, sample_docs: int = 4000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 32, rank_share: float = 2.0, min_cosine: float = 0.2, min_lcs: float = 0.75, loose_lcs: float = 0.6, min_answer: float = 0.75, common: float = 0.003) -> DataFrame:
     """(doc_id, item_id, first_word, cosine, lcs, answer): the best passage of each leaked item.
 
     A candidate is a leak where its share of the item's words in common order is min_lcs or
@@ -199,8 +224,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(bench)
     df, n_blocks = document_frequencies(rows.select("text"), shared, len(bench.terms))
     idf = term_weights(df, n_blocks, [s for _, s in bench.segments], common)
-    sample = rows.filter(hash_share(F.col("doc_id"), rows.count(), sample_docs, "svd")).select("text")
-    basis = latent_basis(sample, shared, bench.segments, idf, rank)
+    terms = materialize(compacted(rows.select("text"), shared, idf > 0), "terms")
+    basis = latent_basis(terms, bench.segments, idf, ceil(rank_share * len(bench.segments)))
     lengths = [len(s) for _, s in bench.segments]
     weighted, used = (idf[:, None] * basis).astype(np.float32), idf > 0
     latent = vectors(np.concatenate([s for _, s in bench.segments]), np.repeat(np.arange(len(lengths)), lengths), len(lengths), weighted, used)
@@ -231,12 +256,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     for passage in wide:  # windows of two and of three blocks
                         length = np.linalg.norm(passage[at], axis=1, keepdims=True)
                         np.maximum(cosine, passage[at] @ latent.T / np.maximum(length, 1e-6), out=cosine)
-                    for p, s in zip(*np.nonzero(cosine >= min_cosine)):
-                        b = int(at[p])
-                        first = int(words[row[b]]) + (b - int(blocks[row[b]])) * bench.block
-                        window = ids[first : min(first + 3 * bench.block, int(words[row[b] + 1]))].tolist()
+                    last = -1
+                    for p, s in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
+                        if p != last:
+                            b, last = int(at[p]), p
+                            first = int(words[row[b]]) + (b - int(blocks[row[b]])) * bench.block
+                            window = ids[first : min(first + 3 * bench.block, int(words[row[b] + 1]))].tolist()
+                            holds = set(window).__contains__
                         item, wanted = segments[s]
-                        if sum(map(set(window).__contains__, lists[s])) < loose_lcs * len(wanted):
+                        if sum(map(holds, lists[s])) < loose_lcs * len(wanted):
                             continue  # no more positions can be shared than have their word in the window
                         share = lcs(wanted, window) / len(wanted)
                         tail = wanted[-max(1, len(wanted) // 4) :]
