@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 
 import numpy as np
@@ -11,9 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FALLBACK_DIR = "/tmp/tidemark-checkpoints"
-
-
 BATCH_BYTES = "4m"
 
 
@@ -28,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
+    """The cluster's shared folder. Only a local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not folder:
-        folder = FALLBACK_DIR
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
@@ -58,10 +59,10 @@ def is_bucket(doc_id: Column, buckets: int, bucket: int) -> Column:
 
 
 def hash_share(key: Column, rows: int, wanted: int, seed: str) -> Column:
-    """Filter that keeps about `wanted` of `rows` rows, chosen by a hash of their key."""
+    """Filter that keeps about `wanted` of `rows` rows, chosen by a 63-bit hash of their key."""
     if rows <= wanted:
         return F.lit(True)
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * wanted / rows)
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1) < int(wanted / rows * 2**63)
 
 
 def release_memory() -> None:

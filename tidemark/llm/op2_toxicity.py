@@ -38,11 +38,14 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def sentences(text: str | None) -> list[str]:
-    return _SENTENCE.findall(text.lower()) if text else []
+    return [s.lower() for s in _SENTENCE.findall(text)] if text else []
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learns: Column, rows_of_class: int, most_chars: int, seed: str) -> list[tuple[str, int]]:
-    """(text, label) of about rows_of_class labelled documents of each class."""
+    """(text, label) of about rows_of_class labelled documents of each class, in order of id.
+
+    Of several texts of one id the one of least hash is taken, so a model depends on the rows alone.
+    """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter(learns & F.col("label").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
@@ -50,7 +53,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learns: Colu
         keep = keep | ((F.col("label") == value) & hash_share(F.col("id"), n, rows_of_class, seed))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= most_chars)
     chosen = texts.join(F.broadcast(known.filter(keep)), "id")  # about rows_of_class ids a class
-    return [(r["text"], r["label"]) for r in chosen.dropDuplicates(["id"]).select("text", "label").toLocalIterator()]
+    one = chosen.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return [(r["text"], r["label"]) for r in one.orderBy("id").select("text", "label").toLocalIterator()]
 
 
 @dataclass
@@ -131,21 +135,18 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
                     weights.clear()
                 scores, counts, found = [], [], []
                 for text in part.column("text").to_pylist():
-                    all_, total, offending, at, low = sentences(text), 0.0, [], 0, None
-                    for s in all_:
-                        weight = sum(map(weights.__getitem__, set(s.split())))
+                    total, offending, number = 0.0, [], 0
+                    for number, span in enumerate(_SENTENCE.finditer(text or ""), 1):
+                        weight = sum(map(weights.__getitem__, set(span[0].lower().split())))
                         if not weight:
                             total += quiet
                             continue
                         logit = model.bias + weight
                         total += float(np.logaddexp(0, logit))
                         if logit >= 0:
-                            low = low or text.lower()
-                            first = low.index(s, at)
-                            at = first + len(s)
-                            offending.append({"first": first, "last": at, "score": 1 / (1 + np.exp(-logit))})
+                            offending.append({"first": span.start(), "last": span.end(), "score": 1 / (1 + np.exp(-logit))})
                     scores.append(-float(np.expm1(-total)))
-                    counts.append(len(all_))
+                    counts.append(number)
                     found.append(offending)
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64()), pa.array(counts, pa.int32()), pa.array(found, kind)], ["id", "score", "n_sentences", "offending"])

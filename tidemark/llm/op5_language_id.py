@@ -17,6 +17,7 @@ language or id teach nothing, rows with a null id are scored as not held out.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,9 @@ from .common import crc_bucket, hash_share, is_bucket, segment_sums, table, text
 
 UNDETERMINED = "und"
 LONGEST = 5
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that `\w` takes though they are no letters, such as fractions and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def words_of(text: str | None) -> list[str]:
