@@ -2,7 +2,9 @@
 
 The distinct pre-tokens of a batch form a trie, held level by level; the best unigram score
 and its piece count are computed once for each node, so once for each shared prefix, and a
-word's count is read at its terminal node. A text's count is the sum over its pre-tokens.
+word's count is read at its terminal node. The few pre-tokens over DENSE bytes are walked in
+sorted order, which is the trie's own: each goes on from the prefix it shares with the one
+before it. A text's count is the sum over its pre-tokens.
 There is no shuffle: a frequent word costs one trie path a batch, wherever its rows lie.
 
 Defined results: null and empty texts count 0 pieces and 0 pre-tokens; equal scores go to
@@ -47,6 +49,25 @@ def terminal_counts(words: Words, vocab: Vocabulary) -> np.ndarray:
     return out
 
 
+def long_counts(words: list[bytes], vocab: Vocabulary) -> list[int]:
+    """Pieces on the best path of each of the sorted words."""
+    best, count, last, out = [0.0], [0], b"", []
+    for word in words:
+        shared = next((i for i, (a, b) in enumerate(zip(last, word)) if a != b), min(len(last), len(word)))
+        del best[shared + 1 :], count[shared + 1 :]
+        for j in range(shared + 1, len(word) + 1):
+            score, pieces = -np.inf, 0
+            for i, _, logp in vocab.ending(word, j):
+                s, c = best[i] + logp, count[i] + 1
+                if s > score or (s == score and c < pieces):
+                    score, pieces = s, c
+            best.append(score)
+            count.append(pieces)
+        out.append(count[-1])
+        last = word
+    return out
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: Vocabulary | None = None, path: str = VOCAB_PATH) -> DataFrame:
     """(id, n_tokens, n_pretokens, n_bytes) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab or load_vocabulary(path))
@@ -56,7 +77,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in text_parts(batch, limit=2 << 20):
                 data, offsets = text_bytes(part)
                 words = distinct_words(data, offsets)
-                each = terminal_counts(words, shared.value)[words.code]
+                each = np.zeros(len(words.code), np.int64)
+                each[~words.is_long] = terminal_counts(words, shared.value)[words.code[~words.is_long]]
+                each[words.is_long] = np.array(long_counts(words.long, shared.value), np.int64)[words.code[words.is_long]]
                 bounds = np.searchsorted(words.starts, offsets)
                 columns = [segment_sums(each, bounds), np.diff(bounds), np.diff(offsets)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, pa.int64()) for c in columns)], ["id", "n_tokens", "n_pretokens", "n_bytes"])

@@ -12,6 +12,7 @@ repeated rows (same key and text) get the same ids; other input columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,17 +65,17 @@ def forward_filter(words: Words, vocab: Vocabulary, temperature: float = 1.0):
     return level, join([*firsts, np.array([total])], np.int64), join(shares, float), join(sizes, np.int8), join(pieces, np.int32)
 
 
-def backward_sample(words: Words, lattice, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of every occurrence in text order, and the number of pieces of each."""
+def backward_sample(words: Words, lattice, code: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of every occurrence of the words in `code`, in text order, and the number of pieces of each."""
     level, first, share, size_of, piece_of = lattice
-    live = np.arange(len(words.code))
-    position = words.lengths[words.code].copy()
+    live = np.arange(len(code))
+    position = words.lengths[code].copy()
     taken, steps = np.zeros(len(live), np.int64), []
     while len(live):
         with np.errstate(over="ignore"):
             draw = mix64(keys[live] + np.uint64(0x9E3779B97F4A7C15) * (taken[live].astype(np.uint64) + np.uint64(1)))
         u = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        state = level[position[live]] + words.code[live]
+        state = level[position[live]] + code[live]
         edge, last = first[state], first[state + 1] - 1
         open_ = np.flatnonzero((share[edge] <= u) & (edge < last))
         while len(open_):
@@ -91,6 +92,31 @@ def backward_sample(words: Words, lattice, keys: np.ndarray) -> tuple[np.ndarray
     return out, taken
 
 
+def filtered(word: bytes, vocab: Vocabulary, temperature: float) -> list[float]:
+    """Log of the summed weight of all segmentations of each prefix of one word."""
+    alpha = [0.0]
+    for j in range(1, len(word) + 1):
+        weights = [alpha[i] + logp / temperature for i, _, logp in vocab.ending(word, j)]
+        most = max(weights)
+        alpha.append(most + math.log(sum(math.exp(w - most) for w in weights)))
+    return alpha
+
+
+def sampled(word: bytes, alpha: list[float], vocab: Vocabulary, temperature: float, key: int) -> list[int]:
+    """Pieces of one occurrence of a word, by the draws that backward_sample makes."""
+    j, out = len(word), []
+    while j:
+        x = (key + 0x9E3779B97F4A7C15 * (len(out) + 1)) & 0xFFFFFFFFFFFFFFFF
+        u, reached = float(mix64(np.array([x], np.uint64))[0] >> np.uint64(11)) * 2.0**-53, 0.0
+        for i, piece, logp in vocab.ending(word, j):
+            reached += math.exp(alpha[i] + logp / temperature - alpha[j])
+            if reached > u:
+                break
+        out.append(piece)  # the last one, where rounding leaves a rest
+        j = i
+    return out[::-1]
+
+
 PART_BYTES = 1 << 20  # text whose lattices are in memory at a time
 
 
@@ -102,7 +128,15 @@ def segment(part: pa.RecordBatch, vocab: Vocabulary, temperature: float) -> tupl
     key = mix64(pc.fill_null(part.column("key"), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
     number = np.arange(len(words.code)) - np.repeat(bounds[:-1], np.diff(bounds))
     keys = mix64(np.repeat(key, np.diff(bounds)) ^ mix64(number.astype(np.uint64)))
-    ids, taken = backward_sample(words, forward_filter(words, vocab, temperature), keys)
+    short, long = ~words.is_long, np.flatnonzero(words.is_long)
+    taken = np.empty(len(words.code), np.int64)
+    pieces, taken[short] = backward_sample(words, forward_filter(words, vocab, temperature), words.code[short], keys[short])
+    alphas = [filtered(w, vocab, temperature) for w in words.long]
+    others = [sampled(words.long[c], alphas[c], vocab, temperature, int(k)) for c, k in zip(words.code[long], keys[long])]
+    taken[long] = [len(x) for x in others]
+    ids, of_short = np.empty(taken.sum(), np.int32), np.repeat(short, taken)
+    ids[of_short] = pieces
+    ids[~of_short] = [i for x in others for i in x]
     return ids, np.concatenate(([0], np.cumsum(taken)))[bounds], data, offsets
 
 

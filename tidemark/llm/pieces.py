@@ -1,19 +1,21 @@
 """Piece vocabulary of a public tokenizer, and array helpers that both piece operators use.
 
 Text is handled as UTF-8 bytes. A pre-token is a run of spaces with the non-space run behind
-it, or one newline; runs over MAX_PRETOKEN bytes are cut. Pieces lie within one pre-token.
+it, or one newline, of any length. Pieces lie within one pre-token. Pre-tokens of up to
+DENSE bytes are worked on all at once, byte by byte; the longer ones one after another.
 The vocabulary file has merge ranks, no probabilities: a piece's unigram log-probability is
 Zipf's law over its rank. Every byte has a fallback piece below all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 VOCAB_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_PRETOKEN = 48
+DENSE = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -65,6 +67,15 @@ class Vocabulary:
     blob: np.ndarray  # bytes of all pieces
     starts: np.ndarray  # by id, one more at the end
     byte_ids: np.ndarray  # by byte value
+    table: dict[bytes, tuple[int, float]]  # id and log-probability by bytes
+
+    def ending(self, word: bytes, j: int) -> Iterator[tuple[int, int, float]]:
+        """(first byte, id, log-probability) of the pieces that end before byte j, short ones first."""
+        get = self.table.get
+        for i in range(j - 1, max(-1, j - self.longest - 1), -1):
+            piece = get(word[i:j])
+            if piece:
+                yield i, *piece
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in hashes that are pieces, and their ids."""
@@ -112,7 +123,7 @@ def build_vocabulary(pieces: list[tuple[int, bytes]], byte_ids: list[int]) -> Vo
     keys = np.concatenate((keys, np.zeros(chain + 1, np.uint64)))
     starts = np.zeros(size + 1, np.int64)
     np.cumsum([len(b) for b in raw], out=starts[1:])
-    return Vocabulary(keys, np.append(np.array(list(by_bytes.values()), np.int64)[order], np.zeros(chain + 1, np.int64)), max(map(len, by_bytes)), slots, chain, logp, np.frombuffer(b"".join(raw), np.uint8), starts, np.array(byte_ids, np.int64))
+    return Vocabulary(keys, np.append(np.array(list(by_bytes.values()), np.int64)[order], np.zeros(chain + 1, np.int64)), max(map(len, by_bytes)), slots, chain, logp, np.frombuffer(b"".join(raw), np.uint8), starts, np.array(byte_ids, np.int64), {b: (i, float(logp[i])) for b, i in by_bytes.items()})
 
 
 def load_vocabulary(path: str = VOCAB_PATH) -> Vocabulary:
@@ -136,27 +147,19 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     newline, space = data == 10, data == 32
     first = newline | (space & ~np.concatenate(([False], space[:-1]))) | np.concatenate(([False], newline[:-1]))
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    starts = np.flatnonzero(first)
-    lengths = np.diff(np.append(starts, len(data)))
-    long = np.flatnonzero(lengths > MAX_PRETOKEN)
-    if len(long):
-        extra = (lengths[long] - 1) // MAX_PRETOKEN
-        k = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1
-        cut = np.repeat(starts[long], extra) + k * MAX_PRETOKEN
-        for _ in range(3):  # not within a character
-            cut -= (data[cut] & 0xC0) == 0x80
-        starts = np.unique(np.concatenate((starts, cut)))
-    return starts
+    return np.flatnonzero(first)
 
 
 @dataclass
 class Words:
-    """Distinct pre-tokens of a batch, longest first."""
+    """Distinct pre-tokens of a batch: those of up to DENSE bytes, longest first, and the others."""
 
     lengths: np.ndarray
     prefix: np.ndarray  # (longest + 1, words): hash of the first j bytes
-    code: np.ndarray  # word of each occurrence
+    code: np.ndarray  # word of each occurrence, or its place in `long`
     starts: np.ndarray  # first byte of each occurrence
+    is_long: np.ndarray  # of each occurrence
+    long: list[bytes]  # sorted
 
     def active(self, j: int) -> int:
         """Number of words of j bytes or more."""
@@ -171,14 +174,23 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
         hashes = (sums[starts + lengths] - sums[starts]) * powers(_BASE_INV, len(data))[starts] if len(data) else sums[:0]
     del sums
-    first, code = unique_codes(hashes)
+    is_long = lengths > DENSE
+    short = np.flatnonzero(~is_long)
+    first, code = unique_codes(hashes[short])
+    first = short[first]
     order = np.argsort(-lengths[first], kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     first = first[order]
-    n, longest = len(first), int(lengths.max(initial=0))
+    n, longest = len(first), int(lengths[short].max(initial=0))
     prefix = np.zeros((longest + 1, n), np.uint64)
-    words = Words(lengths[first], prefix, rank[code], starts)
+    every = np.empty(len(starts), np.int64)
+    every[short] = rank[code]
+    raw = [data[a : a + size].tobytes() for a, size in zip(starts[is_long], lengths[is_long])]
+    long = sorted(set(raw))
+    place = {w: i for i, w in enumerate(long)}
+    every[is_long] = [place[w] for w in raw]
+    words = Words(lengths[first], prefix, every, starts, is_long, long)
     step = powers(_BASE, longest)
     with np.errstate(over="ignore"):
         for j in range(longest):
