@@ -1,24 +1,29 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as the sum of `books` full-dimensional codewords, one of each codebook,
-found by beam search over residuals. Codes and the norm of the coded vector are stored. A
-query is scored against codes with a lookup table of its inner products with all codewords
-(and, for the l2 metric, the stored norms); the best `shortlist` of each query and fragment
-are reranked exactly on the original vectors.
+found by beam search over residuals. Codes are stored with the norm of the coded vector and
+the ratio of the vector's own norm to it. A query is scored against codes with a lookup table
+of its inner products with all codewords (scaled by that ratio, or with the stored norm for
+the l2 metric); the best `shortlist` of each query and group are reranked exactly on the
+original vectors.
 
-Codebooks are fitted on a bounded sample (`sample` distinct vectors, by hash of the vector):
-residual k-means, then rounds of beam-search encoding and least squares. Every vector is
-coded and searched. Equal vectors are coded once, with their smallest ids: a vector's copies
-beyond the k + 1 smallest ids can be in no query's top k, so this changes no result and keeps
-a vector that fills the table from filling every shortlist.
+Codes lie in coarse cells: `least_cells`, or more (up to `most_cells`) where they would hold
+over FRAGMENT_BYTES / 2 of vectors each. A query probes only its nearest cells. How many is
+measured when the index is fitted: the least number whose cells hold `coverage` of the true
+neighbours of sampled vectors, all cells where that takes all. A cell of over FRAGMENT_BYTES of
+vectors, or one probed by over `query_block` queries, is dealt into groups, so every group is
+bounded.
 
-Codes are dealt into fragments of about `fragment` vectors and queries into blocks of about
-`query_block`; every pair of fragment and block is one bounded group.
+Cells and codebooks are fitted on a bounded sample (`sample` vectors, by hash of the vector):
+k-means, residual k-means, then rounds of beam-search encoding and refitting one codebook
+after another. Every vector is coded and searched. Equal vectors are coded and asked once,
+with their smallest ids: a vector's copies beyond the k + 1 smallest ids can be in no query's
+top k, so this changes no result and keeps a vector that fills the table out of the way.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, neither do null ids; rows with the same id are distinct
-candidates unless their vectors are equal; all candidates come out if fewer than k; ties go
-to the smaller id; an empty table gives no rows.
+queries and candidates, a query's own row (or one row equal to it) is left out once; all
+candidates come out if fewer than k; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,165 +38,228 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hash_share, materialize, table
 
 
-@dataclass
-class Codebooks:
-    words: np.ndarray  # (books, size, dim)
-    gram: np.ndarray  # (books, size, books, size): inner products of codewords
+def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, less the rows' own norms."""
+    return np.einsum("kd,kd->k", centre, centre) - 2 * x @ centre.T
 
-    @staticmethod
-    def of(words: np.ndarray) -> Codebooks:
-        m, k, d = words.shape
-        flat = words.reshape(m * k, d).astype(np.float32)
-        return Codebooks(words.astype(np.float32), (flat @ flat.T).reshape(m, k, m, k))
 
+def nearest(x: np.ndarray, centre: np.ndarray, step: int = 4096) -> np.ndarray:
+    return np.concatenate([distances(x[a : a + step], centre).argmin(axis=1) for a in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
-def beam_encode(x: np.ndarray, books: Codebooks, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, books) and the squared norm of each coded vector.
 
-    A beam entry keeps |coded|^2 - 2 x.coded, which the next codeword changes by
-    |w|^2 + 2 coded.w - 2 x.w, all from tables.
-    """
-    m, k, _ = books.words.shape
-    n = len(x)
-    dots = np.einsum("nd,mkd->nmk", x, books.words, optimize=True)
-    codes, error = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
-    for j in range(m):
-        square = books.gram[j, np.arange(k), j, np.arange(k)]
-        cross = np.zeros((n, codes.shape[1], k), np.float32)
-        for i in range(j):
-            cross += books.gram[i, codes[:, :, i], j]
-        total = (error[:, :, None] + (square - 2 * dots[:, j])[:, None, :] + 2 * cross).reshape(n, -1)
-        width = min(beam, total.shape[1])
+def means(x: np.ndarray, group: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Mean of the rows of each group; the old centre for an empty one."""
+    order, n = np.argsort(group, kind="stable"), np.bincount(group, minlength=len(centre))
+    full, out = n > 0, centre.copy()
+    out[full] = np.add.reduceat(x[order], (np.cumsum(n) - n)[full], axis=0) / n[full, None]
+    return out
+
+
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    centre = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        centre = means(x, nearest(x, centre), centre)
+    return centre
+
+
+def beam_encode(x: np.ndarray, words: np.ndarray, beam: int) -> np.ndarray:
+    """Codes (n, books): each book's words are tried on the residuals of the `beam` best sums so far."""
+    n, (books, k, _) = len(x), words.shape
+    codes, residual, error = np.zeros((n, 1, 0), np.int16), x[:, None, :], np.zeros((n, 1), np.float32)
+    rows = np.arange(n)[:, None]
+    for j in range(books):
+        total = (error[:, :, None] + distances(residual.reshape(-1, x.shape[1]), words[j]).reshape(n, -1, k)).reshape(n, -1)
+        width = min(beam if j + 1 < books else 1, total.shape[1])
         best = np.argpartition(total, width - 1, axis=1)[:, :width]
-        rows = np.arange(n)[:, None]
-        codes = np.concatenate([codes[rows, best // k], (best % k)[:, :, None]], axis=2)
+        codes = np.concatenate([codes[rows, best // k], (best % k)[:, :, None].astype(np.int16)], axis=2)
+        residual = residual[rows, best // k] - words[j][best % k]
         error = total[rows, best]
-    first = error.argmin(axis=1)
-    chosen = codes[np.arange(n), first]
-    coded = sum(books.words[j, chosen[:, j]] for j in range(m))
-    return chosen, np.einsum("nd,nd->n", coded, coded)
+    return codes[:, 0]
 
 
-def train(x: np.ndarray, books: int, size: int, rounds: int = 1, beam: int = 4, seed: int = 1) -> Codebooks:
-    """Residual k-means codebooks, then alternating encoding and least squares."""
-    rng = np.random.default_rng(seed)
-    x = x.astype(np.float32)
-    size = max(1, min(size, len(x)))
-    words, residual = [], x.copy()
+def decoded(codes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), words.shape[2]), np.float32)
+    for j in range(len(words)):
+        out += words[j][codes[:, j]]
+    return out
+
+
+def train_books(x: np.ndarray, books: int, size: int, rounds: int, beam: int, rng: np.random.Generator) -> np.ndarray:
+    """(books, size, dim): residual k-means, then encoding and refitting of one book after another."""
+    size, words, residual = max(1, min(size, len(x))), [], x.copy()
     for _ in range(books):
-        centre = residual[rng.choice(len(x), size, replace=False)].copy()
-        for _ in range(8):
-            near = (np.einsum("kd,kd->k", centre, centre) - 2 * residual @ centre.T).argmin(axis=1)
-            order, n = np.argsort(near, kind="stable"), np.bincount(near, minlength=size)
-            full = n > 0
-            centre[full] = np.add.reduceat(residual[order], (np.cumsum(n) - n)[full], axis=0) / n[full, None]
-        near = (np.einsum("kd,kd->k", centre, centre) - 2 * residual @ centre.T).argmin(axis=1)
+        centre = kmeans(residual, size, rng)
         words.append(centre)
-        residual = residual - centre[near]
-    out = Codebooks.of(np.stack(words))
+        residual -= centre[nearest(residual, centre)]
+    out = np.stack(words)
     for _ in range(rounds):
-        codes = np.concatenate([beam_encode(x[a : a + 2048], out, beam)[0] for a in range(0, len(x), 2048)])
-        column = (codes + np.arange(books) * size).astype(np.int64)
-        normal = np.zeros((books * size, books * size), np.float32)
-        for i in range(books):
-            for j in range(books):
-                np.add.at(normal, (column[:, i], column[:, j]), 1)
-        right = np.zeros((books * size, x.shape[1]), np.float32)
-        for i in range(books):
-            np.add.at(right, column[:, i], x)
-        flat = out.words.reshape(books * size, -1)
-        ridge = np.float32(1.0)
-        flat = flat + np.linalg.solve(normal + ridge * np.eye(len(normal), dtype=np.float32), right - normal @ flat)
-        out = Codebooks.of(flat.reshape(books, size, -1))
+        codes = np.concatenate([beam_encode(x[a : a + 1024], out, beam) for a in range(0, len(x), 1024)])
+        residual = x - decoded(codes, out)
+        for j in range(books):
+            wanted = residual + out[j][codes[:, j]]
+            out[j] = means(wanted, codes[:, j].astype(np.int64), out[j])
+            residual = wanted - out[j][codes[:, j]]
     return out
 
 
+def cell_order(q: np.ndarray, cells: np.ndarray, metric: str) -> np.ndarray:
+    """Cells of each query, most promising first."""
+    return np.argsort(-(q @ cells.T) if metric == "ip" else distances(q, cells), axis=1, kind="stable")
+
+
+def probes_needed(x: np.ndarray, cells: np.ndarray, k: int, metric: str, coverage: float, asked: int = 256) -> int:
+    """Cells to probe so that they hold `coverage` of the true k nearest of sampled vectors in the sample."""
+    if len(cells) == 1:
+        return 1
+    q, cell_of = x[:asked], nearest(x, cells)
+    far = -(q @ x.T) if metric == "ip" else distances(q, x)
+    far[np.arange(len(q)), np.arange(len(q))] = np.inf
+    best = np.argsort(far, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.argsort(cell_order(q, cells, metric), axis=1)  # of each cell in a query's order
+    at = np.sort(np.take_along_axis(place, cell_of[best], 1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(coverage * len(at))))]) + 1
+
+
+FRAGMENT_BYTES = 16 << 20
+
+
+@dataclass
+class Index:
+    cells: np.ndarray  # (cells, dim)
+    words: np.ndarray  # (books, size, dim)
+    probes: int
+
+
+def train(x: np.ndarray, n_cells: int, books: int, size: int, k: int, metric: str, coverage: float, rounds: int = 2, beam: int = 4, seed: int = 1) -> Index:
+    rng = np.random.default_rng(seed)
+    cells = kmeans(x, max(1, min(n_cells, len(x) // 8)), rng)
+    return Index(cells, train_books(x[:16384], books, size, rounds, beam, rng), probes_needed(x, cells, k, metric, coverage))
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<double>) of the rows that take part."""
-    v = F.transform(F.col(vector_col), lambda c: c.cast("double") + F.lit(0.0))  # -0.0 is 0.0
+    """(vec_id, v, rep) of the rows that take part; rep is a 128-bit digest of the vector."""
+    v = F.transform(F.col(vector_col), lambda c: c + F.lit(0).cast(vectors.schema[vector_col].dataType.elementType))  # -0.0 is 0.0
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     big = F.lit(float("inf"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (c < big) & (c > -big)) & F.exists("v", lambda c: c != 0)
     rows = rows.filter(F.coalesce(fine, F.lit(False)))
     usual = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    return rows.filter(F.size("v") == (usual["dim"] if usual else 0))
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), "v")), 16, "0")
+    return rows.filter(F.size("v") == (usual["dim"] if usual else 0)).withColumn("rep", F.concat(half(1), half(2)))
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 16, size: int = 256, beam: int = 8, shortlist: int = 200, sample: int = 8192, fragment: int = 8192, query_block: int = 4096, metric: str = "ip") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest by exact score of the shortlists.
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column, in double precision."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
-    is_query: condition on vec_id. metric: "ip" (largest inner product) or "l2" (smallest
-    distance; the score is the negative squared distance).
-    """
-    spark = vectors.sparkSession
-    rows = valid_vectors(vectors, id_col, vector_col)
-    few = rows.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    distinct = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.xxhash64("v", F.col("ids")[0])), "vectors")
-    queries = rows.filter(is_query(F.col("vec_id"))).select(F.monotonically_increasing_id().alias("qid"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    queries = materialize(queries, "queries")
-    n, n_queries = distinct.count(), queries.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n or not n_queries:
-        return spark.createDataFrame([], schema)
-    fit_on = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v", F.lit("sample")), "rep").limit(sample).select("v").collect()])
-    shared = spark.sparkContext.broadcast(train(fit_on, books, size))
+
+def coded_vectors(distinct: DataFrame, shared, beam: int) -> DataFrame:
+    """distinct with codes, norm, scale and cell."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                x = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float32)
-                codes, norms = beam_encode(x, shared.value, beam)
-                flat = pa.array(codes.astype(np.int16).ravel())
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("least"), part.column("v"), pa.FixedSizeListArray.from_arrays(flat, codes.shape[1]).cast(pa.list_(pa.int16())), pa.array(norms, pa.float32())], ["rep", "least", "v", "codes", "norm"])
+                x = matrix(part.column("v")).astype(np.float32)
+                codes = beam_encode(x, index.words, beam)
+                near = decoded(codes, index.words)
+                norm = np.einsum("nd,nd->n", near, near)
+                scale = np.sqrt(np.einsum("nd,nd->n", x, x) / np.maximum(norm, 1e-20))
+                raw = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, raw, pa.array(norm), pa.array(scale), pa.array(nearest(x, index.cells).astype(np.int32))], [*part.schema.names, "codes", "norm", "scale", "cell"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in distinct.dtypes)
+    return distinct.mapInArrow(encode, f"{schema}, codes binary, norm float, scale float, cell int")
+
 
-    coded = distinct.select("rep", F.col("ids")[0].alias("least"), "v").mapInArrow(encode, "rep long, least long, v array<double>, codes array<short>, norm float")
-    fragments, blocks = -(-n // fragment), -(-n_queries // query_block)
-    deal = lambda key, many: F.pmod(F.xxhash64(key, F.lit("deal")), F.lit(many)).cast("int")
-    left = coded.withColumn("f", deal("rep", fragments)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select("qid", "q").withColumn("b", deal("qid", blocks)).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
+def scanner(shared, k: int, shortlist: int, metric: str):
+    """The k + 1 best of a group of codes for each of a group's queries: lookups, shortlist, rerank."""
 
     def scan(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """The k + 1 best of a fragment for each query of a block: lookups, shortlist, rerank."""
         if not len(codes) or not len(asked):
-            return pd.DataFrame({"qid": [], "reps": [], "leasts": [], "far": []})
-        words, c = shared.value.words, np.stack(codes["codes"].to_numpy()).astype(np.int64)
-        rep, least = codes["rep"].to_numpy(np.int64), codes["least"].to_numpy(np.int64)
-        norm, v = codes["norm"].to_numpy(np.float32), np.stack(codes["v"].to_numpy())
-        want, keep, out = min(shortlist, len(rep)), min(k + 1, len(rep)), []
+            return pd.DataFrame({"query": [], "rep": [], "least": [], "score": []})
+        words = shared.value.words
+        c = np.frombuffer(b"".join(codes["codes"]), np.int16).reshape(len(codes), -1).astype(np.int64)
+        rep, least = codes["rep"].to_numpy(object), codes["least"].to_numpy(np.int64)
+        norm, scale = codes["norm"].to_numpy(np.float32), codes["scale"].to_numpy(np.float32)
+        v, want, keep, out = np.stack(codes["v"].to_numpy()), min(shortlist, len(rep)), min(k + 1, len(rep)), []
         for a in range(0, len(asked), 64):
             part = asked.iloc[a : a + 64]
-            exact_q = np.stack(part["q"].to_numpy())
-            q = exact_q.astype(np.float32)
-            lookup = np.einsum("nd,mkd->mnk", q, words, optimize=True)
+            q = np.stack(part["q"].to_numpy())
+            lookup = np.einsum("nd,mkd->mnk", q.astype(np.float32), words, optimize=True)
             near = np.zeros((len(q), len(rep)), np.float32)
             for j in range(len(words)):
                 near += np.take(lookup[j], c[:, j], axis=1)
-            if metric == "l2":
-                near = 2 * near - norm
+            near = near * scale if metric == "ip" else 2 * near - norm
             short = np.argpartition(-near, want - 1, axis=1)[:, :want]
-            if metric == "ip":
-                far = -np.einsum("nd,nsd->ns", exact_q, v[short])
-            else:
-                far = ((exact_q[:, None, :] - v[short]) ** 2).sum(axis=2)
-            best = np.lexsort((least[short], far), axis=1)[:, :keep]
+            chosen = v[short].astype(np.float64)
+            exact = np.einsum("nd,nsd->ns", q.astype(np.float64), chosen) if metric == "ip" else -((q[:, None, :].astype(np.float64) - chosen) ** 2).sum(axis=2)
+            best = np.lexsort((least[short], -exact), axis=1)[:, :keep]
             at = np.take_along_axis(short, best, 1)
-            out.append(pd.DataFrame({"qid": part["qid"].to_numpy(), "reps": list(rep[at]), "leasts": list(least[at]), "far": list(np.take_along_axis(far, best, 1))}))
+            out.append(pd.DataFrame({"query": np.repeat(part["rep"].to_numpy(object), keep), "rep": rep[at].ravel(), "least": least[at].ravel(), "score": np.take_along_axis(exact, best, 1).ravel()}))
         return pd.concat(out)
 
-    listed = left.groupBy("f", "b").cogroup(right.groupBy("f", "b")).applyInPandas(scan, "qid long, reps array<long>, leasts array<long>, far array<double>")
-    # one row a query and fragment: the best of all fragments, with the ids of equal vectors
-    gathered = listed.groupBy("qid").agg(F.flatten(F.collect_list(F.arrays_zip("far", F.col("leasts").alias("least"), F.col("reps").alias("rep")))).alias("all"))
-    top = gathered.select("qid", F.explode(F.slice(F.array_sort("all"), 1, k + 1)).alias("c")).select("qid", F.col("c.rep").alias("rep"), (-F.col("c.far")).alias("score"))
-    scored = top.join(distinct.select("rep", "ids"), "rep").join(queries.select("qid", "query_id"), "qid")
-    by_score = W.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
-    nearest = scored.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= k + 1)
-    hits = nearest.select("qid", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return scan
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 16, size: int = 256, beam: int = 4, shortlist: int = 100, coverage: float = 0.98, least_cells: int = 32, most_cells: int = 4096, fragment: int | None = None, query_block: int = 4096, metric: str = "ip") -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest by exact score of the shortlists.
+
+    is_query: condition on vec_id. metric: "ip" (largest inner product) or "l2" (smallest
+    distance; the score is the negative squared distance). fragment: vectors of a group, those of
+    FRAGMENT_BYTES unless given. The sample is of 16,384 vectors, or 16 for each cell.
+    """
+    spark = vectors.sparkSession
+    rows = valid_vectors(vectors, id_col, vector_col).withColumn("asked", F.coalesce(is_query(F.col("vec_id")), F.lit(False)))
+    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    fragment = fragment or max(1, FRAGMENT_BYTES // (4 * dim))
+    n_cells = min(most_cells, max(least_cells, round(2 * n / fragment)))
+    sample = rows.filter(hash_share(F.col("rep"), n, max(16384, 16 * n_cells), "sample")).select("rep", "v").dropDuplicates(["rep"]).orderBy("rep")
+    x = matrix(sample.select("v").toArrow().column("v")).astype(np.float32) if n else np.zeros((0, 1))
+    if not len(x):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(train(x, n_cells, books, size, k, metric, coverage))
+    del x
+
+    few = rows.withColumn("r", F.row_number().over(W.partitionBy("rep", "asked").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
+    distinct = few.groupBy("rep").agg(F.first("v").alias("v"), ids.alias("ids"), F.bool_or("asked").alias("asked")).withColumn("least", F.col("ids")[0])
+    coded = materialize(coded_vectors(distinct, shared, beam), "coded")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                order = cell_order(matrix(part.column("q")).astype(np.float32), index.cells, metric)[:, : index.probes]
+                take = pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("q").take(take), pa.array(order.ravel().astype(np.int32))], ["rep", "q", "cell"])
+
+    asked = coded.filter("asked").select("rep", F.col("v").alias("q"))
+    probed = asked.mapInArrow(probe, f"rep string, q {dict(asked.dtypes)['q']}, cell int")
+    parts = coded.groupBy("cell").agg(F.ceil(F.count("*") / fragment).cast("int").alias("fragments"))
+    blocks = probed.select("cell").groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("blocks"))
+    deals = F.broadcast(parts.join(blocks, "cell"))  # a row for each cell: most_cells at most
+    deal = lambda many: F.pmod(F.xxhash64("rep", F.lit("deal")), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    left = coded.join(deals, "cell").select("cell", deal("fragments").alias("f"), every("blocks").alias("b"), "rep", "least", "v", "codes", "norm", "scale")
+    right = probed.join(deals, "cell").select("cell", every("fragments").alias("f"), deal("blocks").alias("b"), "rep", "q")
+    group = ["cell", "f", "b"]
+    listed = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(scanner(shared, k, shortlist, metric), "query string, rep string, least long, score double")
+
+    best = W.partitionBy("query").orderBy(F.desc("score"), "least")
+    top = listed.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r", "least")
+    found = top.join(coded.select("rep", "ids"), "rep").select("query", "rep", "score", "ids")
+    queries = rows.filter("asked").groupBy(F.col("rep").alias("query"), F.col("vec_id").alias("query_id")).agg(F.count("*").alias("copies"))
+    hits = found.join(queries, "query").select("query", "query_id", "copies", "rep", "score", F.posexplode("ids").alias("at", "vec_id"), F.array_position("ids", F.col("query_id")).alias("own"))
+    hits = hits.filter((F.col("query") != F.col("rep")) | (F.col("at") + 1 != F.col("own")))  # a query's own row, once
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
