@@ -1,16 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages: windows of two and of three blocks of `block` words, one block
-apart, so an item of up to 2 * block words lies whole in one of them (longer items are searched by
-segments of that length). Passages and items are TF-IDF vectors over the benchmark's own
+apart, so an item of up to 2 * block words lies whole in one of them. Longer items are searched by
+segments of that length, the last one overlapping the one before, so that no word is left out. Passages and items are TF-IDF vectors over the benchmark's own
 words; a randomised SVD with one power iteration, summed over the cluster, gives their latent
 space. Passages within `min_cosine` of an item are candidates; the longest common subsequence
-of words with the item, and with its last quarter, the answer, then decides.
+of words with the item, and with its last quarter, the answer, then decides (of a long item each
+segment by itself; the answer goes with the last one).
 
 The document frequencies behind IDF cover all blocks of all texts, and so does the SVD, with the
 items; every passage of every text is searched. The latent space has `rank_share` dimensions for
 each segment of an item, as far as there are terms; `min_cosine` is chosen by measured recall
-(README): what falls below is lost.
+(README): what falls below is lost. The benchmark is searched `most_items` items at a time, so what
+tasks hold is bounded whatever its size.
 
 Defined results: null and empty texts and items give no row; an item of fewer than
 `min_item_words` words is searched too, by the same rules; the best passage of each
@@ -57,19 +59,22 @@ def lcs(item: np.ndarray, passage: list[int]) -> int:
 class Benchmark:
     terms: dict[bytes, int]
     segments: list[tuple[int, np.ndarray]]  # item id and its term numbers
+    answers: list[np.ndarray]  # of each segment: the end of the item, empty but in its last segment
     block: int
 
 
-def read_items(benchmark: DataFrame, block: int) -> Benchmark:
-    """The benchmark's items: a table that is small by nature, read whole."""
+def read_items(items: DataFrame, block: int) -> Benchmark:
+    """A bounded number of items (item_id, text)."""
     terms: dict[bytes, int] = {}
-    segments = []
-    for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().toLocalIterator():
+    segments, answers = [], []
+    for item, text in items.orderBy("item_id", "text").toLocalIterator():
         ids = np.array([terms.setdefault(w, len(terms)) for w in words_of(text.encode())], np.int64)
-        for at in range(0, len(ids), 2 * block):
-            if at == 0 or len(ids) - at >= block:
+        if len(ids):
+            last = max(0, len(ids) - 2 * block)
+            for at in [*range(0, last, 2 * block), last]:
                 segments.append((item, ids[at : at + 2 * block]))
-    return Benchmark(terms, segments, block)
+                answers.append(ids[-max(1, len(ids) // 4) :][-2 * block :] if at == last else ids[:0])
+    return Benchmark(terms, segments, answers, block)
 
 
 def numbered(raw: list[bytes], terms: dict[bytes, int], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,67 +144,87 @@ def vectors(ids: np.ndarray, place: np.ndarray, n: int, weighted: np.ndarray, us
     return out
 
 
-def compacted(texts: DataFrame, bench, used: np.ndarray) -> DataFrame:
-    """(ids, place): the weighted terms of all texts and their blocks, a row for each part of a batch."""
+def pair_counts(texts: DataFrame, bench, used: np.ndarray) -> DataFrame:
+    """(i, j, n): how often weighted terms meet in one block, over all blocks; a term with itself included.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A block's few weighted terms are paired by their distance within it. Counted in each task
+    first, in flushes of bounded size.
+    """
+    size = len(used)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for batch in batches:
             for part in text_parts(batch):
                 ids, place, _, _ = numbered(raw_texts(part), bench.value.terms, bench.value.block)
-                kept = (ids >= 0) & used[ids]
-                ends = pa.array([0, int(kept.sum())], pa.int32())
-                blocks = np.cumsum(np.diff(place[kept], prepend=-1) > 0) - 1
-                columns = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (ids[kept], blocks)]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", "place"])
-
-    return texts.mapInArrow(scan, "ids array<int>, place array<int>")
-
-
-def latent_basis(terms: DataFrame, segments, idf: np.ndarray, rank: int, oversampling: int = 16, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF passages, terms by rank.
-
-    Randomised range finding: each pass sums A'(A Q) over the cluster, one row a term, with
-    `oversampling` more columns than are kept. terms: the rows of `compacted`.
+                kept = (ids >= 0) & used[np.maximum(ids, 0)]
+                ids, place = ids[kept], place[kept]
+                held.append(ids * size + ids)
+                for lag in range(1, bench.value.block):
+                    met = place[lag:] == place[:-lag]
+                    if not met.any():
+                        break
+                    a, b = ids[:-lag][met], ids[lag:][met]
+                    held.append(np.minimum(a, b) * size + np.maximum(a, b))
+                    held.append(held[-1][a == b])  # a term's square holds each pair of its places twice
+                many += sum(map(len, held))
+                if many > 4_000_000:
+                    yield rows(held)
+                    held, many = [], 0
+        if held:
+            yield rows(held)
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_pydict({"i": pa.array(code // size), "j": pa.array(code % size), "n": pa.array(n.astype(np.int64))})
+
+    return texts.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+
+
+def grouped_sum(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """total[at] += values, where at may repeat."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        total[at[order[starts]]] += np.add.reduceat(values[order], starts, axis=0)
+
+
+def latent_basis(pairs: DataFrame, segments: list[tuple[int, np.ndarray]], idf: np.ndarray, rank: int, oversampling: int = 16, seed: int = 7) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF passages and items, terms by rank.
+
+    Randomised range finding: A'A of the passages is the weighted table of pair counts, and each
+    pass multiplies it over the cluster with `oversampling` more columns than are kept; every term's
+    row is complete in one task.
     """
     size = len(idf)
     width = min(rank + oversampling, size)
-    spark = terms.sparkSession
+    spark = pairs.sparkSession
+    both = pairs.unionByName(pairs.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    lengths = [len(s) for _, s in segments]
+    of_items, item = np.concatenate([s for _, s in segments]), np.repeat(np.arange(len(lengths)), lengths)
 
     def gram(q: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(q)
+        shared = spark.sparkContext.broadcast(q.astype(np.float32))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((size, width))
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    ids, place = (batch.column(c)[k].values.to_numpy().astype(np.int64) for c in ("ids", "place"))
-                    total += spread(ids, place, int(place[-1]) + 1 if len(place) else 0, shared.value)
-            held = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_pydict({"term": pa.array(held), "part": pa.array([x.tobytes() for x in total[held]], pa.binary())})
-
-        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out: dict[int, np.ndarray] = {}
+            total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for t, x in zip(batch.column("term").to_pylist(), batch.column("part").to_pylist()):
-                    out[t] = out[t] + np.frombuffer(x) if t in out else np.frombuffer(x)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(out), pa.int64()), "part": pa.array([x.tobytes() for x in out.values()], pa.binary())})
+                for a in range(0, batch.num_rows, 4096):
+                    i, j, n = (c.to_numpy() for c in batch.slice(a, 4096).columns)
+                    terms, row = np.unique(i, return_inverse=True)
+                    part = np.zeros((len(terms), width))
+                    grouped_sum(part, row, (n * idf[i] * idf[j])[:, None] * shared.value[j])
+                    for t, x in zip(terms.tolist(), part):
+                        total[t] = total[t] + x if t in total else x
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.int64()), "part": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
         out = np.zeros((size, width))
-        schema = "term long, part binary"
-        for r in terms.mapInArrow(multiply, schema).repartition("term").mapInArrow(summed, schema).collect():  # a row for each of the benchmark's terms
+        for r in both.select("i", "j", "n").repartition("i").mapInArrow(multiply, "term long, part binary").toLocalIterator():  # a row for each term of the items
             out[r["term"]] = np.frombuffer(r["part"])
-        lengths = [len(s) for _, s in segments]
-        return out + spread(np.concatenate([s for _, s in segments]), np.repeat(np.arange(len(lengths)), lengths), len(lengths), q)
-
-    def spread(ids: np.ndarray, place: np.ndarray, n: int, q: np.ndarray) -> np.ndarray:
-        out = np.zeros((size, width))
-        used = np.flatnonzero((ids >= 0) & (idf[ids] > 0))
-        if len(used):
-            y = vectors(ids, place, n, idf[:, None] * q, idf > 0)
-            order = used[np.argsort(ids[used], kind="stable")]
-            starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            out[ids[order[starts]]] = np.add.reduceat(y[place[order]], starts, axis=0)
-        return idf[:, None] * out
+        own = vectors(of_items, item, len(lengths), idf[:, None] * q, idf > 0)
+        grouped_sum(out, of_items, idf[of_items][:, None] * own[item])
+        shared.unpersist()
+        return out
 
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))
     q, _ = np.linalg.qr(gram(q))
@@ -208,24 +233,39 @@ def latent_basis(terms: DataFrame, segments, idf: np.ndarray, rank: int, oversam
     return (q @ turn[:, ::-1][:, values[::-1] > 1e-9][:, :rank]).astype(np.float32)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 32, rank_share: float = 2.0, min_cosine: float = 0.2, min_lcs: float = 0.75, loose_lcs: float = 0.6, min_answer: float = 0.75, common: float = 0.003) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_items: int = 500, **parameters) -> DataFrame:
     """(doc_id, item_id, first_word, cosine, lcs, answer): the best passage of each leaked item.
 
-    A candidate is a leak where its share of the item's words in common order is min_lcs or
+    Items come in shards of about most_items; parameters: see `contaminated_by`.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    shards = max(1, -(-items.count() // most_items))
+    found = docs.sparkSession.createDataFrame([], LEAKS)
+    for k in range(shards):
+        found = found.unionByName(contaminated_by(rows, read_items(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k), parameters.get("block", 32)), **parameters))
+    best = F.max(F.struct("lcs", "answer", "cosine", (-F.col("first_word")).alias("before"))).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.before")).alias("first_word"), "best.cosine", "best.lcs", "best.answer")
+
+
+LEAKS = "doc_id long, item_id long, first_word long, cosine double, lcs double, answer double"
+
+
+def contaminated_by(rows: DataFrame, bench: Benchmark, block: int = 32, rank_share: float = 2.0, min_cosine: float = 0.2, min_lcs: float = 0.75, loose_lcs: float = 0.6, min_answer: float = 0.75, common: float = 0.003) -> DataFrame:
+    """All passages of the rows (doc_id, text) that hold an item.
+
+    A candidate is a leak where its share of the segment's words in common order is min_lcs or
     more, or loose_lcs with min_answer of the answer's. Terms in over `common` of all blocks
     carry no weight in the vectors, but for the rarer half of each item's terms.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    bench = read_items(benchmark, block)
-    schema = "doc_id long, item_id long, first_word long, cosine double, lcs double, answer double"
+    spark = rows.sparkSession
     if not bench.terms:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], LEAKS)
     shared = spark.sparkContext.broadcast(bench)
     df, n_blocks = document_frequencies(rows.select("text"), shared, len(bench.terms))
     idf = term_weights(df, n_blocks, [s for _, s in bench.segments], common)
-    terms = materialize(compacted(rows.select("text"), shared, idf > 0), "terms")
-    basis = latent_basis(terms, bench.segments, idf, ceil(rank_share * len(bench.segments)))
+    pairs = materialize(pair_counts(rows.select("text"), shared, idf > 0), "pairs")
+    basis = latent_basis(pairs, bench.segments, idf, ceil(rank_share * len(bench.segments)))
     lengths = [len(s) for _, s in bench.segments]
     weighted, used = (idf[:, None] * basis).astype(np.float32), idf > 0
     latent = vectors(np.concatenate([s for _, s in bench.segments]), np.repeat(np.arange(len(lengths)), lengths), len(lengths), weighted, used)
@@ -236,6 +276,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         bench, (weighted, used, latent) = shared.value, space.value
         segments = bench.segments
         lists = [s.tolist() for _, s in segments]
+        least = [loose_lcs if len(a) else min_lcs for a in bench.answers]
         for batch in batches:
             for part in text_parts(batch):
                 doc_ids = part.column("doc_id").to_pylist()
@@ -243,42 +284,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 n = int(blocks[-1])
                 each = vectors(ids, place, n, weighted, used)
                 row = np.repeat(np.arange(len(doc_ids)), np.diff(blocks))
-                passage, wide = each, []
-                for k in (1, 2):
-                    follows = np.flatnonzero(row[k:] == row[:-k]) if n > k else np.zeros(0, np.int64)
-                    passage = passage.copy()
-                    passage[follows] += each[follows + k]
-                    wide.append(passage)
-                found = []
-                for a in range(0, n, 4096):
-                    at = np.arange(a, min(a + 4096, n))
-                    cosine = np.zeros((len(at), len(segments)), np.float32)
-                    for passage in wide:  # windows of two and of three blocks
-                        length = np.linalg.norm(passage[at], axis=1, keepdims=True)
-                        np.maximum(cosine, passage[at] @ latent.T / np.maximum(length, 1e-6), out=cosine)
-                    last = -1
-                    for p, s in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
-                        if p != last:
-                            b, last = int(at[p]), p
-                            first = int(words[row[b]]) + (b - int(blocks[row[b]])) * bench.block
-                            window = ids[first : min(first + 3 * bench.block, int(words[row[b] + 1]))].tolist()
-                            holds = set(window).__contains__
-                        item, wanted = segments[s]
-                        if sum(map(holds, lists[s])) < loose_lcs * len(wanted):
-                            continue  # no more positions can be shared than have their word in the window
-                        share = lcs(wanted, window) / len(wanted)
-                        tail = wanted[-max(1, len(wanted) // 4) :]
-                        if share >= loose_lcs:
-                            answer = lcs(tail, window) / len(tail)
-                            if share >= min_lcs or answer >= min_answer:
-                                found.append((doc_ids[row[b]], item, first - int(words[row[b]]), float(cosine[p, s]), share, answer))
+                dots, square = each @ latent.T, np.einsum("nd,nd->n", each, each)
+                beside = [np.zeros(n, np.float32) for _ in range(3)]  # inner products with the block 1 and 2 on
+                follows = [np.flatnonzero(row[k:] == row[:-k]) if n > k else np.zeros(0, np.int64) for k in (1, 2)]
+                for k, at in enumerate(follows, 1):
+                    beside[k][at] = np.einsum("nd,nd->n", each[at], each[at + k])
+                cosine, window, length = np.zeros_like(dots), dots.copy(), square.copy()
+                for k, at in enumerate(follows, 1):  # windows of two and of three blocks, by their blocks' products
+                    window[at] += dots[at + k]
+                    length[at] += square[at + k] + 2 * beside[k][at] + (2 * beside[1][at + 1] if k == 2 else 0)
+                    np.maximum(cosine, window / np.sqrt(np.maximum(length, 1e-12))[:, None], out=cosine)
+                found, last = [], -1
+                for b, s in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
+                    if b != last:
+                        last = b
+                        first = int(words[row[b]]) + (b - int(blocks[row[b]])) * bench.block
+                        passage = ids[first : min(first + 3 * bench.block, int(words[row[b] + 1]))].tolist()
+                        holds = set(passage).__contains__
+                    item, wanted = segments[s]
+                    if sum(map(holds, lists[s])) < least[s] * len(wanted):
+                        continue  # no more positions can be shared than have their word in the window
+                    share, tail = lcs(wanted, passage) / len(wanted), bench.answers[s]
+                    if share >= least[s]:
+                        answer = lcs(tail, passage) / len(tail) if len(tail) else 0.0
+                        if share >= min_lcs or answer >= min_answer:
+                            found.append((doc_ids[row[b]], item, first - int(words[row[b]]), float(cosine[b, s]), share, answer))
                 columns = list(zip(*found)) or [()] * 6
                 kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "first_word", "cosine", "lcs", "answer"])
 
-    found = rows.mapInArrow(search, schema)
-    best = F.max(F.struct("lcs", "answer", "cosine", (-F.col("first_word")).alias("before"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.before")).alias("first_word"), "best.cosine", "best.lcs", "best.answer")
+    return rows.mapInArrow(search, LEAKS)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
