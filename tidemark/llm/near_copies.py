@@ -1,10 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
-Candidates share one of `BANDS` bands of `ROWS` MinHash values; a pair at similarity s shares
-none with probability (1 - s^ROWS)^BANDS, 7e-5 at 0.8 and less above. Every candidate link is
-verified on the shingles themselves before components are taken. (64-bit SimHash is no search
-for this: at 0.8 two fingerprints differ in 9.7 bits on average, beyond what partitions of 64
-bits can select by.)
+The search is that of the SimHash operator, by the generalised pigeonhole principle on
+fingerprints of the same shingles, within `radius` bits. It can't give all pairs at 0.8 by
+itself: two such fingerprints differ in 9.7 bits on average, beyond what partitions of 64 bits
+can select by. So pairs that share one of `BANDS` bands of `ROWS` MinHash values are candidates
+as well; a pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 7e-5 at 0.8
+and less above. Every candidate link, of either kind, is verified on the shingles themselves
+before components are taken.
 
 A bucket of up to `small` texts gives all its pairs. A larger one is first verified against one
 text of it; then, where it still holds several components, every text outside its largest one is
@@ -14,7 +16,7 @@ its size, not its square, and no pair that could join two components is left out
 Defined results: texts are lower-cased in ASCII and split at white space; texts equal after
 that are one class, by a 64-bit digest; a text of fewer than five words is one shingle, a null
 or empty one has none and is linked to its like only; a component's id is its smallest
-non-null doc_id.
+non-null doc_id, and rows of one doc_id with different texts are told apart by their keys.
 """
 
 from __future__ import annotations
@@ -24,19 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, raw_texts, text_parts
-from .op4_simhash import SEED, components, shingle_bounds
+from .op4_simhash import SEED, components, fingerprint, links, shingle_bounds
 
 ROWS, BANDS = 5, 24
 _MULTIPLY = (mix64(np.arange(1, ROWS * BANDS + 1)) | np.uint64(1)).astype(np.uint32)[:, None]
 _FLIP = mix64(np.arange(1001, ROWS * BANDS + 1001)).astype(np.uint32)[:, None]
 
 
-def class_keys(raw: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in raw], np.uint64).view(np.int64)
+def class_key(text: Column) -> Column:
+    """Digest of a text's words, lower-cased in ASCII; null and blank texts have the same."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")))
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -61,19 +65,19 @@ def signature(held: set[bytes]) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, key, bands) of every row; bands is empty for a text without words."""
+    """(doc_id, key, fp, bands) of every row; bands is empty for a text without words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch):
                 raw = raw_texts(part)
-                keys = class_keys(raw)
+                fps = np.array([fingerprint(t, size) for t in raw], np.uint64).view(np.int64)
                 bands = [signature(held) if (held := shingles(t, size)) else np.zeros(0, np.int64) for t in raw]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32))
                 flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(fps), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "key", "fp", "bands"])
 
-    return rows.mapInArrow(scan, "doc_id long, key long, bands array<long>")
+    return rows.mapInArrow(scan, "doc_id long, key long, fp long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -100,16 +104,25 @@ def ordered(frame: DataFrame) -> DataFrame:
     return frame.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
+def labelled(keys: DataFrame, edges: DataFrame) -> DataFrame:
     """keys with the component of each, itself where it has no link."""
-    return keys.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    return keys.join(components(edges).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, small: int = 16, block: int = 256) -> DataFrame:
-    """(doc_id, component_id) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprint_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): keys whose fingerprints are equal or linked by the SimHash operator's search."""
+    fps = materialize(classes.groupBy("fp").agg(F.min("key").alias("rep")), "prints")
+    equal = classes.select("fp", F.col("key").alias("b")).join(fps.withColumnRenamed("rep", "a"), "fp").select("a", "b")
+    side = lambda c: fps.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
+    near = links(fps.select("fp"), radius).join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    return equal.unionByName(near)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 3, small: int = 16, block: int = 256) -> DataFrame:
+    """(doc_id, key, comp, component_id) of every row; comp: a key of the component, also where no row has an id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", class_key(F.col("text")))
     prints = materialize(sketches(rows, size), "sketches")
-    classes = prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    classes = prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     at = ["band", "value"]
     buckets = classes.select("key", F.posexplode("bands").alias("band", "value"))
     sizes = buckets.groupBy(*at).agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "band")).alias("pivot")).filter("n > 1")
@@ -117,13 +130,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = buckets.filter(F.col("n") <= small).groupBy(*at).agg(F.array_sort(F.collect_list("key")).alias("keys"))
     pairs = few.select(F.explode("keys").alias("a"), "keys").select("a", F.explode("keys").alias("b")).filter("a < b")
     stars = buckets.filter(F.col("n") > small).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    pairs = materialize(ordered(pairs.unionByName(stars)), "pairs")
+    pairs = materialize(ordered(pairs.unionByName(stars).unionByName(fingerprint_pairs(classes.select("key", "fp"), radius))), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(buckets.filter(F.col("n") > small).select("key")).distinct()
-    texts = materialize(keyed_texts(rows).join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    links = materialize(verified(pairs, texts, size, similarity), "verified")
+    texts = materialize(rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    edges = materialize(verified(pairs, texts, size, similarity), "verified")
     large = buckets.filter(F.col("n") > small).select("key", *at)
     if not large.isEmpty():
-        large = materialize(labelled(large, links), "large")
+        large = materialize(labelled(large, edges), "large")
         parts = large.groupBy(*at, "comp").agg(F.count("*").alias("n"))
         most = parts.groupBy(*at).agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
         blocks = F.ceil(F.col("n") / block).cast("int")
@@ -131,19 +144,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         outer = open_.filter("comp <> most").select(*at, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("a"), F.col("comp").alias("of_a"))
         inner = open_.select(*at, F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("b"), F.col("comp").alias("of_b"))
         across = ordered(outer.join(inner, [*at, "block"]).filter("of_a <> of_b")).join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(materialize(verified(across, texts, size, similarity), "verified"))
-    classes = labelled(prints.groupBy("key").agg(F.min("doc_id").alias("least")), links)
+        edges = edges.unionByName(materialize(verified(across, texts, size, similarity), "verified"))
+    classes = labelled(prints.groupBy("key").agg(F.min("doc_id").alias("least")), edges)
     ids = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "key").join(classes.join(ids, "comp").select("key", "component_id"), "key").select("doc_id", "component_id")
-
-
-def keyed_texts(rows: DataFrame) -> DataFrame:
-    """(key, text) of every row."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_parts(batch):
-                keys = class_keys(raw_texts(part))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("text")], ["key", "text"])
-
-    return rows.select("text").mapInArrow(scan, "key long, text string")
+    return prints.select("doc_id", "key").join(classes.join(ids, "comp").select("key", "comp", "component_id"), "key")

@@ -176,9 +176,9 @@ def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocab: Vocab
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0, vocab: Vocabulary | None = None, path: str = VOCAB_PATH) -> DataFrame:
-    """(id, n_pieces, piece_digest, lossless): encode and decode every text in one pass.
+    """(id, piece_ids, n_pieces, piece_digest, lossless): encode and decode every text in one pass.
 
-    piece_digest: XXH64 of the ids as 32-bit little-endian numbers, null for a null text;
+    piece_ids: null for a null text; piece_digest: XXH64 of the ids as 32-bit little-endian numbers, null for a null text;
     lossless: whether the decoded bytes are the text's.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab or load_vocabulary(path))
@@ -193,9 +193,10 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = ids.astype("<i4")
                 digest = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], np.uint64).view(np.int64)
                 absent = part.column("text").is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digest, mask=absent), pa.array(exact, pa.bool_())], ["id", "n_pieces", "piece_digest", "lossless"])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(absent))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(np.diff(bounds)), pa.array(digest, mask=absent), pa.array(exact, pa.bool_())], ["id", "piece_ids", "n_pieces", "piece_digest", "lossless"])
 
-    return keyed(docs, id_col, text_col, seed).mapInArrow(sample, "id long, n_pieces long, piece_digest long, lossless boolean").withColumnRenamed("id", id_col)
+    return keyed(docs, id_col, text_col, seed).mapInArrow(sample, "id long, piece_ids array<int>, n_pieces long, piece_digest long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def op6_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
