@@ -2,7 +2,9 @@
 
 Language ID, near-duplicates (five-word shingles, Jaccard 0.8), repeated passages, benchmark decontamination, pieces.
 Each stage works on all that the one before kept. Rows with a null id can't be compared by
-id: they pass the passage and decontamination stages untouched.
+id: they pass the passage and decontamination stages untouched. Rows that share an id are told
+apart by their texts in near_duplicates; passages and decontaminated take them for one document
+(a leak in one drops all rows of the id). Empty tables give empty results in every stage.
 """
 
 from __future__ import annotations
@@ -25,34 +27,49 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of near copies; repeated rows are one document."""
+    """Keeps one row of every component of near copies.
+
+    It is the row of the smallest doc_id, of the smallest text digest if that id has several
+    texts there; a row without an id stays only where the component has no other. Null, empty
+    and blank texts are one component.
+    """
     bounded_batches(spark)
     found = near_copies.near_copies(docs.select("doc_id", "text"))
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
-    firsts = materialize(firsts.withColumnRenamed("doc_id", "first_id"), "firsts")
-    same = docs["doc_id"].eqNullSafe(firsts["first_id"])
-    once = docs.join(firsts.filter("copies = 1"), same, "left_semi")
-    more = docs.join(firsts.filter("copies > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    rows = found.groupBy("comp", "doc_id", "key").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key", "copies")).alias("r"))
+    firsts = materialize(first.select(F.col("r.doc_id").alias("first_id"), F.col("r.key").alias("first_key"), F.col("r.copies").alias("copies")), "firsts")
+    keyed = docs.withColumn("__key", near_copies.class_key(F.col("text").cast("string")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(firsts["first_id"]) & (keyed["__key"] == firsts["first_key"])
+    once = keyed.join(firsts.filter("copies = 1"), same, "left_semi")
+    more = keyed.join(firsts.filter("copies > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of all documents but their first; drops texts left blank."""
+    """Cuts repeated passages out of all documents but their first; drops texts left blank.
+
+    Texts that were null or blank before stay. A column n_chars, where there is one, is set anew.
+    """
     bounded_batches(spark)
     cut = op7_chunks.remove_passages(docs.withColumn("__had_text", F.trim("text") != ""), op7_chunks.repeated_passages(docs))
     left = cut.filter(~(F.coalesce("__had_text", F.lit(False)) & (F.trim("text") == ""))).drop("__had_text")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item; null and empty texts hold none."""
     bounded_batches(spark)
     leaks = op9_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentation of every text and its exact inverse, as counts and digests."""
+    """(doc_id, piece_ids, n_pieces, piece_digest, lossless): a sampled segmentation of every text, checked by decoding it.
+
+    Null texts have null piece_ids, empty ones none; `op6_sampling.decode` gives the texts back.
+    """
     bounded_batches(spark)
     return op6_sampling.round_trip(docs)
 
