@@ -17,6 +17,11 @@ def words_pattern(words: Iterable[str], ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + _BEFORE + "(?:" + "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-") for w in words) + ")" + _AFTER
 
 
+def either(texts: Iterable[str]) -> str:
+    """Pattern of any of the texts as they are, inside words too."""
+    return "|".join(re.escape(t).replace("\\ ", " ").replace("\\-", "-") for t in texts)
+
+
 def count_words(text: Column, words: Iterable[str]) -> Column:
     return F.regexp_count(text, F.lit(words_pattern(words)))
 
@@ -33,8 +38,10 @@ def has_market_context(text: Column) -> Column:
 
 
 def is_solicitation(text: Column) -> Column:
-    """Class-action marketing: the topic together with a solicitation cue."""
-    return text.rlike(words_pattern(V.CLASS_ACTION_TOPIC, True)) & text.rlike(words_pattern(V.SOLICITATION, True))
+    """Class-action marketing: a plaintiff firm's name, or the topic together with a solicitation cue."""
+    firm = text.rlike(rf"(?i){_BEFORE}(?:{'|'.join(V.LAW_FIRMS)}){_AFTER}")
+    cue = text.rlike(words_pattern(V.SOLICITATION, True)) | text.rlike(rf"(?i){_BEFORE}{V.SOLICITATION_STEM}[A-Za-z0-9_]+{_AFTER}")
+    return firm | (text.rlike(words_pattern(V.CLASS_ACTION_TOPIC, True)) & cue)
 
 
 def headline_quality(title: Column) -> Column:
@@ -44,19 +51,35 @@ def headline_quality(title: Column) -> Column:
     return F.when(F.coalesce(F.trim(title), F.lit("")) == "", -1).when(templated | is_solicitation(title), 0).otherwise(extra + 1)
 
 
-def is_possible_ticker(token: Column, stop: Iterable[str] = V.AMBIGUOUS_TICKERS) -> Column:
+def is_possible_ticker(token: Column, stop: Iterable[str] = V.TICKER_STOP_WORDS) -> Column:
+    """One to five capitals and digits, a capital first, and no word that is a ticker in no form."""
     return token.rlike("^[A-Z][A-Z0-9]{0,4}$") & ~token.isin(*stop)
 
 
-def ticker_candidates(df: DataFrame, text: str = "text", key: str = "doc_id", stop: Iterable[str] = V.AMBIGUOUS_TICKERS) -> DataFrame:
-    """(key, ticker, confidence): cashtag 3, `ticker: X` 2.6, (X) 2.4, bare capitals 1; the best of each."""
-    forms = [(r"\$([A-Z][A-Z0-9]{0,4})(?![A-Z0-9])", 3.0), (r"(?<![A-Za-z0-9_])ticker[:\s]+([A-Z][A-Z0-9]{0,4})(?![A-Za-z0-9_])", 2.6), (r"\(([A-Z][A-Z0-9]{1,4})\)", 2.4), (r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9]{1,4})(?![A-Za-z0-9_])", 1.0)]
+def is_common_word(ticker: Column) -> Column:
+    return F.upper(ticker).isin(*V.COMMON_WORDS)
+
+
+def is_gated(ticker: Column) -> Column:
+    """Tickers that a bare word is no mention of: ambiguous ones, common words, single letters."""
+    return ticker.isin(*V.AMBIGUOUS_TICKERS) | is_common_word(ticker) | (F.length(ticker) == 1)
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<ticker, confidence>>: cashtag 3, `ticker: X` 2.6, (X) 2.4, bare capitals 1; a ticker once for each form."""
+
     def rated(pattern: str, confidence: float) -> Column:
-        return F.transform(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))), lambda t: F.struct(t.alias("ticker"), F.lit(confidence).alias("confidence")))
+        return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda t: F.struct(t.alias("ticker"), F.lit(confidence).alias("confidence")))
+
+    forms = [rated(*form) for form in V.TICKER_FORMS]
+    forms[-1] = F.filter(forms[-1], lambda x: ~x["ticker"].isin(*V.AMBIGUOUS_TICKERS, *V.COMMON_WORDS))
+    return F.filter(F.concat(*forms), lambda x: is_possible_ticker(x["ticker"]))
 
-    found = F.concat(*(rated(p, c) for p, c in forms))
-    rows = df.select(key, F.explode(found).alias("x")).select(key, "x.*")
-    return rows.filter(is_possible_ticker(F.col("ticker"), stop)).groupBy(key, "ticker").agg(F.max("confidence").alias("confidence"))
+
+def ticker_candidates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, ticker, confidence): the best form of each ticker that a text holds."""
+    rows = df.select(key, F.explode(candidates(F.col(text))).alias("x")).select(key, "x.*")
+    return rows.groupBy(key, "ticker").agg(F.max("confidence").alias("confidence"))
 
 
 def _decode_references(text: Column, mark: str, digits: str, base: int) -> Column:
@@ -107,14 +130,76 @@ def iso_week(date: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), date), F.lit("-W"), F.lpad(F.extract(F.lit("WEEK"), date).cast("string"), 2, "0"))
 
 
-def brand_aliases(name: Column, stop: Iterable[str] = ("the", "american", "first", "general", "national")) -> Column:
-    """Brand names of a company: without legal suffixes, whole (two words, 6 characters) and its lead word (4 characters)."""
-    suffix = r"(?i)[,.]?\s+(inc|incorporated|corp|corporation|company|co|ltd|limited|plc|holdings?|group|sa|nv|ag)\.?$"
-    brand = F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, suffix, ""), suffix, "")))
-    parts = F.split(brand, r"\s+")
+def company_for_search(name: Column) -> Column:
+    """A company's name without state tags, legal suffixes and punctuation."""
+    plain = F.regexp_replace(name, r"(?i)/[a-z]{2}\s*$", " ")
+    plain = F.regexp_replace(plain, rf"(?i){_BEFORE}(inc|incorporated|corp|corporation|company|co|ltd|limited|plc|holdings?|group|class [a-c]|common stock|the){_AFTER}", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[.,&/]", " "), r"\s+", " "))
+
+
+def brand_aliases(name: Column) -> Column:
+    """Lower-case aliases of a company: the whole brand (two words, 6 characters) and its lead word (4 characters, not a general one)."""
+    brand = F.lower(company_for_search(name))
+    parts = F.split(brand, " ")
     whole = F.when((F.size(parts) > 1) & (F.length(brand) >= 6), brand)
-    lead = F.when((F.length(parts[0]) >= 4) & ~parts[0].isin(*stop), parts[0])
-    return F.array_distinct(F.array_compact(F.array(whole, lead)))
+    lead = F.when((F.length(parts[0]) >= 4) & ~parts[0].isin(*V.BRAND_STOP_WORDS) & ~is_common_word(parts[0]), parts[0])
+    return F.when(brand.rlike("[a-z]"), F.array_distinct(F.array_compact(F.array(whole, lead)))).otherwise(F.array().cast("array<string>"))
+
+
+def company_title(title: Column) -> Column:
+    """Title case for names that are all capitals."""
+    lower = F.lower(title)
+    starts = F.regexp_extract_all(lower, F.lit(r"([a-z]+|[^a-z]+)"), F.lit(1))  # runs of letters and of others
+    last = lambda run: F.substring(run, -1, 1)
+    cased = F.aggregate(starts, F.lit(""), lambda done, run: F.concat(done, F.when(run.rlike("^[a-z]") & ~last(done).rlike("[0-9_]"), F.concat(F.upper(F.substring(run, 1, 1)), F.substr(run, F.lit(2)))).otherwise(run)))
+    return F.when(title == F.upper(title), cased).otherwise(title)
+
+
+def spaced_camel_case(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), r"\s+", " "))
+
+
+def first_sentences(text: Column, sentences: int, characters: int) -> Column:
+    """The first sentences, cut to a number of characters with an ellipsis."""
+    found = F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]+"), F.lit(0))
+    out = F.trim(F.when(F.size(found) > 0, F.array_join(F.slice(found, 1, sentences), " ")).otherwise(text))
+    return F.when(F.length(out) > characters, F.concat(F.trim(F.substring(out, 1, characters - 1)), F.lit("…"))).otherwise(out)
+
+
+def news_title(source: Column, title: Column) -> Column:
+    """A headline for display: without the site and country that one source appends, references decoded."""
+    plain = F.trim(F.regexp_replace(title, r"\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?i)\s+[a-z0-9.-]+\.[a-z]{2,}(\s+[a-z]{2,})?\s*$", ""), r"\s*\.\s*$", ""))
+    out = F.when(source == "GDELT News", bare).otherwise(plain)
+    for reference, char in (("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(reference), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def is_company_match(query: Column, title: Column, description: Column) -> Column:
+    """Whether an article's title and one-line description are those of the company asked for."""
+
+    def significant(x: Column) -> Column:
+        words = F.split(F.regexp_replace(F.lower(x), "[^a-z0-9 ]+", " "), r"\s+")
+        return F.filter(words, lambda w: (w != "") & ~w.isin(*V.COMPANY_STOP_WORDS))
+
+    asked, named, about = significant(query), significant(title), F.lower(F.coalesce(description, F.lit("")))
+    a_company = about.rlike(rf"{_BEFORE}(?:{'|'.join(V.COMPANY_KINDS)}){_AFTER}")
+    another = about.rlike(rf"{_BEFORE}(?:{'|'.join(V.OTHER_KINDS)}){_AFTER}")
+    covers = (F.size(F.array_except(named, asked)) == 0) | ((F.size(F.array_except(asked, named)) == 0) & a_company)
+    return F.coalesce((F.size(asked) > 0) & (F.size(named) > 0) & covers & (~another | a_company), F.lit(False))
+
+
+def timeline_points(json: Column) -> Column:
+    """array<struct<date, value>> of a volume timeline, null where the text has none."""
+    parsed = F.from_json(json, "timeline array<struct<data: array<struct<date: string, value: double>>>>")
+    return parsed["timeline"][0]["data"]
+
+
+def digits_to_timestamp(text: Column, default: Column) -> Column:
+    """Timestamp of 8 or 14 digits, a T and Z between allowed; `default` for anything else."""
+    digits = F.regexp_replace(text, "[TZ]", "")
+    return F.coalesce(F.when(digits.rlike("^[0-9]{14}$"), F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss"))).when(digits.rlike("^[0-9]{8}$"), F.try_to_timestamp(digits, F.lit("yyyyMMdd"))), default)
 
 
 def tokens(text: Column) -> Column:
@@ -128,6 +213,21 @@ def _windows(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.slice(words, i, n))
 
 
+def letter_runs(text: Column, longest: int = 5) -> Column:
+    """Distinct strings of up to `longest` letters and digits that no letter touches on either side, a letter first."""
+
+    def of_run(run: Column) -> Column:
+        atoms = F.regexp_extract_all(run, F.lit("[a-z]+|[0-9]"), F.lit(0))
+
+        def grown(at: Column, atoms: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(atoms, at, n), ""))
+
+        return F.flatten(F.flatten(F.transform(F.array(atoms), lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda at: grown(at, a)))))
+
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), of_run))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) <= longest) & w.rlike("^[a-z]")))
+
+
 def ngrams(words: Column, sizes: Iterable[int] = (2, 3), stop: Iterable[str] = V.STOP_WORDS) -> Column:
     """Distinct n-grams of a column of tokens with some telling one: over two characters, no stop word, no number."""
 
@@ -138,18 +238,3 @@ def ngrams(words: Column, sizes: Iterable[int] = (2, 3), stop: Iterable[str] = V
         return F.transform(F.filter(_windows(words, n), lambda g: F.exists(g, telling)), lambda g: F.array_join(g, " "))
 
     return F.array_distinct(F.concat(*(of(n) for n in sizes)))
-
-
-def mentions(df: DataFrame, aliases: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ticker): texts that hold an alias of one to three words, or a cashtag of a gated ticker.
-
-    aliases: (ticker, alias lower case, gated). Texts are cut into their distinct word n-grams
-    and joined by equality: no text is compared with the whole registry.
-    """
-    flat = F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9.$&+ -]", " ")
-    worded = df.select(key, F.filter(F.split(flat, r"\s+"), lambda t: t != "").alias("words"))
-    grams = F.concat(*(F.transform(_windows(F.col("words"), n), lambda g: F.array_join(g, " ")) for n in (1, 2, 3)))
-    rows = worded.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
-    names = aliases.filter(~F.col("gated")).select("ticker", F.col("alias").alias("gram"))
-    tags = aliases.select("ticker", F.concat(F.lit("$"), F.lower("ticker")).alias("gram"))
-    return rows.join(names.unionByName(tags).distinct(), "gram").select(key, "ticker").distinct()

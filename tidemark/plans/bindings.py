@@ -59,3 +59,50 @@ def mention_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.greatest(F.lit(1), F.floor(F.col("value") + 0.5)).cast("long").alias("mentions"), ((k % 21 - 10) / F.lit(10.0)).alias("sentiment"),
         (k % 17 - 5).cast("double").alias("price_move"), (0.5 + (k % 9) / F.lit(2.0)).alias("relative_volume"), F.when(k % 4 > 0, F.col("value")).alias("last_price"),
     )
+
+
+# --- headlines: titles put together from events --------------------------------------
+
+HEAD_SOURCES = ("CNBC", "Google News", "Reddit", "GDELT News", "Price/Volume", "4chan", "SEC Filings")
+PHRASES = (
+    "shares surge as earnings beat the market", "to acquire a rival, analysts say", "price +3.2 today", "class action: law firm reminds investors of the deadline",
+    "stock falls after weak revenue guidance", "is talked of on a forum", "Trending on StockTwits (#4)", "co-packaged optics demand lifts suppliers example.com France",
+    "", "unveils a new widget on CEO call",
+)
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+HEAD_SQL = f"""head AS (SELECT seq, ticker, source, CASE WHEN seq % 10 = 8 THEN '' ELSE CASE k % 4 WHEN 0 THEN '$' || ticker WHEN 1 THEN '(' || ticker || ')' WHEN 2 THEN 'Supplier ' || user_id ELSE ticker END || ' ' || list_extract({sql_list(PHRASES)}, seq % 10 + 1) END AS title,
+    'https://' || event_type || '.example/' || (seq // 3) AS url, ts AS published, 1 + (k % 5) / 2.0::DOUBLE AS weight, CAST(k % 17 - 5 AS DOUBLE) AS price_move, 0.5::DOUBLE + (k % 9) / 2.0::DOUBLE AS relative_volume
+  FROM (SELECT event_id AS seq, 'T' || user_id AS ticker, user_id, event_type, ts, k, list_extract({sql_list(HEAD_SOURCES)}, k % 7 + 1) AS source FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)))"""
+REGISTRY_SQL = """reg AS (SELECT DISTINCT 'T' || user_id AS ticker, 'Supplier ' || user_id || ' Holdings Inc.' AS name, ['supplier ' || user_id] AS aliases FROM events WHERE user_id % 3 <> 0
+  UNION ALL SELECT 'ON', 'On Semi', ['on', 'on semi', 'optics demand'] UNION ALL SELECT 'A', 'Agilent', ['a', 'analysts'])"""
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, ticker, source, title, url, published, weight, price_move, relative_volume): one item an event."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = read(spark, sf_dir, "events").withColumns({"k": k, "seq": F.col("event_id"), "ticker": F.concat(F.lit("T"), "user_id")})
+    who = F.when(F.col("k") % 4 == 0, F.concat(F.lit("$"), "ticker")).when(F.col("k") % 4 == 1, F.concat(F.lit("("), "ticker", F.lit(")"))).when(F.col("k") % 4 == 2, F.concat(F.lit("Supplier "), "user_id")).otherwise(F.col("ticker"))
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    title = F.when(F.col("seq") % 10 == 8, "").otherwise(F.concat(who, F.lit(" "), pick(PHRASES, F.col("seq") % 10)))
+    return e.select(
+        "seq", "ticker", pick(HEAD_SOURCES, F.col("k") % 7).alias("source"), title.alias("title"), F.concat(F.lit("https://"), "event_type", F.lit(".example/"), F.floor(F.col("seq") / 3).cast("long")).alias("url"),
+        F.col("ts").alias("published"), (1 + (F.col("k") % 5) / 2.0).alias("weight"), (F.col("k") % 17 - 5).cast("double").alias("price_move"), (0.5 + (F.col("k") % 9) / F.lit(2.0)).alias("relative_volume"),
+    )
+
+
+def headline_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, name, aliases): two thirds of the users, and two gated tickers."""
+    u = read(spark, sf_dir, "events").filter("user_id % 3 <> 0").select("user_id").distinct()
+    some = u.select(F.concat(F.lit("T"), "user_id").alias("ticker"), F.concat(F.lit("Supplier "), "user_id", F.lit(" Holdings Inc.")).alias("name"), F.array(F.concat(F.lit("supplier "), "user_id")).alias("aliases"))
+    gated = spark.createDataFrame([("ON", "On Semi", ["on", "on semi", "optics demand"]), ("A", "Agilent", ["a", "analysts"])], some.schema)
+    return some.unionByName(gated)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines as texts to match: (key, source, text, url, weight, published)."""
+    return headlines(spark, sf_dir).select(F.col("seq").alias("key"), "source", F.col("title").alias("text"), "url", "weight", "published")

@@ -394,14 +394,6 @@ def f2_market_context(spark, sf_dir):
     return D.read(spark, sf_dir, "documents").select("doc_id", T.has_market_context(F.col("text")).alias("market"))
 
 
-@query("x2_ticker_candidates", r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\$([A-Z][A-Z0-9]{0,4})(?:[^A-Z0-9]|$)', 1)) AS ticker, 3.0::DOUBLE AS confidence FROM documents
-UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\bticker[:\s]+([A-Z][A-Z0-9]{0,4})\b', 1)), 2.6 FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\(([A-Z][A-Z0-9]{1,4})\)', 1)), 2.4 FROM documents
-UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9]{1,4}\b')), 1.0 FROM documents)
-SELECT doc_id, ticker, max(confidence) AS confidence FROM c WHERE ticker NOT IN ('AI', 'ARM', 'NET', 'T', 'F', 'ON', 'ARE', 'CAN', 'NOW', 'A', 'GO', 'IT') GROUP BY 1, 2""")
-def x2_ticker_candidates(spark, sf_dir):
-    return T.ticker_candidates(D.read(spark, sf_dir, "documents"))
-
-
 @query("sf3_page_title", r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
 def sf3_page_title(spark, sf_dir):
     return D.read(spark, sf_dir, "pages").select("page_id", T.text_between(F.col("html"), "title").alias("title"))
@@ -422,14 +414,6 @@ def sf7_iso_week(spark, sf_dir):
     return S.weekly(D.mention_events(spark, sf_dir), T.iso_week(F.col("ts")), 56, "ticker").select("week", "ticker", "n")
 
 
-@query("a8_phrases")
-def a8_phrases(spark, sf_dir):
-    """Documents and distinct sources of every n-gram."""
-    words = D.read(spark, sf_dir, "documents").select("source", T.tokens(F.col("text")).alias("words"))
-    grams = words.select("source", F.explode(T.ngrams(F.col("words"))).alias("phrase"))
-    return grams.groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
-
-
 # --- graph ----------------------------------------------------------------------------
 
 EDGES = """WITH m AS (SELECT DISTINCT l_orderkey AS url, l_suppkey AS ticker FROM lineitem), edges AS (SELECT a.ticker AS src, b.ticker AS dst, count(*) AS n FROM m a JOIN m b ON a.url = b.url AND a.ticker < b.ticker GROUP BY 1, 2)"""
@@ -552,10 +536,3 @@ def a9_state_digest(spark, sf_dir):
 @query("a13_ranked", "WITH " + D.EVENTS_SQL + " SELECT ticker, sum(mentions)::BIGINT AS mentions FROM mention GROUP BY 1 ORDER BY mentions DESC, ticker LIMIT 25")
 def a13_ranked(spark, sf_dir):
     return a3_mention_totals(spark, sf_dir).orderBy(F.desc("mentions"), "ticker").limit(25)
-
-
-@query("tk3_top_headlines", f"""WITH x AS (SELECT source, doc_id, len(regexp_extract_all(lower(text), '{RE(V.POSITIVE)}')) AS good FROM documents)
-SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY good DESC, doc_id) AS rank FROM x QUALIFY rank <= 6""")
-def tk3_top_headlines(spark, sf_dir):
-    rated = D.read(spark, sf_dir, "documents").select("source", "doc_id", T.count_words(F.lower("text"), V.POSITIVE).alias("good"))
-    return B.top_per_group(rated, "source", [F.desc("good"), F.col("doc_id")], 6).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))

@@ -17,18 +17,6 @@ CHOSEN = ("click", "purchase")
 NOW = "2024-02-01"
 
 
-@query("f1_solicitation", f"SELECT doc_id, regexp_matches(text, '(?i){RE(V.CLASS_ACTION_TOPIC)}') AND regexp_matches(text, '(?i){RE(V.SOLICITATION)}') AS solicits FROM documents")
-def f1_solicitation(spark, sf_dir):
-    return D.read(spark, sf_dir, "documents").select("doc_id", T.is_solicitation(F.col("text")).alias("solicits"))
-
-
-@query("f3_possible_tickers", f"""WITH t AS (SELECT unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS token FROM documents)
-SELECT token, count(*) AS n FROM t WHERE regexp_full_match(token, '[A-Z][A-Z0-9]{{0,4}}') AND token NOT IN ({", ".join(f"'{w}'" for w in V.AMBIGUOUS_TICKERS)}) GROUP BY 1""")
-def f3_possible_tickers(spark, sf_dir):
-    words = D.read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("token"))
-    return words.filter(T.is_possible_ticker(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
-
-
 @query("f5_cap_tier", "SELECT c_custkey AS ticker, CASE WHEN c_acctbal * 100000 >= 5e8 THEN 'large' WHEN c_acctbal > 0 THEN 'small' END AS tier FROM customer")
 def f5_cap_tier(spark, sf_dir):
     return D.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), C.cap_tier(F.col("c_acctbal") * 100000).alias("tier"))
