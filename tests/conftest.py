@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return session

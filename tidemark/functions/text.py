@@ -220,7 +220,8 @@ def letter_runs(text: Column, longest: int = 5) -> Column:
         atoms = F.regexp_extract_all(run, F.lit("[a-z]+|[0-9]"), F.lit(0))
 
         def grown(at: Column, atoms: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.array_join(F.slice(atoms, at, n), ""))
+            free = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: ~F.coalesce(F.try_element_at(atoms, at + n), F.lit("")).rlike("[a-z]"))
+            return F.transform(free, lambda n: F.array_join(F.slice(atoms, at, n), ""))
 
         return F.flatten(F.flatten(F.transform(F.array(atoms), lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda at: grown(at, a)))))
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.functions import vocabulary as V
+
 
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -18,8 +21,8 @@ def capped_volume(x: Column, most: float = 25.0) -> Column:
     return F.when((x > 0) & (x <= most), x).otherwise(F.lit(1.0))
 
 
-def signals(events: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """One row for each ticker: totals, mention-weighted means, mentions by source and the last price.
+def signals(events: DataFrame, sources: Sequence[str], *more: str) -> DataFrame:
+    """One row for each ticker (and value of further key columns): totals, mention-weighted means, mentions by source and the last price.
 
     events: (seq, ticker, source, mentions, sentiment, price_move, relative_volume, last_price).
     One aggregation, partial on the map side: a hot ticker shuffles a row a partition.
@@ -27,7 +30,7 @@ def signals(events: DataFrame, sources: Sequence[str]) -> DataFrame:
     mean = lambda c, default: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("mentions")), F.sum("mentions")), F.lit(default))
     by_source = [F.coalesce(F.sum(F.when(F.col("source") == s, F.col("mentions"))), F.lit(0)).alias(f"from_{s}") for s in sources]
     known = F.when(F.col("last_price").isNotNull(), F.col("seq"))
-    return events.groupBy("ticker").agg(
+    return events.groupBy(*more, "ticker").agg(
         F.sum("mentions").alias("mentions"), mean("sentiment", 0.0).alias("sentiment"), mean("price_move", 0.0).alias("price_move"),
         mean("relative_volume", 1.0).alias("relative_volume"), F.max_by("last_price", known).alias("last_price"), *by_source,
     )
@@ -107,12 +110,18 @@ def profile(board: DataFrame, social: Sequence[str], catalyst: Sequence[str], ma
 
 
 def attention_threshold(board: DataFrame, column: str, quantile: float = 0.7, least: float = 5.0) -> DataFrame:
-    """(threshold): nearest-rank quantile of the positive values, `least` or more; infinite without any."""
-    values = board.filter(F.col(column) > 0).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    ranked = values.withColumn("upto", F.sum("n").over(W.orderBy("x")))  # distinct values, few
-    size = board.filter(F.col(column) > 0).agg(F.count("*").alias("size"))
+    """(threshold): nearest-rank quantile of the positive values, `least` or more; infinite without any.
+
+    The values are counted into a histogram of powers of two first, so the rank is then sought
+    among the values of one bin only.
+    """
+    positive = board.filter(F.col(column) > 0).select(F.col(column).alias("x"), F.floor(F.log2(F.col(column))).alias("bin"))
+    bins = positive.groupBy("bin").agg(F.count("*").alias("n"))  # 64 bins of whole numbers
+    ranked = bins.withColumn("upto", F.sum("n").over(W.orderBy("bin"))).withColumn("size", F.sum("n").over(W.partitionBy(F.lit(0))))
     at = F.least(F.col("size") - 1, F.floor(quantile * F.col("size")))
-    hit = ranked.join(F.broadcast(size), F.col("upto") > at).agg(F.min("x").alias("x"))  # size is one row
+    home = ranked.filter((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select("bin", (at - (F.col("upto") - F.col("n"))).alias("place"))
+    inside = positive.join(F.broadcast(home), "bin").groupBy("x", "place").agg(F.count("*").alias("n"))  # one row
+    hit = inside.withColumn("upto", F.sum("n").over(W.orderBy("x"))).filter(F.col("upto") > F.col("place")).agg(F.min("x").alias("x"))
     return hit.select(F.coalesce(F.greatest(F.lit(least), F.col("x").cast("double")), F.lit(float("inf"))).alias("threshold"))
 
 
@@ -132,3 +141,47 @@ def rank_changes(snapshots: DataFrame, metric: str) -> DataFrame:
 
 def sentiment_label(x: Column) -> Column:
     return F.when(x > 0.25, "Bullish").when(x > 0.08, "Positive").when(x < -0.18, "Bearish").when(x < -0.04, "Soft").otherwise("Neutral")
+
+
+def mode_order(mode: str) -> list[Column]:
+    """Order of a board by mentions, by momentum (unknown as 0) or by setup score; ties by ticker."""
+    key = {"mentions": F.col("mentions"), "momentum": F.coalesce("momentum", F.lit(0.0)), "score": F.col("setup_score")}[mode]
+    return [F.desc(key), F.col("ticker")]
+
+
+def shown(board: DataFrame, mode: str, limit: int = 50) -> DataFrame:
+    """The first `limit` rows of a board with their place."""
+    first = board.orderBy(*mode_order(mode)).limit(limit)
+    return first.withColumn("place", F.row_number().over(W.orderBy(*mode_order(mode))).cast("long"))  # limit rows
+
+
+def composite(board: DataFrame, sources: Sequence[str], short: str | None = None) -> DataFrame:
+    """Adds composite, 0 to 100: the optional blend of signal score, momentum, sentiment, price, volume, breadth and short sales."""
+    pressure = clamp01((F.col(f"from_{short}") if short else F.lit(0)) / F.greatest(F.lit(8), F.col("mentions")))
+    parts = (
+        (0.31, clamp01(F.col("signal_score") / 85)), (0.17, clamp01((F.coalesce("momentum", F.lit(0.0)) + 10) / 80)), (0.15, clamp01((F.col("sentiment") + 0.2) / 0.65)),
+        (0.13, clamp01((F.col("price_move") + 1) / 7)), (0.09, clamp01(F.col("relative_volume") / 2.5)), (0.08, active(sources) / len(sources)), (0.07, pressure),
+    )
+    return board.withColumn("composite", 100 * sum((w * x for w, x in parts), F.lit(0.0)))
+
+
+def source_breakdown(board: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(ticker, kind, name, mentions, share): groups and sources with mentions, their share of the largest of their kind."""
+    parts = [F.struct(F.lit("group").alias("kind"), F.lit(g).alias("name"), total(s).cast("long").alias("mentions")) for g, s in groups.items()]
+    parts += [F.struct(F.lit("source").alias("kind"), F.lit(x).alias("name"), F.col(f"from_{x}").cast("long").alias("mentions")) for s in groups.values() for x in s]
+    rows = board.select("ticker", F.filter(F.array(*parts), lambda p: p["mentions"] > 0).alias("p"))
+    most = lambda kind: F.array_max(F.transform(F.filter("p", lambda p: p["kind"] == kind), lambda p: p["mentions"]))
+    flat = rows.select("ticker", most("group").alias("top_group"), most("source").alias("top_source"), F.explode("p").alias("x"))
+    return flat.select("ticker", "x.*", (F.col("x.mentions") / F.when(F.col("x.kind") == "group", F.col("top_group")).otherwise(F.col("top_source"))).alias("share"))
+
+
+def board_rows(board: DataFrame, sources: Sequence[str], top: DataFrame, names: DataFrame, limit: int = 50) -> DataFrame:
+    """Rows of a shown board: place, name (else the ticker), momentum as text, the mix of sources, a catalyst badge.
+
+    top: (ticker, title, is_news), names: (ticker, name).
+    """
+    rows = shown(board, "score", limit).join(names.select("ticker", "name"), "ticker", "left").join(top.select("ticker", "title", "is_news"), "ticker", "left")
+    momentum = F.when(F.col("momentum").isNull(), "new").otherwise(F.format_string("%+.1f%%", F.col("momentum")))
+    badge = F.when(F.col("title").rlike(T.words_pattern(V.CATALYST, True)), F.when(F.col("is_news"), "News").otherwise("Buzz"))
+    mix = [F.round(F.col(f"from_{s}") / F.greatest(F.lit(1), F.col("mentions")), 6).alias(f"mix_{s}") for s in sources]
+    return rows.select("place", "ticker", F.coalesce("name", F.col("ticker").cast("string")).alias("name"), "setup_score", momentum.alias("momentum"), *mix, badge.alias("badge"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_dir
+
 
 def pairs(mentions: DataFrame, item: str = "url", ticker: str = "ticker", exclude: DataFrame | None = None) -> DataFrame:
     """Edges: number of items that name both tickers. An item's tickers are distinct, so its pairs are bounded by the registry."""
@@ -49,6 +51,7 @@ def communities(edges: DataFrame, passes: int = 20, strict: float = 1e-12) -> Da
     don't go on swapping, moves to the neighbouring community of best gain. Ends after three
     rounds without a move, or after `passes`.
     """
+    shared_dir(edges.sparkSession)  # checkpoints need a folder
     m2 = 2.0 * (edges.agg(F.sum("n")).first()[0] or 0)
     ways = both_ways(edges).checkpoint()
     labels = ways.groupBy(F.col("src").alias("ticker")).agg(F.sum("n").cast("double").alias("k")).withColumn("community", F.col("ticker")).checkpoint()
@@ -71,3 +74,23 @@ def communities(edges: DataFrame, passes: int = 20, strict: float = 1e-12) -> Da
         if quiet == 3:
             break
     return labels.select("ticker", "community")
+
+
+def co_mention(history: DataFrame, pairs: DataFrame, week: str, leaders: DataFrame, previous: DataFrame, keep: int = 13, least: int = 3, min_q: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run over the pairs of a week: the new history (week, src, dst, n), communities (ticker, community), leader drift.
+
+    Communities of `least` members or more are given where the modularity of them all is min_q or
+    more. Drift is (ticker, was, now) of leaders whose ordered neighbours have changed;
+    previous: (ticker, neighbors).
+    """
+    whole = history.select("week", "src", "dst", "n").unionByName(pairs.select(F.lit(week).alias("week"), "src", "dst", "n"))
+    newest = whole.select("week").distinct().orderBy(F.desc("week")).limit(keep)
+    after = whole.join(F.broadcast(newest), "week").groupBy("week", "src", "dst").agg(F.sum("n").alias("n"))  # keep rows
+    edges = trailing(after, keep)
+    found = communities(edges)
+    fit = modularity(edges, found).filter(F.col("q") >= min_q)
+    large = found.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    kept = found.join(large.select("community"), "community", "left_semi").join(F.broadcast(fit.select(F.lit(True).alias("fit"))), F.lit(True)).select("ticker", "community")  # one row or none
+    near = top_neighbors(edges).join(leaders.select("ticker"), "ticker", "left_semi").groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor"))), lambda x: x["neighbor"]).alias("now"))
+    drift = near.join(previous.select("ticker", F.col("neighbors").alias("was")), "ticker").filter(~F.col("now").eqNullSafe(F.col("was")))
+    return after, kept, drift.select("ticker", "was", "now")

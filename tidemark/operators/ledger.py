@@ -25,23 +25,32 @@ def share_of_voice(ledger: DataFrame) -> DataFrame:
     return ledger.join(totals, "date").withColumn("share_of_voice", F.round(share, 6)).drop("day_mentions")
 
 
-def upsert(ledger: DataFrame, batch: DataFrame, keep: int = 400) -> DataFrame:
-    """Batch rows over ledger rows of the same ticker and date, column-wise; the newest `keep` rows of each ticker stay."""
+def newest(ledger: DataFrame, keep: int) -> DataFrame:
+    """The newest `keep` rows of each ticker."""
+    age = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date")))
+    return ledger.withColumn("age", age).filter(F.col("age") <= keep).drop("age")
+
+
+def upsert(ledger: DataFrame, batch: DataFrame, keep: int = 400, merge: bool = False) -> DataFrame:
+    """Batch rows in place of ledger rows of the same ticker and date; the newest `keep` rows of each ticker stay.
+
+    merge: values that the batch lacks are taken from the row it replaces.
+    """
     keys = ["ticker", "date"]
-    new = batch.select(*keys, *(F.col(c).alias(f"new_{c}") for c in NUMBERS))
-    merged = ledger.join(new, keys, "full_outer").select(*keys, *(F.coalesce(f"new_{c}", c).alias(c) for c in NUMBERS))
-    newest = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date")))
-    return merged.withColumn("age", newest).filter(F.col("age") <= keep).drop("age")
+    new = batch.select(*keys, *(F.col(c).alias(f"new_{c}") for c in NUMBERS), F.lit(True).alias("new"))
+    value = lambda c: F.coalesce(f"new_{c}", c) if merge else F.when(F.col("new"), F.col(f"new_{c}")).otherwise(F.col(c))
+    return newest(ledger.join(new, keys, "full_outer").select(*keys, *(value(c).alias(c) for c in NUMBERS)), keep)
 
 
-def merge_backfill(ledger: DataFrame, late: DataFrame) -> DataFrame:
-    """Late closes and volumes fill gaps of existing days; other days come in with no mentions."""
+def merge_backfill(ledger: DataFrame, late: DataFrame, keep: int = 400) -> DataFrame:
+    """Late closes and volumes fill what is missing or not finite on existing days; other days come in with no mentions."""
     keys = ["ticker", "date"]
     late = late.select(*keys, F.col("close").alias("late_close"), F.col("volume").alias("late_volume"))
-    return ledger.join(late, keys, "full_outer").select(
-        *keys, F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce("close", "late_close").alias("close"),
-        F.coalesce("volume", "late_volume").alias("volume"), "wiki",
+    filled = ledger.join(late, keys, "full_outer").select(
+        *keys, F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce(finite(F.col("close")), "late_close").alias("close"),
+        F.coalesce(finite(F.col("volume")), "late_volume").alias("volume"), "wiki",
     )
+    return newest(filled, keep)
 
 
 def merge_pageviews(ledger: DataFrame, views: DataFrame) -> DataFrame:

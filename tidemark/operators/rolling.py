@@ -1,11 +1,17 @@
 """Rolling statistics of each ticker's series, ordered by date.
 
 The ledger is aggregated to a row for each ticker and day, so a window partition holds the
-days of one ticker and stays small however many events a ticker has.
+days of one ticker and stays small however many events a ticker has. Trailing medians and
+ranks of long windows run through pandas a ticker at a time, in time that grows with the
+logarithm of the window: Spark's own frames count a window anew for every row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +33,25 @@ def prior(rows: int) -> WindowSpec:
     return by_date().rowsBetween(-rows, -1)
 
 
+def per_ticker(df: DataFrame, added: str, compute: Callable[[pd.DataFrame], dict]) -> DataFrame:
+    """df with columns that `compute` makes from the rows of one ticker in order of date."""
+
+    def step(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("date")
+        return days.assign(**compute(days))
+
+    names = [part.split()[0] for part in added.split(", ")]
+    kept = [(c, t) for c, t in df.dtypes if c not in names]
+    return df.select(*(c for c, _ in kept)).groupBy("ticker").applyInPandas(step, ", ".join(f"{c} {t}" for c, t in kept) + ", " + added)
+
+
+def known(x: pd.Series) -> pd.Series:
+    x = x.astype(float)
+    return x.where(np.isfinite(x))
+
+
 def trailing_median(df: DataFrame, column: str, window: int = 252, out: str = "median") -> DataFrame:
-    return df.withColumn(out, F.percentile(finite(F.col(column)), 0.5).over(trailing(window)))
+    return per_ticker(df, f"{out} double", lambda d: {out: known(d[column]).rolling(window, min_periods=1).median()})
 
 
 def percentile_rank(value: Column, series: Column) -> Column:
@@ -49,12 +72,34 @@ def persistence(df: DataFrame, window: int = 60) -> DataFrame:
 
 def compression(df: DataFrame, window: int = 60, rank_window: int = 252) -> DataFrame:
     """Adds range, the relative spread of full windows of closes, and its trailing percentile."""
-    close = finite(F.col("close"))
-    top = F.max(close).over(trailing(window))
-    full = (F.count(close).over(trailing(window)) == window) & (top > 0)
-    spread = df.withColumn("range", F.when(full, (top - F.min(close).over(trailing(window))) / top))
-    ranges = F.collect_list("range").over(trailing(rank_window))
-    return spread.withColumn("percentile", F.when(F.col("range").isNotNull(), percentile_rank(F.col("range"), ranges)))
+    return per_ticker(df, "range double, percentile double", lambda d: _compressed(d, window, rank_window))
+
+
+def _compressed(d: pd.DataFrame, window: int, rank_window: int) -> dict[str, pd.Series]:
+    closes = known(d["close"]).rolling(window)
+    top = closes.max()
+    spread = ((top - closes.min()) / top).where(top > 0)
+    ranks = spread.rolling(rank_window, min_periods=1)
+    return {"range": spread, "percentile": (100 * ranks.rank(method="max") / ranks.count()).where(spread.notna())}
+
+
+def regime_days(df: DataFrame, column: str, least_persistence: float, most_percentile: float, gap: int = 10, ratio: float = 1.25, window: int = 60, long_window: int = 252) -> DataFrame:
+    """Adds idx, persistence, percentile, qualifies and run, the number of the regime that a qualifying day belongs to or follows."""
+
+    def compute(d: pd.DataFrame) -> dict:
+        x = known(d[column])
+        median = x.rolling(long_window, min_periods=1).median()
+        hot = ((median > 0) & (x >= median * ratio)).astype(float)
+        persistence = hot.rolling(window, min_periods=1).mean()
+        percentile = _compressed(d, window, long_window)["percentile"]
+        qualifies = ((persistence >= least_persistence) & (percentile <= most_percentile)).to_numpy()
+        idx = np.arange(1, len(d) + 1)
+        hits = idx[qualifies]
+        new = np.zeros(len(d), np.int64)
+        new[hits - 1] = np.diff(hits, prepend=-gap - 2) > gap + 1
+        return {"idx": idx, "persistence": persistence, "percentile": percentile, "qualifies": qualifies, "run": np.cumsum(new)}
+
+    return per_ticker(df, "idx int, persistence double, percentile double, qualifies boolean, run int", compute)
 
 
 def merge_regimes(df: DataFrame, flag: str = "qualifies", gap: int = 10, min_sessions: int = 15) -> DataFrame:
@@ -98,13 +143,51 @@ def volume_slope(df: DataFrame, window: int = 60, band: float = 0.05) -> DataFra
     return halves.select("ticker", F.when(F.col("n") >= 5, slope).alias("obv"))
 
 
+def latest(df: DataFrame, column: str = "wiki", recent: int = 60, window: int = 252, average: int = 200, rel_window: int = 90, ratio: float = 1.25, least: int = 200) -> DataFrame:
+    """One row a ticker of what its last day shows, from one pass over its newest rows.
+
+    (ticker, return_12m, extension: null where the history is too short; known, new_high: any of
+    the recent days above all of its full prior window, known from `window` closes; gain over
+    rel_window rows; attn_hit: the last attention is hot, null under `least` known values).
+    """
+    close, x = finite(F.col("close")), finite(F.col(column))
+    back = W.partitionBy("ticker").orderBy(F.desc("date"))
+    whole = W.partitionBy("ticker")
+    rows = df.select("ticker", "date", close.alias("close"), x.alias("x")).select(
+        "*", F.row_number().over(back).alias("age"), F.count("close").over(whole).alias("closes"), F.count("x").over(whole).alias("values")
+    ).filter(F.col("age") <= recent + window)
+    above = F.when(F.col("age") <= recent, (F.count("close").over(prior(window)) == window) & (F.col("close") > F.max("close").over(prior(window))))
+    rows = rows.withColumn("above", F.coalesce(above, F.lit(False)))
+    at = lambda age, c="close": F.max(F.when(F.col("age") == age, F.col(c)))
+    recent_mean = F.when(F.count(F.when(F.col("age") <= average, F.col("close"))) == average, F.avg(F.when(F.col("age") <= average, F.col("close"))))
+    one = rows.groupBy("ticker").agg(
+        at(1).alias("now"), at(window + 1).alias("year_ago"), at(rel_window + 1).alias("then"), recent_mean.alias("mean"), F.bool_or("above").alias("new_high"),
+        F.first("closes").alias("closes"), F.first("values").alias("values"), at(1, "x").alias("x"), F.percentile(F.when(F.col("age") <= window, F.col("x")), 0.5).alias("median"),
+    )
+    over = lambda base: F.try_divide("now", F.when(F.col(base) > 0, F.col(base))) - 1
+    hot = F.coalesce((F.col("median") > 0) & (F.col("x") >= F.col("median") * ratio), F.lit(False))
+    return one.select("ticker", over("year_ago").alias("return_12m"), (F.try_divide("now", "mean") - 1).alias("extension"), (F.col("closes") >= window).alias("known"), "new_high", over("then").alias("gain"), F.when(F.col("values") >= least, hot).alias("attn_hit"))
+
+
 def new_high(df: DataFrame, recent: int = 60, window: int = 252) -> DataFrame:
-    """(ticker, known, new_high): any of the recent days above all of its full prior window; known from `window` closes."""
-    close = finite(F.col("close"))
-    above = (F.count(close).over(prior(window)) == window) & (close > F.max(close).over(prior(window)))
+    """(ticker, known, new_high): see latest."""
+    return latest(df.withColumn("wiki", F.lit(0.0)), recent=recent, window=window).select("ticker", "known", "new_high")
+
+
+def attention_series(df: DataFrame, least: int = 200) -> DataFrame:
+    """df (with share_of_voice, first_seen) and the series that tells attention: views where `least` are known, else the
+    share of voice since first_seen where that many are, else null."""
+    whole = W.partitionBy("ticker")
+    views, voice = finite(F.col("wiki").cast("double")), F.when(F.col("date") >= F.col("first_seen"), finite(F.col("share_of_voice").cast("double")))
+    return df.withColumn("attention", F.when(F.count(views).over(whole) >= least, views).when(F.count(voice).over(whole) >= least, voice))
+
+
+def attention_hot(df: DataFrame, window: int = 252, ratio: float = 1.25) -> DataFrame:
+    """(ticker, hot) of the last day by attention_series; null where it is unknown."""
     age = F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("date")))
-    rows = df.withColumn("above", F.coalesce(above, F.lit(False))).withColumn("age", age)
-    return rows.groupBy("ticker").agg((F.count(close) >= window).alias("known"), F.bool_or(F.col("above") & (F.col("age") <= recent)).alias("new_high"))
+    rows = attention_series(df).withColumn("age", age).filter(F.col("age") <= window)
+    one = rows.groupBy("ticker").agg(F.max(F.when(F.col("age") == 1, F.col("attention"))).alias("x"), F.percentile("attention", 0.5).alias("median"))
+    return one.select("ticker", F.when(F.col("median").isNotNull(), F.coalesce((F.col("median") > 0) & (F.col("x") >= F.col("median") * ratio), F.lit(False))).alias("hot"))
 
 
 def returns(df: DataFrame, year: int = 252, average: int = 200) -> DataFrame:
@@ -148,17 +231,48 @@ def sparkline(df: DataFrame, points: int = 60) -> DataFrame:
     return packed.select("ticker", F.transform("xs", lambda x: F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))).alias("spark"))
 
 
-def classify(ledger: DataFrame, least_persistence: float = 0.60, most_percentile: float = 35.0, dead_after: int = 126, column: str = "wiki") -> DataFrame:
-    """State of each ticker's latest regime: released, coiled or dead, with its dates."""
-    days = release_triggers(compression(persistence(hot_flags(ledger, column))))
-    qualifies = (F.col("persistence") >= least_persistence) & F.coalesce(F.col("percentile") <= most_percentile, F.lit(False))
-    days = days.withColumn("qualifies", qualifies)
-    latest = merge_regimes(days).groupBy("ticker").agg(F.max_by(F.struct("regime_start", "regime_end", "start_idx", "end_idx", "sessions"), "end_idx").alias("r")).select("ticker", "r.*")
-    size = days.groupBy("ticker").agg(F.count("*").alias("n"), F.max("date").alias("as_of"))
-    after = first_release(days.join(latest, "ticker").withColumn("from_idx", F.col("end_idx") + 1), "from_idx")
+def classify(ledger: DataFrame, least_persistence: float = 0.60, most_percentile: float = 35.0, dead_after: int = 126, column: str = "wiki", min_sessions: int = 15) -> DataFrame:
+    """State of each ticker's latest regime, released, coiled or dead, with its dates, and the last day's persistence and percentile.
+
+    Days are numbered by regime in one pass over each ticker; a row for each regime is left to
+    the shuffle.
+    """
+    days = regime_days(release_triggers(ledger), column, least_persistence, most_percentile)
+    hit = lambda c: F.when(F.col("qualifies"), F.col(c))
+    runs = days.groupBy("ticker", "run").agg(
+        F.max(hit("idx")).alias("end_idx"), F.min(hit("date")).alias("regime_start"), F.max(hit("date")).alias("regime_end"), F.min(hit("idx")).alias("start_idx"), F.count_if("qualifies").alias("sessions"),
+        F.collect_list(F.when(F.col("release"), F.struct("idx", "date"))).alias("releases"), F.max("idx").alias("n"), F.max_by(F.struct("date", "persistence", "percentile"), "idx").alias("last"),
+    )
+    fields = ("end_idx", "regime_start", "regime_end", "start_idx", "sessions")
+    one = runs.groupBy("ticker").agg(
+        F.max(F.when(F.col("sessions") >= min_sessions, F.struct(*fields))).alias("r"), F.flatten(F.collect_list("releases")).alias("releases"), F.max("n").alias("n"), F.max_by("last", "n").alias("last")
+    ).filter("r IS NOT NULL").select("ticker", "r.*", "n", "last", "releases")
+    release = F.array_min(F.filter("releases", lambda x: x["idx"] > F.col("end_idx")))
     dead = F.col("n") - F.col("end_idx") > dead_after
-    state = F.when(F.col("release_idx").isNotNull(), "released").when(dead, "dead").otherwise("coiled")
-    since = F.coalesce("release_idx", F.when(dead, F.col("end_idx") + dead_after).otherwise(F.col("start_idx")))
-    return latest.join(size, "ticker").join(after, "ticker").select(
-        "ticker", state.alias("state"), "regime_start", "regime_end", "sessions", "release_date", F.greatest(F.lit(0), F.col("n") - since).cast("long").alias("days_in_state"), "as_of"
+    state = F.when(F.col("release").isNotNull(), "released").when(dead, "dead").otherwise("coiled")
+    since = F.coalesce("release.idx", F.when(dead, F.col("end_idx") + dead_after).otherwise(F.col("start_idx")))
+    return one.withColumn("release", release).select(
+        "ticker", state.alias("state"), "regime_start", "regime_end", "sessions", F.col("release.date").alias("release_date"), F.greatest(F.lit(0), F.col("n") - since).cast("long").alias("days_in_state"),
+        F.col("last.date").alias("as_of"), F.col("last.persistence").alias("persistence"), F.col("last.percentile").alias("percentile"),
     )
+
+
+def spring_board(coils: DataFrame, sectors: DataFrame, hot: DataFrame, defensive: tuple[str, ...]) -> DataFrame:
+    """coils with sector, in_hot_theme and discounted: a defensive sector outside hot themes. sectors: (ticker, sector); hot: (ticker)."""
+    rows = coils.join(sectors.select("ticker", "sector"), "ticker", "left").join(hot.select("ticker", F.lit(True).alias("in_hot")).distinct(), "ticker", "left")
+    rows = rows.withColumn("in_hot_theme", F.coalesce("in_hot", F.lit(False))).drop("in_hot")
+    return rows.withColumn("discounted", F.coalesce(F.col("sector").isin(*defensive), F.lit(False)) & ~F.col("in_hot_theme"))
+
+
+COIL_ORDER = ("released", "coiled", "dead")
+MEMBER_ORDER = ("ran", "running", "coiled", "lagging", "dead")
+
+
+def state_rank(state: Column, order: tuple[str, ...] = COIL_ORDER) -> Column:
+    """Place of a state in an order, after all of it for others."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), state), F.lit(0)) - 1, F.lit(len(order)))
+
+
+def spring_order() -> list[Column]:
+    """Hot themes first, discounted last, then by state, persistence and compression; ties by ticker."""
+    return [F.desc("in_hot_theme"), F.asc("discounted"), state_rank(F.col("state")), F.desc("persistence"), F.coalesce("percentile", F.lit(100.0)), F.col("ticker")]

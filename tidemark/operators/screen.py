@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .board import peer_score, total
+from .board import capped_volume, peer_score, total
 from .ledger import finite
 
 
@@ -128,3 +128,67 @@ def trend_text(volume: Column, move: Column, social: Column, news: Column) -> Co
         F.when(social >= 4, "talk is busy"), F.when(news >= 3, "news is broad"),
     ))
     return F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("nothing stands out")
+
+
+def range_signals(daily: DataFrame, before: DataFrame, sources: Sequence[str], of: int, limit: int = 75) -> DataFrame:
+    """Signals of several days taken together, the best `limit` by peer score.
+
+    daily: (generated, ticker, mentions, sentiment, price_move, relative_volume, last_price,
+    from_ each source), one row a ticker and snapshot; before: (ticker, mentions) of an earlier
+    range. Means are weighted by mentions, the price is the latest known one; momentum is null
+    for a ticker new to the board and 0 where there is no earlier range at all.
+    """
+    mean = lambda x, default: F.coalesce(F.try_divide(F.sum(x * F.col("mentions")), F.sum("mentions")), F.lit(default))
+    price = finite(F.col("last_price"))
+    rows = daily.groupBy("ticker").agg(
+        F.sum("mentions").alias("mentions"), mean(F.coalesce("sentiment", F.lit(0.0)), 0.0).alias("sentiment"), mean(F.coalesce("price_move", F.lit(0.0)), 0.0).alias("price_move"),
+        mean(capped_volume(F.col("relative_volume")), 1.0).alias("relative_volume"), F.max_by(price, F.when(price.isNotNull(), F.col("generated"))).alias("last_price"),
+        *(F.sum(f"from_{s}").alias(f"from_{s}") for s in sources),
+    )
+    earlier = before.groupBy("ticker").agg(F.sum("mentions").alias("before"))
+    had = before.limit(1).agg((F.count("*") > 0).alias("had"))
+    change = F.when(F.coalesce("before", F.lit(0)) > 0, (F.col("mentions") - F.col("before")) * 100.0 / F.col("before")).when(~F.col("had"), 0.0)
+    both = rows.join(earlier, "ticker", "left").join(F.broadcast(had), F.lit(True)).withColumn("momentum", change).drop("before", "had")  # had is one row
+    return peer_score(both, sources, of).orderBy(F.desc("peer_score"), "ticker").limit(limit)
+
+
+def clamped(x: Column, low: Column, high: Column) -> Column:
+    return F.greatest(low, F.least(high, x))
+
+
+def grouped_digits(x: Column) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(x, 0)
+
+
+def cap_label(cap: Column) -> Column:
+    """Market cap as $1.23T, $4.5B, $6M; n/a where it is unknown or not positive."""
+    scaled = lambda unit, places: F.format_string(f"$%.{places}f", F.floor(cap / unit * 10**places + 0.5) / F.lit(10.0**places))
+    text = F.when(cap >= 1e12, F.concat(scaled(1e12, 2), F.lit("T"))).when(cap >= 1e9, F.concat(scaled(1e9, 1), F.lit("B")))
+    return F.when(cap > 0, text.otherwise(F.concat(scaled(1e6, 0), F.lit("M")))).otherwise("n/a")
+
+
+def move_text(move: Column) -> Column:
+    """Price move in percent with its sign, n/a where it is unknown."""
+    return F.coalesce(F.concat(signed(finite(move)), F.lit("%")), F.lit("n/a"))
+
+
+def days_ago(today: Column, days: int) -> Column:
+    return F.date_sub(today, days)
+
+
+def is_reachable(date: Column, days: int, today: Column) -> Column:
+    """Whether a horizon of days after a date has come."""
+    return F.date_add(date, days) <= today
+
+
+def snapshots(history: DataFrame, current: DataFrame) -> DataFrame:
+    """The history, or the current snapshot where there is none."""
+    had = history.limit(1).agg((F.count("*") > 0).alias("had"))
+    return history.unionByName(current.join(F.broadcast(had), F.lit(True)).filter("NOT had").drop("had"))  # one row
+
+
+def closes(ledger: DataFrame) -> DataFrame:
+    """(ticker, closes): each ticker's closes in order of date."""
+    packed = ledger.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("days"))  # a ticker's kept days
+    return packed.select("ticker", F.transform("days", lambda d: d["close"]).alias("closes"))

@@ -31,13 +31,22 @@ def relative_return(ledger: DataFrame, benchmark: DataFrame, window: int = 90) -
     return members.join(F.broadcast(bench), F.lit(True)).select("ticker", (F.col("own") - F.col("bench")).alias("rel"))  # bench is one row
 
 
+def bench_gain(benchmark: DataFrame, window: int = 90) -> DataFrame:
+    """(bench): the benchmark's return over its last `window` rows, one row."""
+    at = lambda age: F.max(F.when(F.col("age") == age, finite(F.col("close"))))
+    ends = from_end(benchmark).filter(F.col("age").isin(1, window + 1)).agg(at(1).alias("now"), at(window + 1).alias("then"))
+    return ends.select((F.try_divide("now", F.when(F.col("then") > 0, F.col("then"))) - 1).alias("bench"))
+
+
 def ticker_flags(ledger: DataFrame, benchmark: DataFrame, rel_hit: float = 0.15) -> DataFrame:
     """(ticker, rel_hit, high_hit, attn_hit): null where unknown."""
-    rel = relative_return(ledger, benchmark).select("ticker", (F.col("rel") >= rel_hit).alias("rel_hit"))
-    high = rolling.new_high(ledger).select("ticker", F.when(F.col("known"), F.col("new_high")).alias("high_hit"))
-    enough = F.count(finite(F.col("wiki"))) >= 200
-    hot = rolling.hot_flags(ledger).groupBy("ticker").agg(F.when(enough, F.max_by("hot", "date")).alias("attn_hit"))
-    return rel.join(high, "ticker").join(hot, "ticker")
+    rows = rolling.latest(ledger).join(F.broadcast(bench_gain(benchmark)), F.lit(True))  # one row
+    return rows.select("ticker", (F.col("gain") - F.col("bench") >= rel_hit).alias("rel_hit"), F.when(F.col("known"), F.col("new_high")).alias("high_hit"), "attn_hit")
+
+
+def hot_tickers(themes: DataFrame, registry: DataFrame) -> DataFrame:
+    """(ticker): members of themes in the diffusion or wave stage."""
+    return registry.join(themes.filter(F.col("stage").isin("diffusion", "wave")).select("theme"), "theme", "left_semi").select("ticker").distinct()
 
 
 def breadth(flags: DataFrame, *key: str) -> DataFrame:
@@ -53,14 +62,17 @@ def stage(members: Column, decay: Column, rel: Column, attn: Column, language: C
     )
 
 
-def theme_heat(flags: DataFrame, registry: DataFrame, decay: DataFrame, language: Column | None = None) -> DataFrame:
+def theme_heat(flags: DataFrame, registry: DataFrame, decay: DataFrame, language: DataFrame | None = None) -> DataFrame:
     """Heat and stage of every theme: excess breadth of its members over all tickers.
 
-    registry: (theme, ticker); decay: (theme, decay boolean).
+    registry: (theme, ticker); decay: (theme, decay boolean); language: (theme, language), the
+    score of a confirmed phrase, 0 for themes without one.
     """
-    language = F.lit(0.0) if language is None else language
     whole = breadth(flags).select(*(F.coalesce(c, F.lit(0.0)).alias(f"all_{c}") for c in ("rel", "high", "attn")))
     themes = breadth(registry.join(flags, "ticker"), "theme").join(F.broadcast(whole), F.lit(True)).join(decay, "theme", "left")  # whole is one row
+    if language is not None:
+        themes = themes.join(language, "theme", "left")
+    language = F.lit(0.0) if language is None else F.coalesce("language", F.lit(0.0))
     excess = {c: F.greatest(F.lit(0.0), F.coalesce(F.col(c) - F.col(f"all_{c}"), F.lit(0.0))) for c in ("rel", "high", "attn")}
     heat = F.floor(100 * (0.30 * excess["rel"] + 0.25 * excess["high"] + 0.25 * excess["attn"] + 0.20 * language) + 0.5)
     return themes.select(
@@ -88,9 +100,12 @@ def decay_signal(ledger: DataFrame, registry: DataFrame, benchmark: DataFrame, w
     return index.groupBy("theme").agg(F.count("*").alias("n"), (last < rest).alias("decay")).filter(F.col("n") >= window).drop("n")
 
 
-def member_states(returns: DataFrame, highs: DataFrame, rel: DataFrame, coils: DataFrame) -> DataFrame:
-    """(ticker, member_state): coil states win, then ran, running, lagging; others are left out."""
-    rows = returns.join(highs, "ticker").join(rel, "ticker").join(coils.select("ticker", "state"), "ticker", "left")
+def member_states(latest: DataFrame, bench: DataFrame, coils: DataFrame) -> DataFrame:
+    """(ticker, member_state): coil states win, then ran, running, lagging; others are left out.
+
+    latest: rolling.latest; bench: bench_gain.
+    """
+    rows = latest.join(F.broadcast(bench), F.lit(True)).withColumn("rel", F.col("gain") - F.col("bench")).join(coils.select("ticker", "state"), "ticker", "left")  # bench is one row
     state = (
         F.when(F.col("state").isin("coiled", "dead"), F.col("state")).when((F.col("return_12m") >= 0.5) & (F.col("extension") > 0.3), "ran")
         .when((F.col("state") == "released") | F.col("new_high"), "running").when(F.col("rel") < 0.10, "lagging")

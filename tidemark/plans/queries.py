@@ -55,7 +55,7 @@ def st4_ledger(spark, sf_dir):
 
 
 @query("st1_upsert", LEDGER + f""", merged AS (
-  SELECT ticker, date, mentions + CASE WHEN date > {MID} THEN 1 ELSE 0 END AS mentions, close, volume, CASE WHEN date > {MID} THEN volume ELSE wiki END AS wiki,
+  SELECT ticker, date, mentions + CASE WHEN date > {MID} THEN 1 ELSE 0 END AS mentions, CASE WHEN date <= {MID} THEN close END AS close, volume, CASE WHEN date > {MID} THEN volume ELSE wiki END AS wiki,
          row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM ledger)
 SELECT ticker, date, mentions, close, volume, wiki FROM merged WHERE age <= 400""")
 def st1_upsert(spark, sf_dir):
@@ -66,10 +66,10 @@ def st1_upsert(spark, sf_dir):
 
 @query("st2_backfill", LEDGER + f"""
 SELECT ticker, date, CASE WHEN date <= {MID} THEN mentions ELSE 0 END AS mentions, close, CASE WHEN date <= {MID} AND mentions > 1 THEN volume ELSE volume + 1 END AS volume,
-       CASE WHEN date <= {MID} THEN wiki END AS wiki FROM ledger""")
+       CASE WHEN date <= {MID} THEN wiki END AS wiki FROM ledger QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 400""")
 def st2_backfill(spark, sf_dir):
     ledger = D.ledger(spark, sf_dir)
-    holed = ledger.filter("date <= DATE '1998-06-30'").withColumn("volume", F.when(F.col("mentions") > 1, F.col("volume")))
+    holed = ledger.filter("date <= DATE '1998-06-30'").withColumn("volume", F.when(F.col("mentions") > 1, F.col("volume")).otherwise(F.lit(float("nan"))))
     return L.merge_backfill(holed, ledger.withColumn("volume", F.col("volume") + 1))
 
 
@@ -199,11 +199,6 @@ PROOF = LEDGER + f""", p AS (SELECT ticker, date, close, volume, close / lag(clo
 proof AS (SELECT * FROM p WHERE move >= 0.08 AND volume / avg_volume >= 3)"""
 
 
-@query("w19_proof_quarter", PROOF + " SELECT ticker, date, round(move, 6) AS move, round(volume / avg_volume, 6) AS ratio FROM proof")
-def w19_proof_quarter(spark, sf_dir):
-    return R.proof_days(D.ledger(spark, sf_dir)).select("ticker", "date", *r6("move"), F.round(F.col("volume") / F.col("avg_volume"), 6).alias("ratio"))
-
-
 @query("w20_sparkline", LEDGER + """, x AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM ledger QUALIFY age <= 60)
 SELECT ticker, date, round((close - min(close) OVER (PARTITION BY ticker)) / (max(close) OVER (PARTITION BY ticker) - min(close) OVER (PARTITION BY ticker)), 6) AS y FROM x""")
 def w20_sparkline(spark, sf_dir):
@@ -224,14 +219,7 @@ coil AS (SELECT ticker, CASE WHEN release_idx IS NOT NULL THEN 'released' WHEN n
 
 @query("sm2_classify", CLASSIFY + " SELECT * FROM coil")
 def sm2_classify(spark, sf_dir):
-    return relaxed(spark, sf_dir)
-
-
-@query("tk2_spring_order", CLASSIFY + """ SELECT ticker, state, row_number() OVER (ORDER BY CASE state WHEN 'released' THEN 0 WHEN 'coiled' THEN 1 ELSE 2 END, sessions DESC, ticker) AS place FROM coil ORDER BY place LIMIT 20""")
-def tk2_spring_order(spark, sf_dir):
-    rank = F.when(F.col("state") == "released", 0).when(F.col("state") == "coiled", 1).otherwise(2)
-    top = relaxed(spark, sf_dir).orderBy(rank, F.desc("sessions"), "ticker").limit(20)
-    return top.select("ticker", "state", F.row_number().over(W.orderBy(rank, F.desc("sessions"), "ticker")).cast("long").alias("place"))
+    return relaxed(spark, sf_dir).drop("persistence", "percentile")
 
 
 # --- themes ---------------------------------------------------------------------------
@@ -276,7 +264,7 @@ def a5_theme_heat(spark, sf_dir):
 SELECT * FROM st WHERE member_state IS NOT NULL""")
 def sm4_member_states(spark, sf_dir):
     ledger = D.ledger(spark, sf_dir)
-    return H.member_states(R.returns(ledger), R.new_high(ledger), H.relative_return(ledger, D.benchmark(spark, sf_dir)), relaxed(spark, sf_dir))
+    return H.member_states(R.latest(ledger), H.bench_gain(D.benchmark(spark, sf_dir)), relaxed(spark, sf_dir))
 
 
 # --- signals and boards ---------------------------------------------------------------
@@ -476,11 +464,6 @@ def releases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return events, S.grade(events, ledger, F.lit(ledger.agg(F.max("date")).first()[0]))
 
 
-@query("st12_grades", RELEASES + " SELECT id, horizon, round(ret, 6) AS ret FROM graded")
-def st12_grades(spark, sf_dir):
-    return releases(spark, sf_dir)[1].select("id", "horizon", *r6("ret"))
-
-
 @query("a6_calibration", RELEASES + " SELECT type, horizon, count(*) AS graded, round(avg((ret > 0)::INT), 6) AS win_rate, round(quantile_cont(ret, 0.5), 6) AS median FROM graded WHERE ret IS NOT NULL GROUP BY 1, 2")
 def a6_calibration(spark, sf_dir):
     return S.calibration(*releases(spark, sf_dir)).select("type", "horizon", "graded", *r6("win_rate", "median"))
@@ -493,11 +476,6 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.ledger(spark, sf_dir).select("ticker", "date", F.when(F.col("volume") >= 60, "busy").when(F.col("volume") >= 20, "usual").otherwise("thin").alias("state"))
 
 
-@query("st10_days_in_state", STATES + ", x AS (SELECT *, state IS DISTINCT FROM lag(state) OVER (PARTITION BY ticker ORDER BY date) AS new FROM states) SELECT ticker, arg_max(state, date) AS state, max(date) FILTER (new) AS since FROM x GROUP BY ticker")
-def st10_days_in_state(spark, sf_dir):
-    return S.since(states(spark, sf_dir))
-
-
 SPLIT = STATES + f", was AS (SELECT ticker, arg_max(state, date) AS state FROM states WHERE date <= {MID} GROUP BY 1), cur AS (SELECT ticker, arg_max(state, date) AS state FROM states GROUP BY 1)"
 
 
@@ -528,11 +506,6 @@ def so3_latest_expiry(spark, sf_dir):
     return S.latest_expiry(D.mention_events(spark, sf_dir).select("ticker", F.col("source").alias("reason"), F.col("ts").alias("expires"), "seq"))
 
 
-@query("a9_state_digest", STATES + ", cur AS (SELECT ticker, arg_max(state, date) AS state FROM states GROUP BY 1) SELECT state, count(*) AS tickers FROM cur GROUP BY 1")
-def a9_state_digest(spark, sf_dir):
-    return S.since(states(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("tickers"))
-
-
 @query("a13_ranked", "WITH " + D.EVENTS_SQL + " SELECT ticker, sum(mentions)::BIGINT AS mentions FROM mention GROUP BY 1 ORDER BY mentions DESC, ticker LIMIT 25")
 def a13_ranked(spark, sf_dir):
     return a3_mention_totals(spark, sf_dir).orderBy(F.desc("mentions"), "ticker").limit(25)
