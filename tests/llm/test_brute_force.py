@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_additive, op2_toxicity, op3_token_counts, op5_language_id, op6_sampling, op7_chunks, op9_decontaminate, op10_quality, pieces
+from tidemark.llm import op1_additive, op2_toxicity, op3_token_counts, op5_language_id, op6_sampling, op7_chunks, op8_suffix_tree, op9_decontaminate, op10_quality, pieces
 from tidemark.llm.common import hash_share
 
 
@@ -336,3 +336,66 @@ def test_marginals_are_those_of_enumerated_chains():
             assert log_z[text] == pytest.approx(math.log(total))
             seen_pairs.append(pair / total)
     assert pairs == pytest.approx(np.concatenate(seen_pairs))
+
+
+def plain_suffix_scores(texts, learn, min_count, depth, divergence, discount):
+    """Suffix-tree scores, one token after another, from plain dictionaries."""
+    rows = [[*t.lower().split(), "\n"] for t in texts]
+    grams = Counter(tuple(r[i : i + n]) for r, k in zip(rows, learn) if k for n in range(1, depth + 2) for i in range(len(r) - n + 1))
+    total, distinct = sum(n for g, n in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    kept = {}
+
+    def p(context, word):
+        if not context:
+            return (grams[(word,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        below = p(context[1:], word)
+        if context not in kept:
+            return below
+        return kept[context].get(word, 0.0) + (1 - sum(kept[context].values())) * below
+
+    for d in range(1, depth + 1):
+        found = {}
+        for g, n in grams.items():
+            if len(g) == d + 1 and n >= min_count:
+                found.setdefault(g[:-1], {})[g[-1]] = n
+        fresh = {}
+        for context, follow in found.items():
+            size = grams[context]
+            kl = sum(n / size * math.log(n / size / p(context[1:], w)) for w, n in follow.items())
+            other, below = 1 - sum(follow.values()) / size, 1 - sum(p(context[1:], w) for w in follow)
+            kl += other * math.log(other / max(below, 1e-12)) if other > 1e-12 else 0
+            if kl * size >= divergence:
+                fresh[context] = {w: (n - discount) / size for w, n in follow.items()}
+        if not fresh:
+            break
+        kept |= fresh
+    out = []
+    for r in rows:
+        out.append(sum(math.log10(p(tuple(r[max(0, i - depth) : i]), w)) for i, w in enumerate(r)))
+    vocabulary = [g[0] for g in grams if len(g) == 1]
+    for context in kept:  # with the mass of one unseen word every distribution sums to one
+        rest = math.prod(1 - sum(kept[context[k:]].values()) if context[k:] in kept else 1.0 for k in range(len(context)))
+        assert sum(p(context, w) for w in vocabulary) + rest * 0.1 / (total + 0.1 * (distinct + 1)) == pytest.approx(1)
+    return out, kept
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_suffix_tree_scores_are_the_plain_ones_by_broadcast_and_by_joins(spark, depth):
+    rng = random.Random(17)
+    words, follow = [f"w{i}" for i in range(10)], {"w1": ["w2", "w3"], "w4": ["w5", "W6", "w7", "w8"]}
+    texts = []
+    for _ in range(90):
+        out = []
+        for _ in range(rng.randint(0, 40)):
+            out.append(rng.choice(words))
+            out += follow.get(out[-1], []) if rng.random() < 0.6 else []
+        texts.append(" ".join(out))
+    texts += ["rare words", "", "w1 w2 rare", "w4\tw5\nw6"]
+    want, kept = plain_suffix_scores(texts, [i % 5 != 0 for i in range(len(texts))], 3, depth, 3.0, 0.75)
+    assert max(map(len, kept)) == min(depth, 4)
+    docs = spark.createDataFrame([*enumerate(texts), (500, None)], "doc_id long, text string")
+    for most_entries in (10**6, 5):
+        rows = op8_suffix_tree.score(docs, F.col("id") % 5 != 0, min_count=3, depth=depth, divergence=3.0, most_entries=most_entries).collect()
+        got = {r["doc_id"]: r["score"] for r in rows}
+        # the null text is one that is not trained on, as 500 is divisible by 5
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9) and len(got) == len(texts) + 1

@@ -1,17 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are the words of the text, A-Z lower-cased, then one end. The tree's root is the
-add-0.1 unigram distribution of all training tokens. A context of one or two words is a
-candidate where it is followed by some word with a joint probability of `p_min` or more
-(never fewer than `min_count` times); it is retained where its next-symbol distribution
-diverges from that of its suffix: count * KL >= `divergence`, over the explicit successors
-and the rest taken as one symbol. A retained context mixes its absolutely discounted
-successors with its suffix's distribution, so every distribution sums to one. Each token is
-scored in the longest retained suffix of the words before it.
-
-`p_min` bounds what is broadcast whatever the corpus size: at most 1 / p_min words, and as
-many successors for each context length. Unigram counts have no such bound; rare words meet
-theirs in a join. All counts cover all training rows.
+add-0.1 unigram distribution of all training tokens. A sequence of words is a candidate
+context where it occurs `min_count` times or more and so does one of its continuations; it is
+retained where its next-symbol distribution diverges from that of its suffix: count * KL >=
+`divergence`, over the explicit successors and the rest taken as one symbol. A retained
+context mixes its absolutely discounted successors with its suffix's distribution, so every
+distribution sums to one. Each token is scored in the longest retained suffix of the words
+before it. Contexts grow word by word, a level after another, until none is retained or they
+have `depth` words.
+
+Counts and thresholds cover all training rows and are alike at every size, so the tree grows
+with the corpus. It goes to the tasks as a broadcast while it has at most `most_entries` words
+and sequences; a larger one is never collected: `by_joins` then counts, tests and scores by
+joins of tables, with the same results.
 
 Defined results: a null text counts as empty and has one token, the end; contexts don't cross
 rows; repeated rows are trained on and scored each; a null id is scored, not trained on.
@@ -22,7 +24,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -39,31 +40,37 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+@dataclass
+class Level:
+    """Contexts of one length, each a place in the level below (a word, for the first level), with their successors."""
+
+    codes: np.ndarray  # context * V + next, sorted
+    probs: np.ndarray  # of each code, 0 where its context is not retained
+    rest: np.ndarray  # by context: weight of the suffix's distribution, 1 where not retained
+
+
 @dataclass
 class SuffixTree:
-    """Frequent words by number, and the retained contexts as sorted codes."""
+    """Frequent words by number, and the levels of contexts above the root."""
 
     words: dict[bytes, int]
     root: np.ndarray  # probability of each frequent word
-    rest1: np.ndarray  # by word: weight of the root below this context, 1 where not retained
-    codes1: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # word * V + next
-    probs1: np.ndarray = field(default_factory=lambda: np.zeros(0))  # 0 where not retained
-    rest2: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by position in codes1
-    codes2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # position in codes1 * V + next
-    probs2: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    levels: list[Level] = field(default_factory=list)
+
+    def places(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
+        """Each level with the context before every token and the place of context and token in it, -1 for none."""
+        at = ids
+        for level in self.levels:
+            context = shifted(at, 1, starts)
+            at = locate(level.codes, np.where((context >= 0) & (ids >= 0), context * len(self.words) + ids, -1))
+            yield level, context, at
 
     def word_probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probability of every token; for an unlisted word (-1) only the weight of the root."""
-        v = len(self.words)
-        p = np.where(ids >= 0, self.root[ids], 1.0) if v else np.ones(len(ids))
-        before = shifted(ids, 1, starts)
-        known = before >= 0
-        pair = locate(self.codes1, np.where(known & (ids >= 0), before * v + ids, -1))
-        p = np.where(known, self.rest1[before], 1.0) * p + take(self.probs1, pair) if v else p
-        context = np.concatenate(([-1], pair[:-1])) if len(pair) else pair
-        context[starts] = -1  # the first token of a row
-        triple = locate(self.codes2, np.where((context >= 0) & (ids >= 0), context * v + ids, -1))
-        return np.where(context >= 0, take(self.rest2, context, 1.0), 1.0) * p + take(self.probs2, triple)
+        p = np.where(ids >= 0, self.root[ids], 1.0) if len(self.words) else np.ones(len(ids))
+        for level, context, at in self.places(ids, starts):
+            p = take(level.rest, context, 1.0) * p + take(level.probs, at)
+        return p
 
 
 def shifted(ids: np.ndarray, by: int, starts: np.ndarray) -> np.ndarray:
@@ -114,11 +121,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def code_counts(texts: DataFrame, words, codes_of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes seen at least `least` times, sorted, and their counts.
+def code_counts(texts: DataFrame, words, codes_of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Codes seen at least `least` times, sorted, and their counts; None where there are over `most`.
 
-    Counted in each task first, in flushes of bounded size, then summed by code. The codes
-    returned are at most 1 / p_min in number.
+    Counted in each task first, in flushes of bounded size, then summed by code.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +144,12 @@ def code_counts(texts: DataFrame, words, codes_of: Callable[[np.ndarray, np.ndar
         code, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_pydict({"code": pa.array(code), "n": pa.array(n.astype(np.int64))})
 
-    found = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas().sort_values("code")
-    return found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    counted = texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = materialize(counted, "codes")
+    if found.count() > most:
+        return None
+    listed = found.toArrow().sort_by("code")
+    return listed["code"].to_numpy(), listed["n"].to_numpy()
 
 
 def retain(context: np.ndarray, joint: np.ndarray, total: np.ndarray, suffix: np.ndarray, divergence: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
@@ -159,54 +169,116 @@ def retain(context: np.ndarray, joint: np.ndarray, total: np.ndarray, suffix: np
     return probs, np.where(kept, 1 - np.bincount(context, probs, n), 1.0)
 
 
-def fit(texts: DataFrame, p_min: float = 2e-6, min_count: int = 4, divergence: float = 20.0, discount: float = 0.75) -> tuple[DataFrame, SuffixTree, int, int]:
-    """Unigram table (word, n), the suffix tree, and the number of training tokens and words."""
-    unigrams = materialize(word_counts(texts), "unigrams")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(min_count, ceil(p_min * total))
-    listed = unigrams.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").toPandas()
-    counts, words = listed["n"].to_numpy(np.int64), {bytes(w): i for i, w in enumerate(listed["word"])}
+def fit(texts: DataFrame, unigrams: DataFrame, total: int, distinct: int, min_count: int, depth: int, divergence: float, discount: float, most_entries: int) -> SuffixTree | None:
+    """The suffix tree, or None where it has over most_entries words and sequences."""
+    frequent = unigrams.filter(F.col("n") >= min_count)
+    if frequent.count() > most_entries:
+        return None
+    listed = frequent.orderBy(F.desc("n"), "word").toArrow()
+    joint, words = listed["n"].to_numpy(), {w: i for i, w in enumerate(listed["word"].to_pylist())}
     v = len(words)
-    tree = SuffixTree(words, (counts + PRIOR) / (total + PRIOR * (distinct + 1)), np.ones(v))
+    tree = SuffixTree(words, (joint + PRIOR) / (total + PRIOR * (distinct + 1)))
     if not v:
-        return unigrams, tree, total, distinct
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def pairs(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        before = shifted(ids, 1, starts)
-        good = (before >= 0) & (ids >= 0)
-        return before[good] * v + ids[good]
-
-    tree.codes1, joint1 = code_counts(texts, shared, pairs, least)
-    first, second = tree.codes1 // v, tree.codes1 % v
-    tree.probs1, tree.rest1 = retain(first, joint1, counts, tree.root[second], divergence, discount)
-    shared1 = texts.sparkSession.sparkContext.broadcast(tree.codes1)
-
-    def triples(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        codes1 = shared1.value
-        before = shifted(ids, 1, starts)
-        pair = locate(codes1, np.where((before >= 0) & (ids >= 0), before * v + ids, -1))
-        context = shifted(pair, 1, starts)
-        good = (context >= 0) & (pair >= 0)  # a frequent triple has frequent pairs
-        return context[good] * v + ids[good]
-
-    tree.codes2, joint2 = code_counts(texts, shared, triples, least)
-    context, following = tree.codes2 // v, tree.codes2 % v
-    pair = locate(tree.codes1, second[context] * v + following)
-    suffix = tree.rest1[second[context]] * tree.root[following] + take(tree.probs1, pair)
-    tree.probs2, tree.rest2 = retain(context, joint2, joint1, suffix, divergence, discount)
-    return unigrams, tree, total, distinct
-
-
-def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+        return tree
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+    suffixes: list[np.ndarray] = [np.zeros(v, np.int64)]  # by length of sequences: place of each one's suffix among the shorter ones
+    entries = v
+
+    def suffix_probability(length: int, at: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """Probability of the following words in contexts of that length, given by their places."""
+        if length < 0:
+            return tree.root[following]
+        level = tree.levels[length]
+        below = suffix_probability(length - 1, suffixes[length][at], following)
+        return level.rest[at] * below + take(level.probs, locate(level.codes, at * v + following))
+
+    for m in range(depth):
+        so_far = spark.sparkContext.broadcast(tree)
+
+        def codes_of(ids: np.ndarray, starts: np.ndarray, so_far=so_far) -> np.ndarray:
+            at = ids
+            for _, _, at in so_far.value.places(ids, starts):  # noqa: B007
+                pass
+            context = shifted(at, 1, starts)
+            good = (context >= 0) & (ids >= 0)  # what is frequent has a frequent beginning
+            return context[good] * v + ids[good]
+
+        counted = code_counts(texts, shared, codes_of, min_count, most_entries - entries)
+        so_far.unpersist()
+        if counted is None:
+            return None
+        codes, n = counted
+        context, following = codes // v, codes % v
+        below = suffix_probability(m - 1, suffixes[m][context], following)
+        probs, rest = retain(context, n, joint, below, divergence, discount)
+        if not probs.any():
+            break
+        suffixes.append(locate(tree.levels[m - 1].codes, suffixes[m][context] * v + following) if m else following)
+        tree = SuffixTree(words, tree.root, [*tree.levels, Level(codes, probs, rest)])
+        joint, entries = n, entries + len(codes)
+    return tree
+
+
+def by_joins(rows: DataFrame, learns: Column, unigrams: DataFrame, whole: float, min_count: int, depth: int, divergence: float, discount: float) -> DataFrame:
+    """(rid, logs) of rows (rid, id, text): the same counts, tests and scores as tables joined by context.
+
+    A context is its words joined by spaces. What is collected is whether a level retains any.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_parts(batch):
+                words = [[w.decode() for w in tokens(raw)] for raw in raw_texts(part)]
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("learns"), pa.array(words, pa.list_(pa.string()))], ["rid", "learns", "words"])
+
+    worded = rows.select("rid", "text", F.coalesce(learns, F.lit(False)).alias("learns")).mapInArrow(split, "rid long, learns boolean, words array<string>")
+    before = lambda d: F.when(F.col("i") >= d, F.array_join(F.slice("words", F.col("i") + (1 - d), d), " "))
+    names = [f"c{d}" for d in range(1, depth + 1)]
+    places = materialize(worded.select("rid", "learns", "words", F.posexplode("words").alias("i", "next")).select("rid", "learns", "next", *(before(d).alias(c) for d, c in enumerate(names, 1))), "places")
+    single = unigrams.select(F.col("word").cast("string").alias("next"), "n")
+    root = (F.coalesce("n", F.lit(0)) + PRIOR) / F.lit(whole)
+    levels: list[tuple[DataFrame, DataFrame]] = []
+
+    def mixed(frame: DataFrame, contexts: list[str]) -> DataFrame:
+        """frame with p: probability of next in the longest retained one of the contexts, shortest first."""
+        out = frame.join(single, "next", "left").withColumn("p", root).drop("n")
+        for c, (probs, rests) in zip(contexts, levels):
+            out = out.join(rests.withColumnRenamed("context", c), c, "left").join(probs.withColumnRenamed("context", c), [c, "next"], "left")
+            out = out.withColumn("p", F.coalesce("rest", F.lit(1.0)) * F.col("p") + F.coalesce("prob", F.lit(0.0))).drop("rest", "prob")
+        return out
+
+    sequences = single.filter(F.col("n") >= min_count).select(F.col("next").alias("context"), F.col("n").alias("total"))
+    for d, c in enumerate(names, 1):
+        counts = places.filter(F.col("learns") & F.col(c).isNotNull()).groupBy(F.col(c).alias("context"), "next").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_count)
+        counts = materialize(counts.join(sequences, "context"), "counts")
+        suffixes = [F.substring_index("context", " ", -k).alias(f"c{k}") for k in range(1, d)]
+        rated = mixed(counts.select("*", *suffixes), [f"c{k}" for k in range(1, d)]).withColumn("share", F.col("joint") / F.col("total"))
+        other, other_below = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.sum("share"))), F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.sum("p")))
+        kl = F.sum(F.col("share") * F.log(F.col("share") / F.col("p"))) + F.when(other > 1e-12, other * F.log(other / other_below)).otherwise(0.0)
+        kept = rated.groupBy("context").agg((kl * F.first("total") >= divergence).alias("kept"), (1 - F.sum((F.col("joint") - discount) / F.col("total"))).alias("rest")).filter("kept").drop("kept")
+        rests = materialize(kept, "rests")
+        if rests.isEmpty():
+            break
+        levels.append((materialize(counts.join(rests.select("context"), "context", "left_semi").select("context", "next", ((F.col("joint") - discount) / F.col("total")).alias("prob")), "probs"), rests))
+        sequences = counts.select(F.concat_ws(" ", "context", "next").alias("context"), F.col("joint").alias("total"))
+    return mixed(places, names).groupBy("rid").agg(F.sum(F.log10("p")).alias("logs"))
+
+
+def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", min_count: int = 32, depth: int = 3, divergence: float = 20.0, discount: float = 0.75, most_entries: int = 8_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     learns: which rows train the model, over columns id and text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    unigrams, tree, total, distinct = fit(rows.filter(learns).select("text"), **parameters)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    texts = rows.filter(learns).select("text")
+    unigrams = materialize(word_counts(texts), "unigrams")
+    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole = total + PRIOR * (distinct + 1)
+    tree = fit(texts, unigrams, total, distinct, min_count, depth, divergence, discount, most_entries)
+    joined = tree is None
+    shared = docs.sparkSession.sparkContext.broadcast(SuffixTree({}, np.zeros(0)) if joined else tree)
+    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
@@ -227,7 +299,8 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                 ], ["rid", "id", "n_tokens", "known", "base", "logs", "words", "times"])
 
     schema = "rid long, id long, n_tokens long, known long, base double, logs double, words array<binary>, times array<long>"
-    partial = materialize(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(scan, schema), "partial")
+    numbered = materialize(numbered, "numbered") if joined else numbered  # both branches must see the same numbers
+    partial = materialize(numbered.mapInArrow(scan, schema), "partial")
     rare = partial.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = rare.join(unigrams, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     added = met.groupBy("rid").agg(
@@ -235,9 +308,14 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
         F.sum(F.col("times") * F.log10((F.col("n") + PRIOR) / F.lit(float(whole)))).alias("rare_base"),
     )
     more = F.coalesce("rare_base", F.lit(0.0))
-    return partial.drop("words", "times").join(added, "rid", "left").select(
+    all_ = partial.drop("words", "times").join(added, "rid", "left")
+    model = F.col("logs") + more
+    if joined:
+        deep = by_joins(numbered, learns, unigrams, float(whole), min_count, depth, divergence, discount)
+        all_, model = all_.drop("logs").join(deep, "rid"), F.col("logs")
+    return all_.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("logs") + more).alias("score"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), model.alias("score"),
     )
 
 
