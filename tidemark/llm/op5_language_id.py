@@ -17,7 +17,6 @@ language or id teach nothing, rows with a null id are scored as not held out.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,13 +31,18 @@ from .common import crc_bucket, hash_share, is_bucket, segment_sums, table, text
 
 UNDETERMINED = "und"
 LONGEST = 5
-#: Characters that `\w` takes though they are no letters, such as fractions and Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased."""
+    if not text:
+        return []
+    low = text.lower()
+    found = _WORD.findall(low)
+    if found and not "".join(found).isalpha():  # numerals that `\w` takes as well, such as fractions
+        found = _WORD.findall("".join(c if c.isalpha() else " " for c in low))
+    return found
 
 
 @dataclass
