@@ -135,7 +135,7 @@ def src13_board_catalog(spark, sf_dir):
     return S.board_catalog(rows_of(spark, sf_dir, "events").select(F.to_json(F.array(F.struct(F.array(thread).alias("threads")))).alias("value"))).withColumn("weight", F.col("weight").cast("long"))
 
 
-MOVE = "SELECT ticker, round(last_price, 6) AS last_price, round((last_price - before) * 100 / before, 6) AS price_move, round(CASE WHEN avg_volume <> 0 THEN volume / avg_volume ELSE 1 END, 6) AS relative_volume, volume"
+MOVE = "SELECT ticker, last_price, round((last_price - before) * 100 / before, 6) AS price_move, round(CASE WHEN avg_volume <> 0 THEN volume / avg_volume ELSE 1 END, 6) AS relative_volume, volume"
 LAST6 = LEDGER + """, a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM ledger),
 q6 AS (SELECT ticker, max(close) FILTER (age = 1) AS last_price, max(close) FILTER (age = 2) AS before, max(volume) FILTER (age = 1) AS volume, avg(volume) FILTER (age BETWEEN 2 AND 6) AS avg_volume, max(date) AS as_of FROM a WHERE age <= 6 GROUP BY 1),
 q5 AS (SELECT ticker, max(close) FILTER (age = 1) * CASE WHEN ticker % 4 = 0 THEN 1.5::DOUBLE ELSE 1 END AS last_price, max(close) FILTER (age = 2) AS before, max(volume) FILTER (age = 1) AS volume, avg(volume) FILTER (age BETWEEN 2 AND 5) AS avg_volume FROM a WHERE age <= 5 GROUP BY 1)"""
@@ -163,20 +163,20 @@ def own(df):
 
 @query("src14_chart_quotes", LAST6 + f" {MOVE} FROM q5 WHERE before IS NOT NULL")
 def src14_chart_quotes(spark, sf_dir):
-    return own(S.chart_quotes(charts(spark, sf_dir))).select("ticker", *r6("last_price", "price_move", "relative_volume"), "volume")
+    return own(S.chart_quotes(charts(spark, sf_dir))).select("ticker", "last_price", *r6("price_move", "relative_volume"), "volume")
 
 
 @query("src15_daily_quotes", LAST6 + f" {MOVE}, as_of FROM q6 WHERE before IS NOT NULL")
 def src15_daily_quotes(spark, sf_dir):
-    return own(S.daily_quotes(price_lines(spark, sf_dir))).select("ticker", *r6("last_price", "price_move", "relative_volume"), "volume", "as_of")
+    return own(S.daily_quotes(price_lines(spark, sf_dir))).select("ticker", "last_price", *r6("price_move", "relative_volume"), "volume", "as_of")
 
 
 @query("src16_reconciled_quotes", LAST6 + """, y AS (SELECT * FROM q5 WHERE before IS NOT NULL AND ticker % 5 <> 1), s AS (SELECT * FROM q6 WHERE before IS NOT NULL AND ticker % 7 <> 1)
-SELECT coalesce(y.ticker, s.ticker) AS ticker, round(CASE WHEN y.ticker IS NULL OR (s.ticker IS NOT NULL AND abs(y.last_price - s.last_price) / greatest(0.01::DOUBLE, s.last_price) > 0.25::DOUBLE) THEN s.last_price ELSE y.last_price END, 6) AS last_price,
+SELECT coalesce(y.ticker, s.ticker) AS ticker, CASE WHEN y.ticker IS NULL OR (s.ticker IS NOT NULL AND abs(y.last_price - s.last_price) / greatest(0.01::DOUBLE, s.last_price) > 0.25::DOUBLE) THEN s.last_price ELSE y.last_price END AS last_price,
   coalesce(abs(y.last_price - s.last_price) / greatest(0.01::DOUBLE, s.last_price) > 0.25::DOUBLE, false) AS mismatch FROM y FULL JOIN s ON y.ticker = s.ticker""")
 def src16_reconciled_quotes(spark, sf_dir):
     a, b = own(S.chart_quotes(charts(spark, sf_dir))).filter("ticker % 5 <> 1"), own(S.daily_quotes(price_lines(spark, sf_dir))).filter("ticker % 7 <> 1")
-    return S.reconciled_quotes(a, b).select("ticker", *r6("last_price"), F.col("note").isNotNull().alias("mismatch"))
+    return S.reconciled_quotes(a, b).select("ticker", "last_price", F.col("note").isNotNull().alias("mismatch"))
 
 
 @query("src17_price_history", LEDGER + " SELECT ticker, date, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM ledger WHERE mentions < 3) WHERE age <= 50")
