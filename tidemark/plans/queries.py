@@ -387,7 +387,7 @@ def sf3_page_title(spark, sf_dir):
     return D.read(spark, sf_dir, "pages").select("page_id", T.text_between(F.col("html"), "title").alias("title"))
 
 
-@query("sf2_clean_markup")
+@query("sf2_clean_markup", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<!\[CDATA\[|\]\]>', '', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g')) AS text FROM pages""")
 def sf2_clean_markup(spark, sf_dir):
     return D.read(spark, sf_dir, "pages").select("page_id", T.clean_markup(F.col("html")).alias("text"))
 
