@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+from .state import ordered_union
+
 
 def rounded(x: Column) -> Column:
     """To the nearest whole number, halves up."""
@@ -124,3 +126,25 @@ def enrich_names(registry: DataFrame, titles: DataFrame) -> DataFrame:
     rows = registry.join(titles, "ticker", "left")
     brands = F.when(F.col("title").isNull() | F.col("ticker").isin(*T.V.AMBIGUOUS_TICKERS), F.array().cast("array<string>")).otherwise(T.brand_aliases(title))
     return rows.select("ticker", F.when(F.col("name") == F.col("ticker"), F.coalesce(title, "name")).otherwise(F.col("name")).alias("name"), F.array_sort(F.array_union("aliases", brands)).alias("aliases"))
+
+
+def ranked_entries(registry: DataFrame, events: DataFrame, discovered: DataFrame, limit: int) -> DataFrame:
+    """(ticker, score): registered tickers by mentions in events and as discoveries (ticker, mentions), the most mentioned first."""
+    score = F.coalesce("mentions", F.lit(0)) + F.coalesce("found", F.lit(0))
+    totals = events.groupBy("ticker").agg(F.sum("mentions").alias("mentions"))
+    rows = registry.select("ticker").join(totals, "ticker", "left").join(discovered.select("ticker", F.col("mentions").alias("found")), "ticker", "left")
+    return rows.select("ticker", score.alias("score")).orderBy(F.desc("score"), "ticker").limit(limit)
+
+
+def news_targets(registry: DataFrame, events: DataFrame, moves: DataFrame, discovered: DataFrame, majors: DataFrame, hot: DataFrame, limit: int = 70, min_move: float = 2.0, most_movers: int = 45) -> DataFrame:
+    """(ticker, why): the most mentioned registered tickers, then the largest movers beside them, the majors and the hot monitor.
+
+    moves: (ticker, price_move) of quotes; majors, hot: (ticker). Each ticker comes once, for the
+    first reason.
+    """
+    base = ranked_entries(registry, events, discovered, limit).select("ticker")
+    top = moves.groupBy("ticker").agg(F.max(F.abs("price_move")).alias("move")).filter(F.col("move") >= min_move)
+    movers = top.join(registry.select("ticker"), "ticker", "left_semi").join(base, "ticker", "left_anti").orderBy(F.desc("move"), "ticker").limit(most_movers)
+    known = lambda df: df.select("ticker").join(registry.select("ticker"), "ticker", "left_semi")
+    parts = [("mentions", base), ("move", movers.select("ticker")), ("major", known(majors)), ("hot", known(hot))]
+    return ordered_union([df.withColumn("why", F.lit(why)) for why, df in parts], "ticker")

@@ -40,10 +40,18 @@ def filtered_board(board: DataFrame, chosen: Sequence[str], search: str, of: int
     return peer_score(rows, chosen, of)
 
 
-def blocked_sources(failures: DataFrame) -> DataFrame:
-    """(source, n): what stands before the first colon of failure messages."""
-    source = F.trim(F.regexp_extract("message", "^([^:]+):", 1))
-    return failures.select(source.alias("source")).filter("source <> ''").groupBy("source").agg(F.count("*").alias("n"))
+def blocked_sources(sources: DataFrame, failures: DataFrame) -> DataFrame:
+    """(source, blocked, first) of sources: whether a failure (seq, message) names one before its colon, and the first message that starts with it.
+
+    A message is cut at its colon and at its spaces before it, so sources join by equality.
+    """
+    head = F.trim(F.regexp_extract("message", "^([^:]+):", 1))
+    words = F.split(head, " ")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    named = failures.select("seq", "message", head.alias("head"), F.explode(prefixes).alias("source")).filter("source <> ''")
+    found = named.groupBy("source").agg(F.bool_or(F.col("source") == F.col("head")).alias("blocked"), F.min_by("message", "seq").alias("first"))
+    blocked = F.coalesce("blocked", F.lit(False))
+    return sources.select("source").join(found, "source", "left").select("source", blocked.alias("blocked"), F.when(blocked, F.col("first")).alias("first"))
 
 
 def buy_candidates(board: DataFrame, k: int = 4, least_score: int = 20, least_mentions: int = 2) -> DataFrame:

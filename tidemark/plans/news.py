@@ -9,6 +9,7 @@ from tidemark.functions import vocabulary as V
 from tidemark.operators import discovery as X
 from tidemark.operators import headlines as N
 from tidemark.operators import phrases as P
+from tidemark.operators import screen as C
 from tidemark.operators import state as S
 from tidemark.plans import bindings as D
 from tidemark.plans.queries import RE, query, r6
@@ -269,3 +270,29 @@ def j6_theme_phrases(spark, sf_dir):
     k = F.col("n_nationkey")
     own = F.when(k % 5 == 0, "Widget").when(k % 5 == 1, "shares surge as earnings beat").when(k % 5 == 2, "optics").when(k % 5 == 3, "nothing like it").otherwise(F.concat(F.lit("supplier "), k))
     return P.theme_phrases(shortlisted(spark, sf_dir), D.read(spark, sf_dir, "nation").select(k.alias("theme"), own.alias("phrase")))
+
+
+# --- coverage -------------------------------------------------------------------------
+
+
+@query("f13_blocked_sources", HEAD + f""", f AS (SELECT seq, CASE WHEN k THEN source || ': 403 Blocked' ELSE source || ' ' || ticker || ': failed' END AS message, source, k FROM (SELECT *, source IN ('CNBC', 'Google News') AND price_move > 0 AS k FROM head)),
+s AS (SELECT unnest({D.sql_list(D.HEAD_SOURCES)}) AS source) SELECT s.source, coalesce(bool_or(k), false) AS blocked, CASE WHEN bool_or(k) THEN arg_min(message, seq) END AS first FROM s LEFT JOIN f USING (source) GROUP BY 1""")
+def f13_blocked_sources(spark, sf_dir):
+    down = F.col("source").isin("CNBC", "Google News") & (F.col("price_move") > 0)
+    message = F.when(down, F.concat("source", F.lit(": 403 Blocked"))).otherwise(F.concat_ws(" ", "source", F.concat("ticker", F.lit(": failed"))))
+    sources = spark.createDataFrame([(s,) for s in D.HEAD_SOURCES], "source string")
+    return C.blocked_sources(sources, D.headlines(spark, sf_dir).select("seq", message.alias("message")))
+
+
+@query("tk11_news_targets", FOUND + """, ev AS (SELECT ticker, sum(floor(weight + 0.5)) AS mentions FROM head GROUP BY 1), reg2 AS (SELECT ticker FROM reg UNION SELECT ticker FROM best),
+rank AS (SELECT reg2.ticker, coalesce(ev.mentions, 0) + coalesce(best.mentions, 0) AS score FROM reg2 LEFT JOIN ev USING (ticker) LEFT JOIN best USING (ticker) ORDER BY score DESC, reg2.ticker LIMIT 70),
+mv AS (SELECT ticker, max(abs(price_move)) AS move FROM head WHERE source = 'Price/Volume' AND ticker IN (SELECT ticker FROM reg2) AND ticker NOT IN (SELECT ticker FROM rank) GROUP BY 1 HAVING move >= 2 ORDER BY move DESC, ticker LIMIT 45),
+u AS (SELECT ticker, 0 AS p, 'mentions' AS why FROM rank UNION ALL SELECT ticker, 1, 'move' FROM mv UNION ALL SELECT ticker, 2, 'major' FROM reg2 WHERE ticker LIKE '%7' UNION ALL SELECT ticker, 3, 'hot' FROM reg2 WHERE ticker LIKE '%1%')
+SELECT ticker, arg_min(why, p) AS why FROM u GROUP BY 1""")
+def tk11_news_targets(spark, sf_dir):
+    heads, registry = D.headlines(spark, sf_dir), D.headline_registry(spark, sf_dir)
+    found = X.ranked_discoveries(X.discover(D.texts(spark, sf_dir), registry))
+    whole = registry.select("ticker").union(found.select("ticker")).distinct()
+    events = heads.select("ticker", X.rounded(F.col("weight")).alias("mentions"))
+    like = lambda p: D.read(spark, sf_dir, "events").select(F.concat(F.lit("T"), "user_id").alias("ticker")).distinct().filter(F.col("ticker").like(p))
+    return X.news_targets(whole, events, heads.filter("source = 'Price/Volume'").select("ticker", "price_move"), found, like("%7"), like("%1%"))

@@ -57,11 +57,6 @@ def f10_capped_volume(spark, sf_dir):
     return D.mention_events(spark, sf_dir).select("seq", B.capped_volume((F.col("relative_volume") - 1) * 10).alias("volume"))
 
 
-@query("f13_blocked_sources", "SELECT event_type AS source, count(*) AS n FROM events GROUP BY 1")
-def f13_blocked_sources(spark, sf_dir):
-    return C.blocked_sources(D.read(spark, sf_dir, "events").select(F.concat("event_type", F.lit(" : "), "props").alias("message")))
-
-
 @query("w17_trend", "WITH d AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, count(*) AS mentions FROM events GROUP BY 1, 2) SELECT ticker, count(*) AS points, arg_min(mentions, date) AS first, arg_max(mentions, date) AS last, round((arg_max(mentions, date) - arg_min(mentions, date)) * 100.0::DOUBLE / arg_min(mentions, date), 6) AS change FROM d GROUP BY 1")
 def w17_trend(spark, sf_dir):
     days = D.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("date")).agg(F.count("*").alias("mentions"))
