@@ -134,6 +134,16 @@ def proof_headlines(days: DataFrame, headlines: DataFrame) -> DataFrame:
     return days.join(first, "ticker")
 
 
+def followers(tickers: DataFrame, industries: DataFrame, edges: DataFrame, siblings: int = 15, neighbors: int = 8) -> DataFrame:
+    """(ticker, followers) of tickers: the first others of the industry by ticker, and the heaviest co-mentions."""
+    others = industries.select("sub", F.col("ticker").alias("other"))
+    first = others.withColumn("n", F.row_number().over(W.partitionBy("sub").orderBy("other"))).filter(F.col("n") <= siblings + 1)  # the ticker itself, if among them, is left out
+    near = tickers.select("ticker").join(industries.select("ticker", "sub"), "ticker").join(first, "sub").filter("ticker <> other")
+    near = near.withColumn("n", F.row_number().over(W.partitionBy("ticker").orderBy("other"))).filter(F.col("n") <= siblings).select("ticker", "other")
+    linked = G.top_neighbors(edges, neighbors).select("ticker", F.col("neighbor").alias("other"))
+    return near.unionByName(linked.join(tickers.select("ticker"), "ticker", "left_semi")).groupBy("ticker").agg(F.array_sort(F.collect_set("other")).alias("followers"))
+
+
 def leaders(active: DataFrame, triggers: DataFrame, industries: DataFrame, edges: DataFrame, date: Column, ttl: int = 182, siblings: int = 15, neighbors: int = 8) -> DataFrame:
     """(ticker, detected, expires, headline, followers): leaders that haven't expired, and new ones that are not yet leaders.
 
@@ -141,13 +151,8 @@ def leaders(active: DataFrame, triggers: DataFrame, industries: DataFrame, edges
     """
     live = active.filter(F.col("expires") >= date)
     new = triggers.join(live.select("ticker"), "ticker", "left_anti")
-    others = industries.select("sub", F.col("ticker").alias("other"))
-    first = others.withColumn("n", F.row_number().over(W.partitionBy("sub").orderBy("other"))).filter(F.col("n") <= siblings + 1)  # a leader among them is left out
-    near = new.select("ticker").join(industries.select("ticker", "sub"), "ticker").join(first, "sub").filter("ticker <> other")
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("ticker").orderBy("other"))).filter(F.col("n") <= siblings).select("ticker", "other")
-    linked = G.top_neighbors(edges, neighbors).select("ticker", F.col("neighbor").alias("other"))
-    followers = near.unionByName(linked.join(new.select("ticker"), "ticker", "left_semi")).groupBy("ticker").agg(F.array_sort(F.collect_set("other")).alias("followers"))
-    fresh = new.join(followers, "ticker", "left").select("ticker", date.alias("detected"), F.date_add(date, ttl).alias("expires"), "headline", F.coalesce("followers", F.array().cast(dict(live.dtypes)["followers"])).alias("followers"))
+    found = followers(new, industries, edges, siblings, neighbors)
+    fresh = new.join(found, "ticker", "left").select("ticker", date.alias("detected"), F.date_add(date, ttl).alias("expires"), "headline", F.coalesce("followers", F.array().cast(dict(live.dtypes)["followers"])).alias("followers"))
     return live.select("ticker", "detected", "expires", "headline", "followers").unionByName(fresh)
 
 

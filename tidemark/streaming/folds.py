@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import text as T
 from tidemark.operators import ledger as L
-from tidemark.sources import tables
+from tidemark.sources import deltas, tables
 
 
 def arrivals(events: DataFrame, key: str = "seq", ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -60,6 +60,7 @@ def fold(stream: DataFrame, path: str, schema: str, merge: Callable[[DataFrame,
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+LEDGER_KEYS = ("ticker", "date")
 LEDGER = "ticker long, date date, mentions long, close double, volume double, wiki double"
 
 
@@ -73,6 +74,24 @@ def fold_ledger(days: DataFrame, path: str, checkpoint: str, keep: int = 400) ->
     return fold(days, path, LEDGER, merge, checkpoint)
 
 
+def ledger_deltas(days: DataFrame, path: str, checkpoint: str, keep: int = 400, most: int = 8) -> StreamingQuery:
+    """As fold_ledger, into an incremental table: a batch writes its own rows, and buckets are compacted once they have over `most` deltas."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select("ticker", "date", *L.NUMBERS, "seq")
+        last = rows.groupBy("ticker", "date").agg(F.max_by(F.struct(*L.NUMBERS), "seq").alias("r")).select("ticker", "date", "r.*")
+        deltas.upsert(last, path, LEDGER_KEYS, "stream", number)
+        deltas.compact(batch.sparkSession, path, LEDGER, LEDGER_KEYS, most, lambda ledger: L.newest(ledger, keep))
+        deltas.vacuum(batch.sparkSession, path)
+
+    return days.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_ledger(spark: SparkSession, path: str, keep: int = 400) -> DataFrame:
+    """The ledger that ledger_deltas keeps."""
+    return L.newest(deltas.read(spark, path, LEDGER, LEDGER_KEYS), keep)
+
+
 def state_changes(states: DataFrame, key: str = "ticker", timeout: GroupStateTimeout = GroupStateTimeout.NoTimeout) -> DataFrame:
     """(key, was, now, seq) whenever the state of a key in (key, seq, state) differs from the one before it."""
 
