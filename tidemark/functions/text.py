@@ -22,15 +22,18 @@ def either(texts: Iterable[str]) -> str:
     return "|".join(re.escape(t).replace("\\ ", " ").replace("\\-", "-") for t in texts)
 
 
-def count_words(text: Column, words: Iterable[str]) -> Column:
-    return F.regexp_count(text, F.lit(words_pattern(words)))
+def sentiment(text: Column) -> Column:
+    """(P - N) / max(3, P + N + 1) of the good and bad words of the lower-cased text.
 
+    One pass over the text finds the telling words; only those are told apart and counted.
+    """
+    telling = F.regexp_extract_all(F.lower(text), F.lit(words_pattern((*V.POSITIVE, *V.NEGATIVE))), F.lit(0))
 
-def sentiment(text: Column) -> Column:
-    """(P - N) / max(3, P + N + 1) of the good and bad words of the lower-cased text."""
-    low = F.lower(text)
-    good, bad = count_words(low, V.POSITIVE), count_words(low, V.NEGATIVE)
-    return (good - bad) / F.greatest(F.lit(3), good + bad + 1)
+    def score(found: Column) -> Column:
+        good = F.size(F.filter(found, lambda w: w.isin(*V.POSITIVE)))
+        return (2 * good - F.size(found)) / F.greatest(F.lit(3), F.size(found) + 1)
+
+    return F.transform(F.array(telling), lambda found: F.when(found.isNotNull(), score(found)))[0]
 
 
 def has_market_context(text: Column) -> Column:
@@ -66,10 +69,17 @@ def is_gated(ticker: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<ticker, confidence>>: cashtag 3, `ticker: X` 2.6, (X) 2.4, bare capitals 1; a ticker once for each form."""
+    """array<struct<ticker, confidence>>: cashtag 3, `ticker: X` 2.6, (X) 2.4, bare capitals 1; a ticker once for each form.
+
+    A pattern runs only over texts that hold the fixed text in it.
+    """
 
     def rated(pattern: str, confidence: float) -> Column:
-        return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda t: F.struct(t.alias("ticker"), F.lit(confidence).alias("confidence")))
+        mark = next((m for m, start in (("$", r"\$"), ("(", r"\("), ("ticker", f"{_BEFORE}ticker")) if pattern.startswith(start)), "")
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        if mark:
+            found = F.when(F.contains(text, F.lit(mark)) | text.isNull(), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("ticker"), F.lit(confidence).alias("confidence")))
 
     forms = [rated(*form) for form in V.TICKER_FORMS]
     forms[-1] = F.filter(forms[-1], lambda x: ~x["ticker"].isin(*V.AMBIGUOUS_TICKERS, *V.COMMON_WORDS))

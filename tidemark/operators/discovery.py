@@ -29,12 +29,6 @@ def _cashtags(text: Column) -> Column:
     return F.flatten(F.transform(behind, lambda b: F.transform(F.sequence(F.lit(1), F.length(b)), lambda n: F.substring(b, F.lit(1), n))))
 
 
-def _phrases(words: Column, longest: int) -> Column:
-    """Runs of 1 to `longest` words between single spaces."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.concat(*(of(n) for n in range(1, longest + 1)))
-
-
 def names(registry: DataFrame) -> DataFrame:
     """(kind, gram, ticker): what a text must hold for a mention. Gated tickers need a cashtag or a telling alias."""
     low, gated = F.lower("ticker"), T.is_gated(F.col("ticker"))
@@ -48,21 +42,42 @@ def names(registry: DataFrame) -> DataFrame:
     )
 
 
+def alias_matches(worded: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, gram): the aliases (gram) that texts (key, n, words) hold between single spaces.
+
+    Each alias is sought through its anchor, that word of it which the fewest texts hold; only
+    texts with the anchor are looked at again. The distinct words of texts are shuffled, however long
+    aliases are, and a frequent word is an anchor only of aliases that hold no rarer one.
+    """
+    grams = aliases.select("gram").distinct().withColumn("parts", F.array_distinct(F.split("gram", " ")))
+    parts = grams.select("gram", F.size("parts").alias("size"), F.explode("parts").alias("word"))
+    held = worded.select("key", F.explode(F.array_distinct("words")).alias("word"))
+    counts = held.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    order = F.struct("n", (-F.length("word")).alias("short"), "word")
+    anchors = parts.join(counts, "word").groupBy("gram", "size").agg(F.count("*").alias("found"), F.min_by("word", order).alias("word")).filter("found = size")
+    near = held.join(anchors.select("word", "gram", (F.col("gram") == F.col("word")).alias("whole")), "word").select("key", "gram", "whole")
+    several = near.filter("NOT whole").groupBy("key").agg(F.collect_list("gram").alias("grams"))  # distinct aliases with an anchor in one text
+    inside = lambda g: F.contains(F.concat(F.lit(" "), F.col("n"), F.lit(" ")), F.concat(F.lit(" "), g, F.lit(" ")))
+    verified = worded.select("key", "n").join(several, "key").select("key", F.explode(F.filter("grams", inside)).alias("gram"))
+    return near.filter("whole").select("key", "gram").unionByName(verified)
+
+
 def matches(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(key, ticker): texts and the registered tickers that they mention.
 
-    A text is cut into the strings that a mention can be and joined by equality with the
-    registry's names: no text is compared with the whole registry.
+    A text is cut into its words and the short strings that a ticker can be, and joined by
+    equality with the registry's names: no text is compared with the whole registry.
     """
     wanted = names(registry)
-    longest = wanted.filter("kind = 'alias'").agg(F.coalesce(F.max(F.size(F.split("gram", " "))), F.lit(1))).first()[0]
     worded = texts.select("key", normalised(F.col("text")).alias("n")).withColumn("words", F.split("n", " "))
 
     def kind(name: str, grams: Column) -> DataFrame:
         return worded.select("key", F.lit(name).alias("kind"), F.explode(F.array_distinct(grams)).alias("gram"))
 
-    held = kind("cashtag", _cashtags(F.col("n"))).unionByName(kind("word", T.letter_runs(F.col("n")))).unionByName(kind("alias", _phrases(F.col("words"), longest)))
-    return held.join(wanted, ["kind", "gram"]).select("key", "ticker").distinct()
+    short = kind("cashtag", _cashtags(F.col("n"))).unionByName(kind("word", T.letter_runs(F.col("n")))).join(wanted.filter("kind <> 'alias'"), ["kind", "gram"])
+    aliases = wanted.filter("kind = 'alias'")
+    long = alias_matches(worded, aliases).join(aliases, "gram")
+    return short.select("key", "ticker").unionByName(long.select("key", "ticker")).distinct()
 
 
 def collect_mentions(texts: DataFrame, registry: DataFrame, forced: str | None = None) -> DataFrame:

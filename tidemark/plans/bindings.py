@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 SOURCES = ("click", "error", "purchase", "signup", "view")
 SOCIAL, CATALYST, MARKET = ("click", "view"), ("purchase", "signup"), ("error",)
 
@@ -105,4 +107,4 @@ def headline_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headlines as texts to match: (key, source, text, url, weight, published)."""
-    return headlines(spark, sf_dir).select(F.col("seq").alias("key"), "source", F.col("title").alias("text"), "url", "weight", "published")
+    return spread(headlines(spark, sf_dir)).select(F.col("seq").alias("key"), "source", F.col("title").alias("text"), "url", "weight", "published")

@@ -13,6 +13,7 @@ from tidemark.operators import screen as C
 from tidemark.operators import state as S
 from tidemark.plans import bindings as D
 from tidemark.plans.queries import RE, query, r6
+from tidemark.session import spread
 
 
 def quoted(words) -> str:
@@ -56,8 +57,8 @@ def f4_common_words(spark, sf_dir):
 
 @query("x2_ticker_candidates", "WITH " + D.HEAD_SQL + ", texts AS (SELECT doc_id AS key, text FROM documents UNION ALL SELECT -1 - seq, title || ' $AI ON USD' FROM head), " + candidates_sql("texts", "key", "text") + " SELECT * FROM cand")
 def x2_ticker_candidates(spark, sf_dir):
-    docs = D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    heads = D.headlines(spark, sf_dir).select((-1 - F.col("seq")).alias("key"), F.concat("title", F.lit(" $AI ON USD")).alias("text"))
+    docs = spread(D.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
+    heads = spread(D.headlines(spark, sf_dir)).select((-1 - F.col("seq")).alias("key"), F.concat("title", F.lit(" $AI ON USD")).alias("text"))
     return T.ticker_candidates(docs.unionByName(heads), key="key")
 
 

@@ -17,6 +17,7 @@ from tidemark.operators import rolling as R
 from tidemark.operators import state as S
 from tidemark.operators import themes as H
 from tidemark.plans import bindings as D
+from tidemark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -374,7 +375,7 @@ RE = lambda words: r"\b(?:" + "|".join(w.replace("'", "''") for w in words) + r"
 @query("sf1_sentiment", f"""WITH x AS (SELECT doc_id, len(regexp_extract_all(lower(text), '{RE(V.POSITIVE)}')) AS p, len(regexp_extract_all(lower(text), '{RE(V.NEGATIVE)}')) AS n FROM documents)
 SELECT doc_id, round((p - n) / greatest(3, p + n + 1)::DOUBLE, 6) AS sentiment FROM x""")
 def sf1_sentiment(spark, sf_dir):
-    return D.read(spark, sf_dir, "documents").select("doc_id", F.round(T.sentiment(F.col("text")), 6).alias("sentiment"))
+    return spread(D.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.round(T.sentiment(F.col("text")), 6).alias("sentiment"))
 
 
 @query("f2_market_context", f"SELECT doc_id, regexp_matches(text, '(?i){RE(V.MARKET)}') AS market FROM documents")

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -37,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly where its files give fewer partitions than there are cores: for work that costs more than a shuffle of its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
