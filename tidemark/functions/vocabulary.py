@@ -105,3 +105,24 @@ OTHER_KINDS = (
     "language", "dialect", "battle", "treaty", "university", "college", "polytechnic", "academy", "degree mill", "lawsuit", "antitrust", "court case",
     "legal case",
 )
+
+#: The texts on what moves a ticker, with their gaps.
+TREND_TEXT = {
+    "quiet": "Under-the-radar: volume running {volume}× normal{price} — crowd attention hasn't arrived yet, making this an early-mover signal.",
+    "quiet_price": " with price up {move}%",
+    "move": "{strong}{move}% price move",
+    "strong": "strong ",
+    "volume": "{volume}× normal volume",
+    "social": "{n} social {word}",
+    "mention": "mention",
+    "news": "{n} news {word}",
+    "hit": "hit",
+    "platforms": "{n} data platforms",
+    "by_social": "Retail",
+    "by_news": "News",
+    "by_price": "Price/volume",
+    "by_many": "Multi-source",
+    "joint": " · ",
+    "composite": "Composite signal: {score}/100 across {n} data {word} — no single dominant catalyst yet.",
+    "source": "source",
+}

@@ -13,6 +13,7 @@ from tidemark.functions import vocabulary as V
 
 from . import graph as G
 from . import state as S
+from .ledger import finite
 
 TITLES = {"release": "released", "new-coil-hot-theme": "coiling in a hot theme", "dead-coil": "coil demoted", "proof-quarter": "proof quarter"}
 TAGS = {"release": "rocket", "new-coil-hot-theme": "coil,fire", "dead-coil": "skull", "theme-stage-transition": "chart_with_upwards_trend", "proof-quarter": "loudspeaker", "weekly-digest": "calendar"}
@@ -113,6 +114,24 @@ def updated_log(log: DataFrame, grades: DataFrame, new: DataFrame, ledger: DataF
     return entries, graded.join(entries.select("id"), "id", "left_semi")
 
 
+def log_entries(springs: DataFrame, themes: DataFrame, ledger: DataFrame, date: Column) -> DataFrame:
+    """(id, type, ticker, theme, stage, date, base_price): a run's events that can be graded, with ids that a second run gives again.
+
+    springs: (type, ticker), of which releases and dead coils with a known last close count;
+    themes: (type, theme, stage), the transitions with a stage.
+    """
+    last = ledger.groupBy("ticker").agg(finite(F.max_by("close", "date")).alias("base_price")).filter("base_price IS NOT NULL")
+    own = springs.filter(F.col("type").isin("release", "dead-coil")).select("type", "ticker").join(last, "ticker")
+    theme, stage = F.col("theme").cast("string"), F.nullif(F.col("stage"), F.lit(""))
+    moved = themes.filter((F.col("type") == "theme-stage-transition") & stage.isNotNull())
+    none = lambda c, df: F.lit(None).cast(dict(df.dtypes)[c]).alias(c)
+    return own.select(
+        F.concat_ws("-", "type", F.col("ticker").cast("string"), date.cast("string")).alias("id"), "type", "ticker", none("theme", themes), none("stage", themes), date.alias("date"), "base_price"
+    ).unionByName(moved.select(
+        F.concat_ws("-", F.lit("theme-stage"), theme, stage, date.cast("string")).alias("id"), F.lit("theme-stage").alias("type"), none("ticker", springs), "theme", "stage", date.alias("date"), F.lit(None).cast("double").alias("base_price")
+    ))
+
+
 def pending(log: DataFrame, grades: DataFrame, horizons: int = len(S.HORIZONS)) -> DataFrame:
     """Entries of the log with a horizon not yet graded."""
     full = grades.groupBy("id").agg(F.countDistinct("horizon").alias("n")).filter(F.col("n") >= horizons)

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import vocabulary as V
 
+from .ledger import finite
+
+
+#: Market cap under which a company is very small; the penalty is higher under a quarter of it.
+MICRO_CAP = 100_000_000
+
 
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -76,7 +82,10 @@ def peer_score(board: DataFrame, sources: Sequence[str], of: int) -> DataFrame:
 
 
 def profile(board: DataFrame, social: Sequence[str], catalyst: Sequence[str], market: Sequence[str], filing: str | None = None, score: str = "signal_score") -> DataFrame:
-    """Adds setup_score, stage, evidence and the first three risks."""
+    """Adds setup_score, stage, evidence and the first three risks.
+
+    A column market_cap, where the board has one, adds the risk of very small companies.
+    """
     every = [*social, *catalyst, *market]
     s, c, m = total(social), total(catalyst), total(market)
     groups = (s > 0).cast("int") + (c > 0).cast("int") + (m > 0).cast("int")
@@ -88,10 +97,12 @@ def profile(board: DataFrame, social: Sequence[str], catalyst: Sequence[str], ma
     confirmed = 0.55 * clamp01((move + 0.5) / 6.5) + 0.45 * clamp01((volume - 1) / 2.5)
     filed = F.when(F.col(f"from_{filing}") > 0, 0.2).otherwise(0.0) if filing else F.lit(0.0)
     news = clamp01(active(catalyst) / 3 + filed)
+    cap = finite(F.col("market_cap").cast("double")) if "market_cap" in board.columns else F.lit(None).cast("double")
     flags = [
         (move >= 12, F.least(F.lit(25.0), (move - 12) * 1.1 + 5), "Extended move"),
         (volume >= 8, F.least(F.lit(8.0), (volume - 8) * 0.8 + 2), "Extreme volume"),
         (concentration >= 0.75, F.least(F.lit(8.0), (concentration - 0.75) * 28 + 2), "One-source heavy"),
+        ((cap > 0) & (cap < MICRO_CAP), F.when(cap < MICRO_CAP / 4, 8.0).otherwise(5.0), "Micro-cap volatility"),
         ((s > 0) & (c == 0), F.when(move >= 5, 6.0).otherwise(0.0), "No verified catalyst"),
         (groups <= 1, F.lit(10.0), "Thin evidence"),
         (move <= -3, F.lit(6.0), "Price not confirming"),
@@ -185,3 +196,34 @@ def board_rows(board: DataFrame, sources: Sequence[str], top: DataFrame, names:
     badge = F.when(F.col("title").rlike(T.words_pattern(V.CATALYST, True)), F.when(F.col("is_news"), "News").otherwise("Buzz"))
     mix = [F.round(F.col(f"from_{s}") / F.greatest(F.lit(1), F.col("mentions")), 6).alias(f"mix_{s}") for s in sources]
     return rows.select("place", "ticker", F.coalesce("name", F.col("ticker").cast("string")).alias("name"), "setup_score", momentum.alias("momentum"), *mix, badge.alias("badge"))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """x with a fixed number of places, halves up."""
+    return F.format_string(f"%.{places}f", F.floor(x * 10**places + 0.5) / F.lit(float(10**places)))
+
+
+def export_rows(board: DataFrame, sources: Sequence[str], limit: int = 50) -> DataFrame:
+    """(place, line): the shown board as CSV, the heading at place 0.
+
+    The board has a profile and a signal_score, and may have names. Texts are quoted, their quotes
+    doubled; unknown prices and momenta are empty.
+    """
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    ticker = F.col("ticker").cast("string")
+    name = F.coalesce(F.nullif(F.col("name"), F.lit("")), ticker) if "name" in board.columns else ticker
+    price = F.regexp_replace(F.col("last_price").cast("string"), r"\.0$", "")
+    cells = {
+        "rank": F.col("place"), "ticker": ticker, "name": quoted(name), "market_price": F.coalesce(price, F.lit("")), "setup_score": F.col("setup_score").cast("long"),
+        "attention_score": fixed(F.col("signal_score"), 1), "stage": quoted(F.col("stage")), "evidence": quoted(F.col("evidence")), "risk_flags": quoted(F.replace("risks", F.lit(", "), F.lit(" | "))),
+        "mentions": F.col("mentions"), "momentum_percent": F.coalesce(fixed(F.col("momentum"), 2), F.lit("")), "sentiment": fixed(F.col("sentiment"), 3),
+        "price_move_percent": fixed(F.col("price_move"), 2), "relative_volume": fixed(F.col("relative_volume"), 2), **{s: F.col(f"from_{s}") for s in sources},
+    }
+    lines = shown(board, "score", limit).select("place", F.concat_ws(",", *(c.cast("string") for c in cells.values())).alias("line"))
+    heading = board.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(",".join(cells)).alias("line"))
+    return heading.unionByName(lines)
+
+
+def save_csv(rows: DataFrame, path: str) -> None:
+    """Write (place, line) in their order as one text file; a board shows few rows."""
+    rows.coalesce(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)

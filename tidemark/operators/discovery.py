@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+from . import screen as C
+from .ledger import finite
 from .state import ordered_union
 
 
@@ -143,6 +145,21 @@ def enrich_names(registry: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.select("ticker", F.when(F.col("name") == F.col("ticker"), F.coalesce(title, "name")).otherwise(F.col("name")).alias("name"), F.array_sort(F.array_union("aliases", brands)).alias("aliases"))
 
 
+def enrich_caps(signals: DataFrame, titles: DataFrame, shares: DataFrame) -> DataFrame:
+    """signals (ticker, name, last_price, ...) with names filled in, market_cap and cap_tier.
+
+    titles: (ticker, cik, title) with tickers in capitals; shares: (cik, shares). A name is filled
+    in where there is none but the symbol; the cap is shares times a known price, else null.
+    """
+    known = titles.select(F.col("ticker").alias("__symbol"), "cik", F.nullif(F.col("title"), F.lit("")).alias("title"))
+    rows = signals.join(known, F.upper(F.col("ticker").cast("string")) == F.col("__symbol"), "left").join(shares.select("cik", F.col("shares").cast("double").alias("shares")), "cik", "left")
+    bare = F.col("name").isNull() | F.col("name").isin("") | (F.col("name") == F.col("ticker").cast("string"))
+    price, count = finite(F.col("last_price").cast("double")), finite(F.col("shares"))
+    cap = F.when((price > 0) & (count > 0), count * price)
+    name = F.when(bare, F.coalesce(T.company_title(F.col("title")), "name")).otherwise(F.col("name"))
+    return rows.withColumns({"name": name, "cap_tier": C.cap_tier(cap), "market_cap": rounded(cap)}).drop("cik", "title", "shares", "__symbol")
+
+
 def ranked_entries(registry: DataFrame, events: DataFrame, discovered: DataFrame, limit: int) -> DataFrame:
     """(ticker, score): registered tickers by mentions in events and as discoveries (ticker, mentions), the most mentioned first."""
     score = F.coalesce("mentions", F.lit(0)) + F.coalesce("found", F.lit(0))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .board import capped_volume, peer_score, total
+from tidemark.functions import vocabulary as V
+
+from .board import capped_volume, fixed, peer_score, total
 from .ledger import finite
 
 
@@ -129,13 +132,25 @@ def relative_time(at: Column, now: Column) -> Column:
     return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).otherwise(F.concat(days.cast("string"), F.lit("d ago")))
 
 
-def trend_text(volume: Column, move: Column, social: Column, news: Column) -> Column:
-    """A short sentence on what moves together."""
+def trend_text(volume: Column, move: Column, social: Column, news: Column, active: Column, score: Column, sector: Column | None = None, busy: float = 1.3, up: float = 3.0, strong: float = 10.0, talk: int = 3, hits: int = 4, platforms: int = 4) -> Column:
+    """What moves a ticker, in a sentence: a quiet mover first, else its lead and magnitudes, else its composite signal.
+
+    social and news are mentions, active the number of sources with any.
+    """
+    said, one = V.TREND_TEXT, lambda x: fixed(x, 1)
+    loud, up_now = F.coalesce(volume >= busy, F.lit(False)), F.coalesce(move >= up, F.lit(False))
+    crowd, covered = social >= talk, news >= hits
+    plural = lambda n, word: F.when(n == 1, word).otherwise(word + "s")
+    part = lambda key, **values: F.concat(*(values[x] if x in values else F.lit(x) for x in re.split(r"\{(\w+)\}", said[key])))
+    quiet = part("quiet", volume=one(volume), price=F.when(up_now, part("quiet_price", move=one(move))).otherwise(""))
     parts = F.array_compact(F.array(
-        F.when(volume >= 1.3, "volume is raised"), F.when(move >= 3, "price is up").when(move <= -3, "price is down"),
-        F.when(social >= 4, "talk is busy"), F.when(news >= 3, "news is broad"),
+        F.when(up_now, part("move", strong=F.when(move >= strong, said["strong"]).otherwise(""), move=one(move))), F.when(loud, part("volume", volume=one(volume))),
+        F.when(crowd, part("social", n=grouped_digits(social), word=plural(social, said["mention"]))), F.when(covered, part("news", n=grouped_digits(news), word=plural(news, said["hit"]))),
+        F.when(active >= platforms, part("platforms", n=active.cast("string"))), F.lit(None).cast("string") if sector is None else F.nullif(sector, F.lit("")),
     ))
-    return F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("nothing stands out")
+    lead = F.when((social >= news) & crowd, said["by_social"]).when(covered, said["by_news"]).when(up_now | loud, said["by_price"]).otherwise(said["by_many"])
+    composite = part("composite", score=fixed(score, 0), n=active.cast("string"), word=plural(active, said["source"]))
+    return F.when(loud & ~crowd & ~covered, quiet).when(F.size(parts) == 0, composite).otherwise(F.concat(lead, F.lit(": "), F.array_join(parts, said["joint"]), F.lit(".")))
 
 
 def range_signals(daily: DataFrame, before: DataFrame, sources: Sequence[str], of: int, limit: int = 75) -> DataFrame:

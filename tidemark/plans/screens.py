@@ -11,7 +11,7 @@ from tidemark.operators import rolling as R
 from tidemark.operators import screen as C
 from tidemark.operators import state as S
 from tidemark.plans import bindings as D
-from tidemark.plans.queries import ACTIVE, BOARD, CLAMP, HOT, LEDGER, MID, RE, RELEASES, SETUP, TOTAL, profiled, query, r6, releases, signal_board
+from tidemark.plans.queries import ACTIVE, BOARD, CLAMP, HOT, LEDGER, MID, RE, SETUP, TOTAL, profiled, query, r6, signal_board
 
 CHOSEN = ("click", "purchase")
 NOW = "2024-02-01"
@@ -132,19 +132,6 @@ def sf16_relative_time(spark, sf_dir):
     return D.read(spark, sf_dir, "events").select("event_id", C.relative_time(F.col("ts"), F.lit(NOW).cast("timestamp_ntz")).alias("age"))
 
 
-@query("sm6_trend_text", BOARD + f""", p AS (SELECT ticker, list_filter([CASE WHEN relative_volume >= 1.3 THEN 'volume is raised' END, CASE WHEN price_move >= 3 THEN 'price is up' WHEN price_move <= -3 THEN 'price is down' END,
- CASE WHEN {TOTAL(D.SOCIAL)} >= 4 THEN 'talk is busy' END, CASE WHEN {TOTAL(D.CATALYST)} >= 3 THEN 'news is broad' END], lambda x: x IS NOT NULL) AS parts FROM board)
-SELECT ticker, CASE WHEN len(parts) > 0 THEN array_to_string(parts, ', ') ELSE 'nothing stands out' END AS said FROM p""")
-def sm6_trend_text(spark, sf_dir):
-    said = C.trend_text(F.col("relative_volume"), F.col("price_move"), B.total(D.SOCIAL), B.total(D.CATALYST))
-    return signal_board(spark, sf_dir).select("ticker", said.alias("said"))
-
-
-@query("st11_log_entries", RELEASES + " SELECT id, ticker, type, round(base_price, 6) AS base_price FROM ev WHERE base_price IS NOT NULL")
-def st11_log_entries(spark, sf_dir):
-    return releases(spark, sf_dir)[0].filter("base_price IS NOT NULL").select("id", "ticker", "type", *r6("base_price"))
-
-
 SPRINGS = LEDGER + f""", m AS (SELECT ticker, date, CASE WHEN volume >= 60 THEN 'released' WHEN volume >= 20 THEN 'coiled' ELSE 'dead' END AS state FROM ledger),
 a AS (SELECT ticker, arg_max(state, date) AS was FROM m WHERE date <= {MID} GROUP BY 1), b AS (SELECT ticker, arg_max(state, date) AS now FROM m GROUP BY 1)"""
 

@@ -28,6 +28,17 @@ def number(x: Column) -> Column:
     return finite(x.try_cast("double"))
 
 
+def ticker_titles(responses: DataFrame) -> DataFrame:
+    """(ticker, cik, title) of the official company list, a JSON object of records; cik with ten digits.
+
+    Of several records of a ticker the largest cik holds.
+    """
+    record = "struct<cik_str: bigint, ticker: string, title: string>"
+    each = responses.select(F.explode(F.map_values(F.from_json("value", f"map<string, {record}>"))).alias("r")).filter("r.cik_str IS NOT NULL AND r.ticker <> ''")
+    rows = each.select(F.upper("r.ticker").alias("ticker"), F.lpad(F.col("r.cik_str").cast("string"), 10, "0").alias("cik"), F.coalesce("r.title", F.lit("")).alias("title"))
+    return rows.groupBy("ticker").agg(F.max(F.struct("cik", "title")).alias("r")).select("ticker", "r.*")
+
+
 # --- delimited files ------------------------------------------------------------------
 
 
