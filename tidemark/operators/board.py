@@ -199,8 +199,8 @@ def board_rows(board: DataFrame, sources: Sequence[str], top: DataFrame, names:
 
 
 def fixed(x: Column, places: int) -> Column:
-    """x with a fixed number of places, halves up."""
-    return F.format_string(f"%.{places}f", F.floor(x * 10**places + 0.5) / F.lit(float(10**places)))
+    """x with a fixed number of places, halves up; null where x is."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", F.floor(x * 10**places + 0.5) / F.lit(float(10**places))))
 
 
 def export_rows(board: DataFrame, sources: Sequence[str], limit: int = 50) -> DataFrame:

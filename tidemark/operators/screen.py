@@ -115,8 +115,8 @@ def replace_days(history: DataFrame, batch: DataFrame, key: str = "date", keep:
 
 
 def signed(x: Column) -> Column:
-    """One decimal with its sign, halves up."""
-    return F.format_string("%+.1f", F.floor(x * 10 + 0.5) / F.lit(10.0))
+    """One decimal with its sign, halves up; null where x is."""
+    return F.when(x.isNotNull(), F.format_string("%+.1f", F.floor(x * 10 + 0.5) / F.lit(10.0)))
 
 
 def quarter_range(date: Column) -> tuple[Column, Column]:

@@ -60,14 +60,25 @@ def acceleration(history: DataFrame, week: str, ratio: float = 2.0, weeks: int =
 def nearest_close(probes: DataFrame, ledger: DataFrame, tolerance: int = 5) -> DataFrame:
     """probes with near_date and near_close: the known close nearest in time, ties to the earlier day; null beyond tolerance.
 
-    Each probe goes to its 2 * tolerance + 1 days and joins by equality of ticker and day: the
-    work a probe makes is fixed, however long its ticker's history is. probes: (id, ticker, date).
+    Time is cut into blocks of 2 * tolerance + 1 days. The distinct days asked for go into their block,
+    closes into the one or two that they can be near to; in a block both are sorted together
+    and the last and the next close carried along. So what is shuffled doesn't depend on the
+    tolerance, and neither many probes of a ticker nor a long history make one large task.
+    probes: (id, ticker, date).
     """
-    days = F.explode(F.sequence(F.date_sub("date", tolerance), F.date_add("date", tolerance))).alias("day")
-    closes = ledger.filter(F.col("close").isNotNull()).select("ticker", F.col("date").alias("day"), "close")
-    order = F.struct(F.abs(F.datediff("day", "date")), F.col("day"))
-    hits = probes.select("id", "ticker", "date", days).join(closes, ["ticker", "day"]).groupBy("id").agg(F.min_by("day", order).alias("near_date"), F.min_by("close", order).alias("near_close"))
-    return probes.join(hits, "id", "left")
+    size = 2 * tolerance + 1
+    block = lambda day: F.floor(day / size)
+    day = F.unix_date("date")
+    asked = probes.select("ticker", "date").distinct().select("ticker", block(day).alias("block"), day.alias("day"), F.lit(None).cast("double").alias("close"), F.lit(True).alias("asked"))
+    known = ledger.filter(F.col("close").isNotNull()).select("ticker", F.explode(F.array_distinct(F.array(block(day - tolerance), block(day + tolerance)))).alias("block"), day.alias("day"), F.col("close").cast("double").alias("close"), F.lit(False).alias("asked"))
+    here = F.when(~F.col("asked"), F.struct("day", "close"))
+    carried = lambda *order: F.last(here, ignorenulls=True).over(W.partitionBy("ticker", "block").orderBy(*order, "asked").rowsBetween(W.unboundedPreceding, 0))
+    both = known.unionByName(asked).withColumns({"before": carried(F.col("day")), "after": carried(F.col("day").desc())}).filter("asked")
+    far = lambda c: F.abs(F.col(c)["day"] - F.col("day"))
+    near = F.when(far("after") < F.coalesce(far("before"), F.lit(tolerance + 1)), F.col("after")).otherwise(F.col("before"))
+    hits = both.withColumn("near", near).filter(F.abs(F.col("near")["day"] - F.col("day")) <= tolerance)
+    hits = hits.select("ticker", F.date_from_unix_date("day").alias("date"), F.date_from_unix_date("near.day").alias("near_date"), F.col("near.close").alias("near_close"))
+    return probes.join(hits, ["ticker", "date"], "left").select(*probes.columns, "near_date", "near_close")
 
 
 def grade(events: DataFrame, ledger: DataFrame, today: Column, horizons: Sequence[int] = HORIZONS) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.plans import bindings as D
 from tidemark.plans.alerts import ALERTS, LEADERS, NEWS19, day, edges, proof_quarters, run_alerts
 from tidemark.plans.queries import ORACLES, query
 from tidemark.session import shared_dir
-from tidemark.sources import deltas
+from tidemark.sources import deltas, landed
 from tidemark.streaming import folds, leases, outbox
 
 
@@ -64,3 +64,16 @@ def snk3_outbox(spark, sf_dir):
     events = spark.read.parquet(f"{at}/events").drop("batch")
     acks = spark.read.schema(outbox.ACKS).parquet(f"{at}/acks").groupBy("id").agg(F.count("*").alias("acks"))
     return events.join(acks, "id", "left").select("type", "priority", "subject", "acks")
+
+
+@query("src3_landed_records", "SELECT page_id, CASE WHEN page_id % 7 > 0 THEN url END AS url, page_id % 7 = 0 AS corrupt FROM pages")
+def src3_landed_records(spark, sf_dir):
+    """All pages landed as lines of JSON, every seventh one cut off, and read by the registered source."""
+    at = folder(spark, "landed")
+    whole = F.to_json(F.struct("page_id", "url"))
+    cut = F.concat(F.col("page_id").cast("string"), F.lit(" "), F.substring(whole, 1, 9))
+    D.read(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 7 > 0, whole).otherwise(cut).alias("value")).write.text(at)
+    rows = landed.read(spark, at, "jsonl")
+    r = F.from_json("value", "page_id bigint, url string")
+    broken = F.regexp_extract("corrupt", r"\): (\d+) ", 1)
+    return rows.select(F.coalesce(r["page_id"], broken.try_cast("long")).alias("page_id"), r["url"].alias("url"), F.col("corrupt").isNotNull().alias("corrupt"))

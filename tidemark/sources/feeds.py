@@ -1,7 +1,7 @@
 """Landed feeds as DataFrames: files that a fetcher has put down, parsed by Spark.
 
-`read_*` functions read files; the others take rows with the raw text in `value` and what
-tells one response from another in further columns, so they also serve as steps of a stream.
+`landed.read` and `landed.read_stream` read files; the functions here take rows with the raw text in
+`value` and what tells one response from another in further columns, so they also serve as steps of a stream.
 Items are (title, url, weight, published); values that can't be read give null, not an error.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,11 +19,6 @@ from tidemark.operators.discovery import rounded
 from tidemark.operators.ledger import finite
 
 
-def read_responses(spark: SparkSession, path: str, *, whole: bool = True) -> DataFrame:
-    """(path, value): one row a file, or one a line."""
-    return spark.read.option("wholetext", whole).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-
-
 def number(x: Column) -> Column:
     return finite(x.try_cast("double"))
 
