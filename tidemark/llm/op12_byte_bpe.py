@@ -6,8 +6,8 @@ gives the lowest rank. Entries whose pair has changed meanwhile are stale and sk
 costs a constant number of steps, so pre-tokens of millions of bytes take time in proportion.
 Within a rank the leftmost pair goes first. A pre-token that is itself in the vocabulary is one id.
 
-Texts are cut into pre-tokens by the pattern; frequent ones are kept, encoded, for each
-partition. There is no shuffle, so a hot source or a group of copies has no effect.
+Texts are cut into pre-tokens by the pattern; frequent ones are kept, encoded, by each worker
+process. There is no shuffle, so a hot source or a group of copies has no effect.
 
 Defined results: null and empty texts have no ids and decode to the empty text; bytes that are
 no UTF-8 are read as U+FFFD; repeated rows are encoded each; special tokens in a text are ordinary text;
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, raw_texts, release_memory, table, text_parts
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Characters of a text that are cut at a time, encoded pre-tokens that a task keeps, and the longest kept.
-SLICE, KEPT, KEPT_CHARS = 1 << 20, 1 << 19, 64
+#: Characters of a text that are cut at a time, encoded pre-tokens of a generation, and the longest kept.
+SLICE, KEPT, KEPT_CHARS = 1 << 20, 1 << 18, 64
 #: Bytes of a pre-token up to which its parts are in lists, which are faster than arrays and larger.
 SHORT = 1 << 12
+#: The rank of a pair that is not in the vocabulary.
+_NONE = 1 << 60
 #: A match never goes on from another character to white space, so texts can be cut between them.
 _BOUNDARY = regex.compile(r"(?<=\S)\s")
 
@@ -104,14 +106,26 @@ class RankQueue:
 
 
 class Encoder(dict):
-    """Little-endian ids by pre-token; those of up to KEPT_CHARS are kept once encoded."""
+    """Little-endian ids by pre-token; those of up to KEPT_CHARS are kept once encoded.
+
+    They are kept in two generations: a full one becomes the old one, whose words come back when they
+    are seen again, so frequent words stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
         self.queue = RankQueue(max(ranks.values()))
 
+    def age(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
     def __missing__(self, word: str) -> bytes:
+        if word in self.old:
+            self[word] = self.old[word]
+            return self[word]
         raw = word.encode()
         whole = self.ranks.get(raw)
         parts = (whole,) if whole is not None else self.merged(raw)
@@ -121,36 +135,49 @@ class Encoder(dict):
         return ids
 
     def merged(self, word: bytes) -> list[int] | array:
-        """Ids of the parts that are left when no two neighbours are in the vocabulary together."""
+        """Ids of the parts that are left when no two neighbours are in the vocabulary together.
+
+        A pair waits in the queue only while neither of the pairs that it overlaps goes first, so the first
+        pair of all is always there and the others are few.
+        """
         get, push, pop, n = self.ranks.get, self.queue.push, self.queue.pop, len(word)
         numbers = list if n <= SHORT else lambda values: array("q", values)
         # A part starts at i and ends before after[i]; pair[i] is the rank of it and the next part together.
-        after, before, pair = numbers(range(1, n + 1)), numbers(range(-1, n - 1)), numbers([-1]) * n
+        # Two more places stand for what is before the first part and after the last.
+        after, before, pair = numbers(range(1, n + 3)), numbers(range(-1, n + 1)), numbers([_NONE]) * (n + 2)
+        for i in range(n - 1):
+            pair[i] = get(word[i : i + 2], _NONE)
+        before[0] = n + 1
+        last = _NONE
         for i in range(n - 1):
-            rank = get(word[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
+            rank = pair[i]
+            if rank < last and rank <= pair[i + 1] and rank != _NONE:
                 push(rank, i)
+            last = rank
         rank, i = pop()
         while rank >= 0:
             if pair[i] == rank:
-                gone = after[i]
+                gone, left = after[i], before[i]
                 end = after[i] = after[gone]
-                pair[gone] = pair[i] = -1
+                was_left, was_gone = pair[left], pair[gone]
+                pair[gone] = _NONE
+                right = pair[i] = get(word[i : after[end]], _NONE) if end < n else _NONE
+                far = pair[end]  # of the parts behind the merged one
                 if end < n:
                     before[end] = i
-                    rank = get(word[i : after[end]])
-                    if rank is not None:
-                        pair[i] = rank
-                        push(rank, i)
+                    if was_gone <= far < right and far <= pair[after[end]]:
+                        push(far, end)
+                new_left = _NONE
                 if i:
-                    left = before[i]
-                    rank = get(word[left:end])
-                    if rank is None:
-                        pair[left] = -1
-                    else:
-                        pair[left] = rank
-                        push(rank, left)
+                    new_left = pair[left] = get(word[left:end], _NONE)
+                    beyond = before[left]
+                    first = pair[beyond]
+                    if was_left < first <= new_left and first != _NONE and first < pair[before[beyond]]:
+                        push(first, beyond)
+                    if new_left < first and new_left <= right and new_left != _NONE:
+                        push(new_left, left)
+                if right < new_left and right <= far and right != _NONE:
+                    push(right, i)
             rank, i = pop()
         out, i = numbers(()), 0
         while i < n:
@@ -160,6 +187,16 @@ class Encoder(dict):
         return out
 
 
+_ENCODERS: list[Encoder] = []
+
+
+def kept_encoder(ranks: dict[bytes, int]) -> Encoder:
+    """This process's encoder of a vocabulary, with the words that earlier tasks have met."""
+    if not _ENCODERS or _ENCODERS[0].ranks != ranks:
+        _ENCODERS[:] = [Encoder(ranks)]
+    return _ENCODERS[0]
+
+
 def slices(text: str, limit: int) -> Iterator[str]:
     """The text in parts of about `limit` characters that match as they do in the whole."""
     start = 0
@@ -175,15 +212,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, encoder = regex.compile(pattern), Encoder(ranks.value)
+        cut, encoder = regex.compile(pattern), kept_encoder(ranks.value)
         look_up = encoder.__getitem__
         for batch in batches:
             for part in text_parts(batch):
                 ids = []
                 for raw in raw_texts(part):
                     ids.append(b"".join(b"".join(map(look_up, cut.findall(s))) for s in slices(raw.decode(errors="replace"), SLICE)))
-                    if len(encoder) > KEPT:
-                        encoder.clear()
+                    encoder.age()
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
     kind = dict(docs.dtypes)[id_col]
