@@ -260,19 +260,25 @@ def st14_confirmed(spark, sf_dir):
     return P.confirmed(short, points, quarters, cache, day("2024-02-01")).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("st15_refreshed", "SELECT s_suppkey AS ticker, s_nationkey + 100 AS sub, DATE '2024-03-01' AS refreshed FROM supplier")
+@query("st15_refreshed", """SELECT 'old' AS case, s_suppkey AS ticker, s_nationkey + 100 AS sub, DATE '2024-03-01' AS refreshed FROM supplier UNION ALL SELECT 'young', s_suppkey, s_nationkey, DATE '2024-02-15' FROM supplier
+UNION ALL SELECT 'old, nothing fetched', s_suppkey, s_nationkey, DATE '2024-01-15' FROM supplier""")
 def st15_refreshed(spark, sf_dir):
-    """A cache of over 30 days is fetched anew."""
+    """A cache of over 30 days is fetched anew, a younger one stays, as does an old one when nothing comes."""
     s = D.read(spark, sf_dir, "supplier")
-    cached = s.select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("sub"), day("2024-01-15").alias("refreshed"))
-    return tables.refreshed(cached, s.select(F.col("s_suppkey").alias("ticker"), (F.col("s_nationkey") + 100).alias("sub")), day("2024-03-01"))
+    cached = lambda at: s.select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("sub"), day(at).alias("refreshed"))
+    fetched = s.select(F.col("s_suppkey").alias("ticker"), (F.col("s_nationkey") + 100).alias("sub"))
+    cases = {"old": ("2024-01-15", fetched), "young": ("2024-02-15", fetched), "old, nothing fetched": ("2024-01-15", fetched.filter("sub < 100"))}
+    parts = [tables.refreshed(cached(at), new, day("2024-03-01")).withColumn("case", F.lit(name)) for name, (at, new) in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("st16_kept_previous", "SELECT s_suppkey AS ticker, s_acctbal AS balance FROM supplier")
+@query("st16_kept_previous", "SELECT 'some' AS case, c_custkey AS ticker, c_acctbal AS balance FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'none', s_suppkey, s_acctbal FROM supplier")
 def st16_kept_previous(spark, sf_dir):
-    """Nothing fresh has come, so the previous snapshot stays."""
-    rows = D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_acctbal").alias("balance"))
-    return tables.keep_previous(rows.filter("ticker < 0"), rows)
+    """Fresh rows where some have come; where none has, the previous snapshot stays."""
+    previous = D.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_acctbal").alias("balance"))
+    fetched = D.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_acctbal").alias("balance"))
+    some, none = fetched.filter("balance > 0"), fetched.filter("balance > 1e9")
+    return tables.keep_previous(some, previous).withColumn("case", F.lit("some")).unionByName(tables.keep_previous(none, previous).withColumn("case", F.lit("none")))
 
 
 SAVED = "ticker bigint, date date, mentions bigint, volume double"
@@ -289,6 +295,10 @@ def snk1_saved_ledger(spark, sf_dir):
     return tables.load(spark, path, SAVED)
 
 
-@query("src20_absent_table", "SELECT s_suppkey AS ticker FROM supplier WHERE false")
-def src20_absent_table(spark, sf_dir):
-    return tables.load(spark, f"{shared_dir(spark)}/none-{uuid.uuid4().hex}", "ticker bigint")
+@query("src20_loaded", LEDGER + " SELECT 'absent' AS case, NULL::BIGINT AS ticker, 0::BIGINT AS n UNION ALL SELECT 'saved', ticker, count(*) FROM ledger GROUP BY 2")
+def src20_loaded(spark, sf_dir):
+    """A table is empty until it has been saved."""
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    absent = tables.load(spark, path, SAVED).agg(F.lit("absent").alias("case"), F.max("ticker").alias("ticker"), F.count("*").alias("n"))
+    tables.save(D.ledger(spark, sf_dir).select("ticker", "date", "mentions", F.col("volume").cast("double").alias("volume")), path)
+    return absent.unionByName(tables.load(spark, path, SAVED).groupBy("ticker").agg(F.count("*").alias("n")).withColumn("case", F.lit("saved")))

@@ -82,11 +82,12 @@ def p1_closes(spark, sf_dir):
     return C.closes(D.ledger(spark, sf_dir)).select("ticker", F.size("closes").cast("long").alias("n"), F.round(five, 6).alias("first_five"))
 
 
-@query("p2_snapshots", "SELECT user_id AS ticker, count(*) AS n FROM events GROUP BY 1")
+@query("p2_snapshots", "SELECT 'history' AS case, o_custkey AS ticker, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'none', user_id, count(*) FROM events GROUP BY 2")
 def p2_snapshots(spark, sf_dir):
-    """No history, so the current snapshot."""
-    current = D.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("ticker")).agg(F.count("*").alias("n"))
-    return C.snapshots(current.filter("n < 0"), current)
+    """The history where there is one, else the current snapshot."""
+    counted = lambda table, key: D.read(spark, sf_dir, table).groupBy(F.col(key).alias("ticker")).agg(F.count("*").alias("n"))
+    history, current = counted("orders", "o_custkey"), counted("events", "user_id")
+    return C.snapshots(history, current).withColumn("case", F.lit("history")).unionByName(C.snapshots(history.filter("n > 1000000000"), current).withColumn("case", F.lit("none")))
 
 
 DAILY = "WITH " + D.EVENTS_SQL + f""", daily AS (SELECT CAST(ts AS DATE) AS generated, ticker, sum(mentions)::BIGINT AS mentions, sum(sentiment * mentions) / sum(mentions) AS sentiment, sum(price_move * mentions) / sum(mentions) AS price_move,
