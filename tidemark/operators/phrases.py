@@ -5,28 +5,74 @@ History is (week, phrase, n). Extracted phrases are (phrase, n, domains, tickers
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vocabulary as V
+from tidemark.session import shared_dir
 
 from . import screen as C
 from . import state as S
 
+#: Buckets of a summary: 65536 numbers, half a megabyte a task.
+BUCKETS = 1 << 16
+
 
 def extracted(items: DataFrame, sources: Sequence[str] | None = V.NEWS_SOURCES) -> DataFrame:
     """(phrase, n, domains, tickers) of items (source, ticker, title, url): headlines with a phrase, their hosts (else sources), their tickers."""
+    return counted(grams(items, sources))
+
+
+def grams(items: DataFrame, sources: Sequence[str] | None = V.NEWS_SOURCES) -> DataFrame:
+    """(ticker, domain, phrase): a row for each phrase of a headline."""
     told = items.filter(F.coalesce(F.col("title"), F.lit("")) != "")
     if sources is not None:
         told = told.filter(F.col("source").isin(*sources))
     worded = told.select("ticker", T.host_of(F.col("url"), F.coalesce("source", F.lit("unknown"))).alias("domain"), T.tokens(F.col("title")).alias("words"))
-    grams = worded.select("ticker", "domain", F.explode(T.ngrams(F.col("words"))).alias("phrase"))
+    return worded.select("ticker", "domain", F.explode(T.ngrams(F.col("words"))).alias("phrase"))
+
+
+def counted(grams: DataFrame) -> DataFrame:
     return grams.groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("domain").alias("domains"), F.countDistinct("ticker").alias("tickers"))
 
 
+def bucket_totals(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, total) of (phrase, n): a summary of at most `buckets` rows. No phrase has more than its bucket's total; totals of parts add up."""
+    return rows.groupBy(_bucket(buckets).alias("bucket")).agg(F.sum("n").alias("total"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("phrase"), F.lit(buckets)).cast("int")
+
+
+def most_frequent(items: DataFrame, k: int, sources: Sequence[str] | None = V.NEWS_SOURCES, fit: Callable[[DataFrame], DataFrame] | None = None, earlier: DataFrame | None = None, buckets: int = BUCKETS, step: int = 4) -> DataFrame:
+    """The first k rows of `extracted`, of those that `fit` keeps, by falling n and phrase.
+
+    Phrases are first counted by bucket, so a task hands on `buckets` numbers at most, whatever its headlines say.
+    Only phrases of buckets that reach a bound are then counted by themselves; once k rows reach it none of the
+    others can come before them. The bound starts at half the k-th largest total and falls by `step`
+    until then, or to 1, where all phrases are counted. `fit` may add to n what `earlier`
+    (phrase, n) holds, and no more.
+    """
+    shared_dir(items.sparkSession)  # checkpoints need a folder
+    every = grams(items, sources)
+    weights = every.select("phrase", F.lit(1).cast("long").alias("n"))
+    totals = bucket_totals(weights if earlier is None else weights.unionByName(earlier.select("phrase", "n")), buckets).checkpoint()
+    largest = totals.orderBy(F.desc("total")).limit(k).agg(F.min("total")).first()[0]
+    bound = max((largest or 0) // 2, 1)
+    while True:
+        heavy = totals.filter(F.col("total") >= bound).select("bucket")
+        rows = counted(every.withColumn("bucket", _bucket(buckets)).join(F.broadcast(heavy), "bucket", "left_semi"))  # `buckets` numbers at most
+        rows = rows if fit is None else fit(rows)
+        found = rows.filter(F.col("n") >= bound).orderBy(F.desc("n"), "phrase").limit(k).checkpoint()  # k rows
+        if bound == 1 or found.count() == k:
+            return found
+        bound = max(bound // step, 1)
+
+
 def merged(history: DataFrame, found: DataFrame, week: str, keep: int, *key: str) -> DataFrame:
     """History with counts (key, n) added to a week's, the newest `keep` weeks of it."""
     whole = history.select("week", *key, "n").unionByName(found.select(F.lit(week).alias("week"), *key, "n"))
@@ -36,10 +82,22 @@ def merged(history: DataFrame, found: DataFrame, week: str, keep: int, *key: str
 
 def shortlist(history: DataFrame, found: DataFrame, week: str, limit: int = 40, min_domains: int = 2, keep: int = 56) -> DataFrame:
     """(phrase, n, domains, tickers): novel and accelerating phrases of the week, of several hosts, the most frequent first."""
+    rows = accelerating(history, found, week, min_domains, keep)
+    return rows.orderBy(F.desc("n"), "phrase").limit(limit)
+
+
+def accelerating(history: DataFrame, found: DataFrame, week: str, min_domains: int = 2, keep: int = 56) -> DataFrame:
+    """(phrase, n, domains, tickers): all that a shortlist chooses from."""
     whole = merged(history, found, week, keep, "phrase")
     fit = S.acceleration(whole, week).filter("novel AND accelerating").select("phrase", F.col("n"))
     rows = found.filter(F.col("domains") >= min_domains).drop("n").join(fit, "phrase")
-    return rows.orderBy(F.desc("n"), "phrase").limit(limit).select("phrase", "n", "domains", "tickers")
+    return rows.select("phrase", "n", "domains", "tickers")
+
+
+def frequent_shortlist(history: DataFrame, items: DataFrame, week: str, limit: int = 40, min_domains: int = 2, keep: int = 56, sources: Sequence[str] | None = V.NEWS_SOURCES, buckets: int = BUCKETS) -> DataFrame:
+    """shortlist of the week's items, without counting every phrase of them: see most_frequent."""
+    now = history.filter(F.col("week") == week).groupBy("phrase").agg(F.sum("n").alias("n"))
+    return most_frequent(items, limit, sources, lambda found: accelerating(history, found, week, min_domains, keep), now, buckets)
 
 
 def confirmed(candidates: DataFrame, timelines: DataFrame, quarters: DataFrame, cache: DataFrame, today: Column, daily: int = 5, weekly: int = 8, max_age: int = 30) -> DataFrame:

@@ -37,6 +37,40 @@ def range_totals(events: DataFrame, start: Column, end: Column) -> DataFrame:
     return inside.groupBy("ticker").agg(F.sum(now).alias("mentions"), F.sum(F.when(day < start, F.col("mentions"))).alias("before"))
 
 
+def running_totals(events: DataFrame) -> DataFrame:
+    """(ticker, source, day, until, mentions, known): totals up to the end of each day with events; they hold until before `until`, null: from then on.
+
+    known counts the events whose mentions aren't null. A day's events are one row before the window runs, so a
+    window holds a row for each day of a ticker and source, however many events there are.
+    """
+    daily = events.filter("ts IS NOT NULL").groupBy("ticker", "source", F.col("ts").cast("date").alias("day")).agg(F.sum("mentions").alias("mentions"), F.count("mentions").alias("known"))
+    order = W.partitionBy("ticker", "source").orderBy("day")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    return daily.select("ticker", "source", "day", F.lead("day").over(order).alias("until"), F.sum("mentions").over(upto).alias("mentions"), F.sum("known").over(upto).alias("known"))
+
+
+def totals_of_ranges(running: DataFrame, ranges: DataFrame, sources: Sequence[str] | None = None, most: int = 100_000) -> DataFrame:
+    """(range_id, ticker, mentions, before) for each of ranges (range_id, start, end): range_totals of them all, from running totals read once.
+
+    A total is the difference of two lookups: up to the range's end and up to the day before its start; the equally
+    long range before takes one more. Ranges go along with the tasks as one list, so more than
+    `most` of them raise ValueError: they are to be asked for in parts. Rows are those with known mentions in either range.
+    """
+    if ranges.count() > most:
+        raise ValueError(f"more than {most} ranges: ask for them in parts")
+    length = F.datediff("end", "start") + 1
+    edge = lambda day, now, then: F.struct(day.alias("at"), F.col("range_id"), F.lit(now).alias("now"), F.lit(then).alias("then"))
+    edges = ranges.filter(F.col("start") <= F.col("end")).select(F.explode(F.array(edge(F.col("end"), 1, 0), edge(F.date_sub("start", 1), -1, 1), edge(F.date_sub("start", length + 1), 0, -1))).alias("e"))
+    asked = edges.agg(F.collect_list("e").alias("edges"))
+    rows = running if sources is None else running.filter(F.col("source").isin(*sources))
+    holds = lambda e: (e["at"] >= F.col("day")) & (F.col("until").isNull() | (e["at"] < F.col("until")))
+    looked = rows.join(F.broadcast(asked), F.lit(True)).select("ticker", "mentions", "known", F.explode(F.filter("edges", holds)).alias("e"))  # one row of at most 3 * most edges
+    part = lambda c, side: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col(f"e.{side}"))
+    sums = looked.groupBy("e.range_id", "ticker").agg(*(part(c, side).alias(f"{c}_{side}") for c in ("mentions", "known") for side in ("now", "then")))
+    shown = lambda side: F.when(F.col(f"known_{side}") > 0, F.col(f"mentions_{side}"))
+    return sums.filter("known_now > 0 OR known_then > 0").select("range_id", "ticker", shown("now").alias("mentions"), shown("then").alias("before"))
+
+
 def filtered_board(board: DataFrame, chosen: Sequence[str], search: str, of: int) -> DataFrame:
     """The board over the chosen sources only: mentions of those, none dropped to zero, searched, scored against its peers."""
     rows = board.withColumn("mentions", total(chosen)).filter("mentions > 0").filter(F.contains(F.upper(F.col("ticker").cast("string")), F.lit(search.upper())))

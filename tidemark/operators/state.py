@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blooms
+
 HORIZONS = (30, 90, 180, 365)
 
 
@@ -57,6 +59,28 @@ def acceleration(history: DataFrame, week: str, ratio: float = 2.0, weeks: int =
     return now.select("phrase", "n", (F.coalesce("before", F.lit(0)) <= novel).alias("novel"), F.when(mean == 0, F.col("n") > 0).otherwise(F.col("n") >= ratio * mean).alias("accelerating"))
 
 
+def filtered_acceleration(found: DataFrame, history: DataFrame, filters: DataFrame, week: str, blocks: int, ratio: float = 2.0, weeks: int = 4, novel: int = 3) -> DataFrame:
+    """acceleration's rows for the phrases found (phrase, n) in a week, by way of Bloom filters.
+
+    history: (week, phrase, n); filters: (week, block, bits) of each of its weeks. A phrase that no filter holds is new;
+    of the history only what a filter of the other phrases holds is aggregated and joined. What seems
+    to be repeated and isn't comes out of that join without a match, so the rows are exact.
+    """
+    others = filters.filter(F.col("week") != week)
+    recent = others.select("week").distinct().orderBy(F.desc("week")).limit(weeks)
+    size = recent.agg(F.count("*").alias("weeks"))
+    asked = blooms.marked(found.select("phrase", "n"), "phrase", blooms.merged(others), blocks)
+    repeats = blooms.build(asked.filter("maybe"), "phrase", blocks)
+    past = blooms.marked(history.filter(F.col("week") != week), "phrase", repeats, blocks).filter("maybe")
+    late = past.join(F.broadcast(recent.withColumn("late", F.lit(True))), "week", "left")  # weeks rows
+    known = late.groupBy("phrase").agg(F.sum("n").alias("before"), F.sum(F.when(F.col("late"), F.col("n"))).alias("late"))
+    rows = asked.filter("maybe").select("phrase", "n").join(known, "phrase", "left").join(F.broadcast(size), F.lit(True))  # one row
+    mean = F.coalesce(F.try_divide(F.coalesce("late", F.lit(0)), F.col("weeks")), F.lit(0.0))
+    seen = rows.select("phrase", "n", (F.coalesce("before", F.lit(0)) <= novel).alias("novel"), F.when(mean == 0, F.col("n") > 0).otherwise(F.col("n") >= ratio * mean).alias("accelerating"))
+    new = asked.filter(~F.col("maybe")).select("phrase", "n", F.lit(True).alias("novel"), (F.col("n") > 0).alias("accelerating"))
+    return seen.unionByName(new)
+
+
 def nearest_close(probes: DataFrame, ledger: DataFrame, tolerance: int = 5) -> DataFrame:
     """probes with near_date and near_close: the known close nearest in time, ties to the earlier day; null beyond tolerance.
 

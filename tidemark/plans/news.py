@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vocabulary as V
+from tidemark.operators import blooms
 from tidemark.operators import discovery as X
 from tidemark.operators import headlines as N
 from tidemark.operators import phrases as P
 from tidemark.operators import screen as C
 from tidemark.operators import state as S
 from tidemark.plans import bindings as D
-from tidemark.plans.queries import RE, query, r6
+from tidemark.plans.queries import ORACLES, RE, query, r6
 from tidemark.session import spread
 
 
@@ -221,6 +222,11 @@ def a8_phrases(spark, sf_dir):
     return P.extracted(D.headlines(spark, sf_dir))
 
 
+@query("a8_most_frequent", ORACLES["a8_phrases"] + " ORDER BY n DESC, phrase LIMIT 40")
+def a8_most_frequent(spark, sf_dir):
+    return P.most_frequent(D.headlines(spark, sf_dir), 40)
+
+
 WEEK = "isoyear(published)::VARCHAR || '-W' || lpad(week(published)::VARCHAR, 2, '0')"
 NOW_WEEK = "2024-W03"
 WEEKS = TOLD + f", hist AS (SELECT {WEEK} AS week, phrase, count(*) AS n FROM grams GROUP BY 1, 2)"
@@ -240,6 +246,14 @@ def w15_acceleration(spark, sf_dir):
     return S.acceleration(phrase_weeks(spark, sf_dir), NOW_WEEK)
 
 
+@query("w15_filtered", ORACLES["w15_acceleration"])
+def w15_filtered(spark, sf_dir):
+    """The same by Bloom filters of each week: only what may be repeated meets the history."""
+    history = phrase_weeks(spark, sf_dir)
+    filters = blooms.build(history, "phrase", 64, "week")
+    return S.filtered_acceleration(history.filter(F.col("week") == NOW_WEEK), history, filters, NOW_WEEK, 64)
+
+
 @query("st5_merged_weeks", WEEKS + """, whole AS (SELECT * FROM hist UNION ALL SELECT '2024-W04', phrase, n FROM hist WHERE week = '2024-W01'), keep AS (SELECT DISTINCT week FROM whole ORDER BY week DESC LIMIT 3)
 SELECT week, phrase, sum(n)::BIGINT AS n FROM whole WHERE week IN (SELECT week FROM keep) GROUP BY 1, 2""")
 def st5_merged_weeks(spark, sf_dir):
@@ -264,6 +278,13 @@ def st5_shortlist(spark, sf_dir):
     return shortlisted(spark, sf_dir)
 
 
+@query("st5_frequent_shortlist", SHORT + " SELECT * FROM short")
+def st5_frequent_shortlist(spark, sf_dir):
+    """The same without counting every phrase of the week's headlines."""
+    heads = D.headlines(spark, sf_dir).filter(T.iso_week(F.col("published")) == NOW_WEEK)
+    return P.frequent_shortlist(phrase_weeks(spark, sf_dir).filter(F.col("week") < NOW_WEEK), heads, NOW_WEEK)
+
+
 @query("j6_theme_phrases", SHORT + """, th AS (SELECT n_nationkey AS theme, CASE n_nationkey % 5 WHEN 0 THEN 'Widget' WHEN 1 THEN 'shares surge as earnings beat' WHEN 2 THEN 'optics' WHEN 3 THEN 'nothing like it' ELSE 'supplier ' || n_nationkey END AS own FROM nation),
 place AS (SELECT *, row_number() OVER (ORDER BY n DESC, phrase) AS i FROM short)
 SELECT theme, arg_min(phrase, i) AS phrase FROM th JOIN place ON contains(phrase, lower(own)) OR contains(lower(own), phrase) GROUP BY 1""")

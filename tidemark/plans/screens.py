@@ -44,6 +44,19 @@ def f8_range_totals(spark, sf_dir):
     return C.range_totals(D.mention_events(spark, sf_dir), F.lit("2024-01-15").cast("date"), F.lit("2024-01-21").cast("date"))
 
 
+RANGES = "SELECT o AS range_id, DATE '2024-01-01' + (o % 31)::INT AS start, DATE '2024-01-01' + (o % 31 + o // 31 * 3)::INT AS \"end\" FROM (SELECT DISTINCT o_orderkey % 124 AS o FROM orders)"
+
+
+@query("f8_many_ranges", "WITH " + D.EVENTS_SQL + f""", daily AS (SELECT ticker, CAST(ts AS DATE) AS day, sum(mentions) AS mentions FROM mention GROUP BY 1, 2), asked AS ({RANGES})
+SELECT range_id, ticker, sum(mentions) FILTER (day >= start)::BIGINT AS mentions, sum(mentions) FILTER (day < start)::BIGINT AS before FROM asked JOIN daily ON day BETWEEN start - (date_diff('day', start, "end") + 1)::INT AND "end" GROUP BY 1, 2""")
+def f8_many_ranges(spark, sf_dir):
+    """Ranges of 1, 4, 7 and 10 days from each day of a month, all from one reading of the events."""
+    o = F.col("o_orderkey") % 124
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (o % 31).cast("int"))
+    ranges = D.read(spark, sf_dir, "orders").select(o.alias("range_id"), first.alias("start"), F.date_add(first, (F.floor(o / 31) * 3).cast("int")).alias("end")).distinct()
+    return C.totals_of_ranges(C.running_totals(D.mention_events(spark, sf_dir)), ranges)
+
+
 @query("f9_filtered_board", BOARD + f""", x AS (SELECT * REPLACE ({TOTAL(CHOSEN)} AS mentions) FROM board), y AS (SELECT * FROM x WHERE mentions > 0 AND ticker::VARCHAR LIKE '%1%'),
 z AS (SELECT ticker, mentions, 30 * sqrt(mentions / greatest(1, max(mentions) OVER ())) + 22 * {CLAMP("coalesce(momentum, 0) / 80 + 0.25::DOUBLE")} + 18 * {CLAMP("(sentiment + 0.25::DOUBLE) / 0.7::DOUBLE")}
  + 12 * {CLAMP("price_move / 6")} + 10 * {CLAMP("CASE WHEN relative_volume > 0 AND relative_volume <= 25 THEN relative_volume ELSE 1 END / 2.5::DOUBLE")} + 8 * {ACTIVE(CHOSEN)} / 5.0::DOUBLE AS raw FROM y)
