@@ -42,6 +42,6 @@ def marked(rows: DataFrame, value: str, one: DataFrame, blocks: int, mark: str =
     byte = lambda spot: F.conv(F.hex(F.substring("_bits", (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.lit(True)
     for spot in _spots(F.col(value)):
-        held = held & F.get(F.array(*[byte(spot).bitwiseAND(F.lit(1 << i)) > 0 for i in range(8)]), spot.bitwiseAND(F.lit(7)).cast("int"))
+        held = held & (F.getbit(byte(spot), spot.bitwiseAND(F.lit(7)).cast("int")) == 1)
     side = F.broadcast(bits) if blocks <= SMALL_BLOCKS else bits
     return rows.withColumn("_block", _block(F.col(value), blocks)).join(side, "_block", "left").withColumn(mark, F.col("_bits").isNotNull() & F.coalesce(held, F.lit(False))).drop("_block", "_bits")

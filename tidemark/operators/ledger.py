@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+
 NUMBERS = ("mentions", "close", "volume", "wiki")
 
 
@@ -68,3 +70,43 @@ def stale(ledger: DataFrame, protected: DataFrame, today: Column, days: int = 90
     seen = F.coalesce(F.max(F.when(F.col("mentions") > 0, F.col("date"))), F.min("date"))
     last = ledger.groupBy("ticker").agg(seen.alias("last_seen"))
     return last.filter(F.col("last_seen") < F.date_sub(today, days)).join(protected.select("ticker"), "ticker", "left_anti")
+
+
+def run(ledger: DataFrame, meta: DataFrame, events: DataFrame, registry: DataFrame, signals: DataFrame, protected: DataFrame, today: Column, days: int = 90, keep: int = 400) -> tuple[DataFrame, DataFrame]:
+    """A refresh from its events: the new ledger (ticker, date, mentions, share_of_voice, close, volume, wiki) and meta (ticker, name, sector, sub, article, first_seen).
+
+    Every ticker with events or in the ledger gets today's row: its mentions and their share of all, the last
+    finite price told by Price/Volume with its volume, else the close of its newest day and no volume. A row of today
+    is replaced, the newest `keep` stay, and unprotected tickers without mentions for `days` days go.
+    Meta comes from the signal, else the registry, else what was known; first_seen is today for new tickers.
+    events: (seq, ticker, source, mentions, last_price, volume); those without a ticker don't count, null mentions are 0.
+    registry: (ticker, name, sector, industry, article); signals: (ticker, name, sector, industry, description_url).
+    Without any event nothing changes.
+    """
+    columns = ["ticker", "date", "mentions", "share_of_voice", "close", "volume", "wiki"]
+    if events.isEmpty():
+        return ledger.select(*columns), meta
+    told = events.filter(F.coalesce(F.col("ticker").cast("string"), F.lit("")) != "")
+    price = finite(F.col("last_price"))
+    quote = F.when((F.col("source") == "Price/Volume") & price.isNotNull(), F.struct("seq", price.alias("close"), finite(F.col("volume")).alias("volume")))
+    active = told.groupBy("ticker").agg(F.sum(F.coalesce("mentions", F.lit(0))).alias("new_mentions"), F.max(quote).alias("quote"))
+    total = active.agg(F.sum("new_mentions").alias("total"))
+    newest_day = ledger.groupBy("ticker").agg(F.max_by("close", "date").alias("last_close"))
+    rows = newest_day.withColumn("old", F.lit(True)).join(active, "ticker", "full_outer").join(F.broadcast(total), F.lit(True))  # total is one row
+    mentions = F.coalesce("new_mentions", F.lit(0))
+    share = F.when(F.col("total") > 0, F.round(mentions / F.col("total"), 6)).otherwise(0.0)
+    now = rows.select(
+        "ticker", today.alias("date"), mentions.alias("mentions"), share.alias("share_of_voice"), F.coalesce("quote.close", "last_close").alias("close"),
+        F.col("quote.volume").alias("volume"), F.lit(None).cast("double").alias("wiki"),
+    )
+    before = ledger.filter(F.col("date") != today).select(*columns)
+    whole = newest(before.unionByName(now), keep)
+    gone = stale(whole, protected, today, days).select("ticker")
+    new = rows.select("ticker", F.when(F.col("old").isNull(), today).alias("seen"))
+    said = lambda c: F.when(F.trim(c) != "", F.col(c))
+    listed = registry.select("ticker", F.lit(True).alias("listed"), *(said(c).alias(f"listed_{c}") for c in ("name", "sector", "industry", "article")))
+    shown = signals.select("ticker", *(said(c).alias(f"shown_{c}") for c in ("name", "sector", "industry")), T.article_of(F.col("description_url")).alias("shown_article"))
+    known = new.join(listed, "ticker", "left").join(shown, "ticker", "left").join(meta, "ticker", "left")
+    fresh = lambda c, old: F.coalesce(F.when(F.col("listed").isNotNull(), F.col(f"shown_{c}")), f"listed_{c}", old)
+    after = known.select("ticker", fresh("name", "name").alias("name"), fresh("sector", "sector").alias("sector"), fresh("industry", "sub").alias("sub"), fresh("article", "article").alias("article"), F.coalesce("first_seen", "seen").alias("first_seen"))
+    return whole.join(gone, "ticker", "left_anti"), after.join(gone, "ticker", "left_anti")

@@ -54,8 +54,8 @@ def most_frequent(items: DataFrame, k: int, sources: Sequence[str] | None = V.NE
     Phrases are first counted by bucket, so a task hands on `buckets` numbers at most, whatever its headlines say.
     Only phrases of buckets that reach a bound are then counted by themselves; once k rows reach it none of the
     others can come before them. The bound starts at half the k-th largest total and falls by `step`
-    until then, or to 1, where all phrases are counted. `fit` may add to n what `earlier`
-    (phrase, n) holds, and no more.
+    until then, or to 1, where all phrases are counted: at once where half of all rows are in the buckets
+    already. `fit` may add to n what `earlier` (phrase, n) holds, and no more.
     """
     shared_dir(items.sparkSession)  # checkpoints need a folder
     every = grams(items, sources)
@@ -63,6 +63,7 @@ def most_frequent(items: DataFrame, k: int, sources: Sequence[str] | None = V.NE
     totals = bucket_totals(weights if earlier is None else weights.unionByName(earlier.select("phrase", "n")), buckets).checkpoint()
     largest = totals.orderBy(F.desc("total")).limit(k).agg(F.min("total")).first()[0]
     bound = max((largest or 0) // 2, 1)
+    over = lambda least: F.sum(F.when(F.col("total") >= least, F.col("total")))
     while True:
         heavy = totals.filter(F.col("total") >= bound).select("bucket")
         rows = counted(every.withColumn("bucket", _bucket(buckets)).join(F.broadcast(heavy), "bucket", "left_semi"))  # `buckets` numbers at most
@@ -70,7 +71,8 @@ def most_frequent(items: DataFrame, k: int, sources: Sequence[str] | None = V.NE
         found = rows.filter(F.col("n") >= bound).orderBy(F.desc("n"), "phrase").limit(k).checkpoint()  # k rows
         if bound == 1 or found.count() == k:
             return found
-        bound = max(bound // step, 1)
+        many = totals.agg(F.coalesce(over(bound), F.lit(0)) * 2 >= F.sum("total")).first()[0]
+        bound = 1 if many else max(bound // step, 1)
 
 
 def merged(history: DataFrame, found: DataFrame, week: str, keep: int, *key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.operators import screen as C
 from tidemark.operators import state as S
 from tidemark.plans import bindings as D
 from tidemark.plans.queries import ORACLES, RE, query, r6
-from tidemark.session import spread
+from tidemark.session import shared_dir, spread
 
 
 def quoted(words) -> str:
@@ -239,6 +239,12 @@ def phrase_weeks(spark, sf_dir):
     return grams.groupBy("week", "phrase").agg(F.count("*").alias("n"))
 
 
+def kept_weeks(spark, sf_dir):
+    """phrase_weeks as the table that a run keeps, for what reads it more than once."""
+    shared_dir(spark)  # checkpoints need a folder
+    return phrase_weeks(spark, sf_dir).checkpoint()
+
+
 @query("w15_acceleration", WEEKS + f""", wk AS (SELECT DISTINCT week FROM hist WHERE week <> '{NOW_WEEK}' ORDER BY week DESC LIMIT 4),
 o AS (SELECT phrase, sum(n) AS before, coalesce(sum(n) FILTER (week IN (SELECT week FROM wk)), 0) / (SELECT count(*) FROM wk)::DOUBLE AS mean FROM hist WHERE week <> '{NOW_WEEK}' GROUP BY 1)
 SELECT h.phrase, n, coalesce(before, 0) <= 3 AS novel, CASE WHEN coalesce(mean, 0) = 0 THEN n > 0 ELSE n >= 2.0::DOUBLE * mean END AS accelerating FROM hist h LEFT JOIN o USING (phrase) WHERE week = '{NOW_WEEK}'""")
@@ -249,7 +255,7 @@ def w15_acceleration(spark, sf_dir):
 @query("w15_filtered", ORACLES["w15_acceleration"])
 def w15_filtered(spark, sf_dir):
     """The same by Bloom filters of each week: only what may be repeated meets the history."""
-    history = phrase_weeks(spark, sf_dir)
+    history = kept_weeks(spark, sf_dir)
     filters = blooms.build(history, "phrase", 64, "week")
     return S.filtered_acceleration(history.filter(F.col("week") == NOW_WEEK), history, filters, NOW_WEEK, 64)
 
@@ -282,7 +288,7 @@ def st5_shortlist(spark, sf_dir):
 def st5_frequent_shortlist(spark, sf_dir):
     """The same without counting every phrase of the week's headlines."""
     heads = D.headlines(spark, sf_dir).filter(T.iso_week(F.col("published")) == NOW_WEEK)
-    return P.frequent_shortlist(phrase_weeks(spark, sf_dir).filter(F.col("week") < NOW_WEEK), heads, NOW_WEEK)
+    return P.frequent_shortlist(kept_weeks(spark, sf_dir).filter(F.col("week") < NOW_WEEK), heads, NOW_WEEK)
 
 
 @query("j6_theme_phrases", SHORT + """, th AS (SELECT n_nationkey AS theme, CASE n_nationkey % 5 WHEN 0 THEN 'Widget' WHEN 1 THEN 'shares surge as earnings beat' WHEN 2 THEN 'optics' WHEN 3 THEN 'nothing like it' ELSE 'supplier ' || n_nationkey END AS own FROM nation),

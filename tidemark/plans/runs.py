@@ -77,3 +77,41 @@ def src3_landed_records(spark, sf_dir):
     r = F.from_json("value", "page_id bigint, url string")
     broken = F.regexp_extract("corrupt", r"\): (\d+) ", 1)
     return rows.select(F.coalesce(r["page_id"], broken.try_cast("long")).alias("page_id"), r["url"].alias("url"), F.col("corrupt").isNotNull().alias("corrupt"))
+
+
+RUN = "WITH " + D.LEDGER_SQL + ", " + D.EVENTS_SQL + """, old AS (SELECT ticker, date, mentions, round(mentions::DOUBLE / sum(mentions) OVER (PARTITION BY date), 6) AS share_of_voice, close, volume::DOUBLE AS volume, wiki FROM ledger),
+act AS (SELECT ticker, sum(mentions) AS m, arg_max(last_price, seq) FILTER (source = 'view' AND last_price IS NOT NULL) AS close, arg_max(relative_volume, seq) FILTER (source = 'view' AND last_price IS NOT NULL) AS volume FROM mention GROUP BY 1),
+last AS (SELECT ticker, arg_max(close, date) AS close FROM old GROUP BY 1),
+now AS (SELECT coalesce(act.ticker, last.ticker) AS ticker, DATE '2002-02-01' AS date, coalesce(m, 0)::BIGINT AS mentions, round(coalesce(m, 0)::DOUBLE / (SELECT sum(m) FROM act), 6) AS share_of_voice, coalesce(act.close, last.close) AS close, act.volume, NULL::DOUBLE AS wiki FROM act FULL JOIN last ON act.ticker = last.ticker),
+joined AS (SELECT * FROM old WHERE date <> DATE '2002-02-01' UNION ALL SELECT * FROM now), whole AS (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 400),
+gone AS (SELECT ticker FROM whole WHERE ticker NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 1) GROUP BY 1 HAVING coalesce(max(date) FILTER (mentions > 0), min(date)) < DATE '2002-02-01' - 90)"""
+
+
+def ledger_run(spark, sf_dir):
+    """A run over all events on a ledger that ends some months before, so that dormant tickers go."""
+    old = L.share_of_voice(D.ledger(spark, sf_dir)).withColumn("volume", F.col("volume").cast("double"))
+    events = D.mention_events(spark, sf_dir)
+    told = events.select("seq", "ticker", F.when(F.col("source") == "view", "Price/Volume").otherwise(F.col("source")).alias("source"), "mentions", "last_price", F.col("relative_volume").alias("volume"))
+    s, c = D.read(spark, sf_dir, "supplier"), D.read(spark, sf_dir, "customer")
+    none = F.lit(None).cast("string")
+    key = F.col("s_suppkey").alias("ticker")
+    meta = old.select("ticker").distinct().join(s.select(key, F.col("s_name").alias("name"), none.alias("sector"), F.lit("known").alias("sub"), none.alias("article"), day("1992-01-01").alias("first_seen")), "ticker")
+    k = F.col("c_custkey")
+    registry = c.filter(k % 7 > 0).select(k.alias("ticker"), F.when(k % 3 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("sector"), none.alias("industry"), F.concat(F.lit("Article "), k).alias("article"))
+    u = F.col("ticker")
+    url = F.when(u % 4 == 0, F.concat(F.lit("https://w.example/wiki/Page_"), u, F.lit("%2C_Inc.")))
+    signals = events.select("ticker").distinct().select("ticker", F.when(u % 2 == 0, F.concat(F.lit("Signal "), u)).alias("name"), none.alias("sector"), F.lit("told").alias("industry"), url.alias("description_url"))
+    return L.run(old, meta, told, registry, signals, s.filter("s_nationkey = 1").select(key), day("2002-02-01"))
+
+
+@query("x8_ledger_run", RUN + " SELECT * FROM whole WHERE ticker NOT IN (SELECT ticker FROM gone)")
+def x8_ledger_run(spark, sf_dir):
+    return ledger_run(spark, sf_dir)[0]
+
+
+@query("x8_meta", RUN + """ SELECT n.ticker, coalesce(CASE WHEN c_custkey % 7 > 0 THEN coalesce(CASE WHEN act.ticker % 2 = 0 THEN 'Signal ' || act.ticker END, CASE WHEN c_custkey % 3 > 0 THEN c_name END) END, s_name) AS name,
+ CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS sector, coalesce(CASE WHEN c_custkey % 7 > 0 AND act.ticker IS NOT NULL THEN 'told' END, CASE WHEN s_suppkey IS NOT NULL THEN 'known' END) AS sub,
+ CASE WHEN c_custkey % 7 > 0 THEN CASE WHEN act.ticker % 4 = 0 THEN 'Page ' || act.ticker || ', Inc.' ELSE 'Article ' || c_custkey END END AS article, CASE WHEN s_suppkey IS NOT NULL THEN DATE '1992-01-01' ELSE DATE '2002-02-01' END AS first_seen
+FROM now n LEFT JOIN act ON act.ticker = n.ticker LEFT JOIN last ON last.ticker = n.ticker LEFT JOIN supplier ON s_suppkey = last.ticker LEFT JOIN customer ON c_custkey = n.ticker WHERE n.ticker NOT IN (SELECT ticker FROM gone)""")
+def x8_meta(spark, sf_dir):
+    return ledger_run(spark, sf_dir)[1]
