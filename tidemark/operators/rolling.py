@@ -237,7 +237,7 @@ def classify(ledger: DataFrame, least_persistence: float = 0.60, most_percentile
     Days are numbered by regime in one pass over each ticker; a row for each regime is left to
     the shuffle.
     """
-    days = regime_days(release_triggers(ledger), column, least_persistence, most_percentile)
+    days = regime_days(release_triggers(ledger.select(*dict.fromkeys(("ticker", "date", "close", "volume", column)))), column, least_persistence, most_percentile)
     hit = lambda c: F.when(F.col("qualifies"), F.col(c))
     runs = days.groupBy("ticker", "run").agg(
         F.max(hit("idx")).alias("end_idx"), F.min(hit("date")).alias("regime_start"), F.max(hit("date")).alias("regime_end"), F.min(hit("idx")).alias("start_idx"), F.count_if("qualifies").alias("sessions"),

@@ -84,18 +84,18 @@ def theme_heat(flags: DataFrame, registry: DataFrame, decay: DataFrame, language
 def decay_signal(ledger: DataFrame, registry: DataFrame, benchmark: DataFrame, window: int = 100) -> DataFrame:
     """(theme, decay): the members' mean relative index ends below its trailing mean.
 
-    Series are aligned by position from the end over the theme's common length.
+    Series are aligned by position from the end over the theme's common length. A ticker's
+    closes go through as one array, bounded by its days, so no day is ranked or joined by itself.
     """
-    own = from_end(ledger.select("ticker", "date", "close"), "ticker").drop("date")
-    bench = from_end(benchmark).select("age", F.col("close").alias("bench"))
-    length = own.groupBy("ticker").agg(F.max("age").alias("length"))
-    size = bench.agg(F.max("age").alias("bench_length"))
-    common = registry.join(length, "ticker").groupBy("theme").agg(F.min("length").alias("common"), F.count("*").alias("members")).join(F.broadcast(size), F.lit(True))
+    newest_first = lambda: F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]))
+    own = ledger.groupBy("ticker").agg(newest_first().alias("own"))
+    bench = benchmark.agg(newest_first().alias("bench"))
+    common = registry.join(own.select("ticker", F.size("own").alias("length")), "ticker").groupBy("theme").agg(F.min("length").alias("common"), F.count("*").alias("members")).join(F.broadcast(bench.select(F.size("bench").alias("bench_length"))), F.lit(True))  # one row
     common = common.select("theme", "members", F.least("common", "bench_length").alias("common")).filter((F.col("members") >= 3) & (F.col("common") > window + 1))
-    members = registry.join(common.drop("members"), "theme").join(own, "ticker").filter((F.col("age") <= window + 1) | (F.col("age") == F.col("common"))).join(bench, "age")
-    base = members.filter(F.col("age") == F.col("common")).select("theme", "ticker", F.col("close").alias("base"), F.col("bench").alias("bench_base"))
-    points = members.filter(F.col("age") <= window + 1).join(base, ["theme", "ticker"]).filter((finite(F.col("base")) > 0) & (finite(F.col("bench_base")) > 0))
-    index = points.groupBy("theme", "age").agg(F.avg(finite(F.col("close")) / F.col("base") - finite(F.col("bench")) / F.col("bench_base")).alias("x")).filter("x IS NOT NULL")
+    members = registry.join(common.drop("members"), "theme").join(own, "ticker").join(F.broadcast(bench), F.lit(True))  # one row of days
+    bases = members.withColumns({"base": finite(F.get("own", F.col("common") - 1)), "bench_base": finite(F.get("bench", F.col("common") - 1))}).filter("base > 0 AND bench_base > 0")
+    points = bases.select("theme", "base", "bench_base", F.posexplode(F.arrays_zip(F.slice("own", 1, window + 1).alias("close"), F.slice("bench", 1, window + 1).alias("bench"))).alias("place", "p"))
+    index = points.groupBy("theme", (F.col("place") + 1).alias("age")).agg(F.avg(finite(F.col("p.close")) / F.col("base") - finite(F.col("p.bench")) / F.col("bench_base")).alias("x")).filter("x IS NOT NULL")
     last, rest = F.max(F.when(F.col("age") == 1, F.col("x"))), F.avg(F.when(F.col("age") > 1, F.col("x")))
     return index.groupBy("theme").agg(F.count("*").alias("n"), (last < rest).alias("decay")).filter(F.col("n") >= window).drop("n")
 
