@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,36 +46,60 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("inner", F.lit(0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("q"))
 
 
-def communities(edges: DataFrame, passes: int = 20, strict: float = 1e-12) -> DataFrame:
-    """(ticker, community): local moving by modularity gain, as synchronous rounds over the cluster.
+def communities(edges: DataFrame, passes: int = 20) -> DataFrame:
+    """(ticker, community): greedy local moving by modularity, the very partition of a run ticker by ticker in their order.
+
+    In a pass every ticker in turn joins the community of its neighbours with the largest positive
+    gain, ties to that of the smallest neighbour. What a ticker sees is fixed by the moves of those
+    before it and the places of those behind it at the pass's start, so a pass is the one fixed point
+    of that rule: each round applies it to all tickers at once, on the moves of the round before,
+    until no move changes. At least one more ticker is final after each round, and mostly far more.
+    Only moves enter the running totals of a community. Ends with a pass without moves, or after `passes`.
 
-    In each round a half of the tickers, drawn by a hash of ticker and round so that neighbours
-    don't go on swapping, moves to the neighbouring community of best gain. Ends after three
-    rounds without a move, or after `passes`.
+    A community has the name of a ticker that began in it. Edges from a ticker to itself or of a null
+    count for nothing, those given twice add up; no edges give no rows.
     """
-    shared_dir(edges.sparkSession)  # checkpoints need a folder
-    m2 = 2.0 * (edges.agg(F.sum("n")).first()[0] or 0)
-    ways = both_ways(edges).checkpoint()
-    labels = ways.groupBy(F.col("src").alias("ticker")).agg(F.sum("n").cast("double").alias("k")).withColumn("community", F.col("ticker")).checkpoint()
-    quiet = 0
-    for round_ in range(passes if m2 else 0):
-        totals = labels.groupBy("community").agg(F.sum("k").alias("total"))
-        near = ways.join(labels.select(F.col("ticker").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("n").alias("into"))
-        turn = F.pmod(F.xxhash64("src", F.lit(round_)), F.lit(2)) == 0
-        own = labels.select(F.col("ticker").alias("src"), "k", F.col("community").alias("now")).filter(turn)
-        seat = own.select("src", F.col("now").alias("community"), F.lit(0).cast("long").alias("into"))
-        options = near.unionByName(seat).groupBy("src", "community").agg(F.sum("into").alias("into")).join(own, "src").join(totals, "community")
-        stays = F.col("community") == F.col("now")
-        gain = F.col("into") - (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) * F.col("k") / m2
-        best = options.withColumn("gain", gain).groupBy("src").agg(
-            F.max_by("community", F.struct("gain", -F.col("community"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(stays, F.col("gain"))).alias("here")
-        )
-        moves = best.filter(F.col("gain") > F.col("here") + strict).select(F.col("src").alias("ticker"), "to")
-        labels = labels.join(moves, "ticker", "left").select("ticker", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")).checkpoint()
-        quiet = 0 if labels.filter("moved").count() else quiet + 1
-        if quiet == 3:
-            break
-    return labels.select("ticker", "community")
+    spark = edges.sparkSession
+    folder = f"{shared_dir(spark)}/communities-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    summed = edges.filter("src <> dst AND n > 0").groupBy("src", "dst").agg(F.sum("n").cast("double").alias("n"))
+    ways = kept(both_ways(summed).groupBy("src", "dst").agg(F.sum("n").alias("n")), "ways")
+    own = ways.groupBy(F.col("src").alias("ticker")).agg(F.sum("n").alias("k"))
+    state = kept(own.select("ticker", "k", F.col("ticker").alias("was"), F.col("ticker").alias("to"), F.lit(False).alias("changed")), "start")
+    m2 = state.agg(F.sum("k")).first()[0]
+    done, rounds = 0, 0
+    while m2 and done < passes:
+        rounds += 1
+        state = kept(_moves(ways, state, m2), f"round{rounds % 2}")  # a round reads the one before and nothing older
+        changed, moved = state.agg(F.max("changed"), F.max(F.col("to") != F.col("was"))).first()
+        if not changed:
+            done = done + 1 if moved else passes
+            state = state.withColumn("was", F.col("to"))
+    return state.select("ticker", F.col("to").alias("community"))
+
+
+def _moves(ways: DataFrame, state: DataFrame, m2: float) -> DataFrame:
+    """The state (ticker, k, was, to, changed) after a round of `communities`: moves chosen anew, given those in `to`."""
+    there = state.select(F.col("ticker").alias("dst"), "was", "to")
+    seen = F.when(F.col("dst") < F.col("src"), F.col("to")).otherwise(F.col("was"))
+    options = ways.join(there, "dst").groupBy(F.col("src").alias("ticker"), seen.alias("community")).agg(F.sum("n").alias("into"), F.min("dst").alias("nearest"))
+    begun = state.groupBy(F.col("was").alias("community")).agg(F.sum("k").alias("total"))
+    movers = state.filter("to <> was")
+    none = F.lit(None).cast("double")
+    delta = lambda c, k: movers.select("ticker", F.col(c).alias("community"), none.alias("into"), F.lit(None).cast(state.schema["ticker"].dataType).alias("nearest"), k.alias("delta"))
+    lines = options.withColumn("delta", F.lit(0.0)).unionByName(delta("to", F.col("k"))).unionByName(delta("was", -F.col("k")))
+    before = W.partitionBy("community").orderBy("ticker").rangeBetween(W.unboundedPreceding, W.currentRow)  # of one ticker: no more rows than tickers
+    # The moves up to a ticker, its own included: that one is taken off again below.
+    asked = lines.withColumn("delta", F.sum("delta").over(before)).filter("into IS NOT NULL").join(begun, "community", "left").join(state, "ticker")
+    itself = F.when(F.col("community") == F.col("to"), F.col("k")).otherwise(0.0)
+    gain = F.col("into") - (F.coalesce("total", F.lit(0.0)) + F.col("delta") - itself) * F.col("k") / F.lit(m2)
+    best = asked.withColumn("gain", gain).filter("gain > 0").groupBy("ticker").agg(F.min_by("community", F.struct(-F.col("gain"), "nearest")).alias("best"))
+    to = F.coalesce("best", "was")
+    return state.join(best, "ticker", "left").select("ticker", "k", "was", to.alias("to"), (to != F.col("to")).alias("changed"))
 
 
 def co_mention(history: DataFrame, pairs: DataFrame, week: str, leaders: DataFrame, previous: DataFrame, keep: int = 13, least: int = 3, min_q: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -224,7 +224,7 @@ def g4_top_neighbors(spark, sf_dir):
 
 @query("g2_communities")
 def g2_communities(spark, sf_dir):
-    """Local moving depends on the order of moves, so there is no SQL for it: tests hold it against planted cliques."""
+    """Rounds until moves are settled have no SQL: tests hold the partition against a plain run, ticker by ticker."""
     return G.communities(G.trailing(weekly_pairs(spark, sf_dir)))
 
 
