@@ -64,3 +64,17 @@ def test_candidates_with_and_without_their_marks(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r["doc_id"], r["ticker"], r["confidence"]) for r in T.ticker_candidates(df).collect()}
     assert got == {(0, "AB", 3.0), (0, "CD", 2.4), (0, "EF", 2.6), (0, "GH", 1.0), (1, "AB", 1.0), (1, "CD", 1.0), (2, "XY", 2.4), (3, "XY", 3.0), (4, "XY", 2.6), (5, "XY", 1.0)}
+
+
+def test_listed_tickers_are_registered_and_covered_without_a_mention(spark):
+    registry = spark.createDataFrame([("AAA", "Alpha", []), ("SPY", "SPY", ["spy"]), ("KO", "Coke", [])], "ticker string, name string, aliases array<string>")
+    whole, majors = X.with_majors(registry, {"SPY": "A Fund", "KO": "Cola", "ba": "Planes", "NOT ONE": "None"})
+    assert {r["ticker"]: r["name"] for r in whole.collect()} == {"AAA": "Alpha", "SPY": "A Fund", "KO": "Coke", "BA": "Planes"}
+    assert {r["aliases"][1] for r in whole.filter("ticker = 'BA'").collect()} == {"planes"}
+    events = spark.createDataFrame([("AAA", 3), ("KO", 1), ("ZZZ", 9)], "ticker string, mentions long")
+    none = spark.createDataFrame([], "ticker string, mentions long")
+    hot = spark.createDataFrame([("AAA",), ("BA",), ("YYY",)], "ticker string")
+    got = X.price_targets(whole, events, none, majors, hot, limit=2)
+    assert {(r["ticker"], r["why"], r["name"]) for r in got.collect()} == {("AAA", "mentions", "Alpha"), ("KO", "mentions", "Coke"), ("SPY", "major", "A Fund"), ("BA", "major", "Planes")}
+    empty, listed = X.with_majors(registry.limit(0))
+    assert empty.count() == listed.count() == 46

@@ -126,3 +126,53 @@ TREND_TEXT = {
     "composite": "Composite signal: {score}/100 across {n} data {word} — no single dominant catalyst yet.",
     "source": "source",
 }
+
+#: Large companies and a fund that are always covered, with their names.
+MAJORS = {
+    "SPY": "SPDR S&P 500 ETF Trust",
+    "AAPL": "Apple Inc.",
+    "MSFT": "Microsoft Corp.",
+    "NVDA": "NVIDIA Corp.",
+    "AMZN": "Amazon.com Inc.",
+    "GOOGL": "Alphabet Inc.",
+    "META": "Meta Platforms Inc.",
+    "TSLA": "Tesla Inc.",
+    "AVGO": "Broadcom Inc.",
+    "AMD": "Advanced Micro Devices Inc.",
+    "NFLX": "Netflix Inc.",
+    "INTC": "Intel Corp.",
+    "MU": "Micron Technology Inc.",
+    "QCOM": "Qualcomm Inc.",
+    "ORCL": "Oracle Corp.",
+    "CRM": "Salesforce Inc.",
+    "ADBE": "Adobe Inc.",
+    "PLTR": "Palantir Technologies Inc.",
+    "SMCI": "Super Micro Computer Inc.",
+    "COIN": "Coinbase Global Inc.",
+    "MSTR": "MicroStrategy Inc.",
+    "JPM": "JPMorgan Chase & Co.",
+    "BAC": "Bank of America Corp.",
+    "GS": "Goldman Sachs Group Inc.",
+    "WFC": "Wells Fargo & Co.",
+    "V": "Visa Inc.",
+    "MA": "Mastercard Inc.",
+    "XOM": "Exxon Mobil Corp.",
+    "CVX": "Chevron Corp.",
+    "BA": "Boeing Co.",
+    "DIS": "Walt Disney Co.",
+    "WMT": "Walmart Inc.",
+    "COST": "Costco Wholesale Corp.",
+    "NKE": "Nike Inc.",
+    "SBUX": "Starbucks Corp.",
+    "MCD": "McDonald's Corp.",
+    "KO": "Coca-Cola Co.",
+    "PEP": "PepsiCo Inc.",
+    "PFE": "Pfizer Inc.",
+    "LLY": "Eli Lilly & Co.",
+    "UNH": "UnitedHealth Group Inc.",
+    "GM": "General Motors Co.",
+    "UBER": "Uber Technologies Inc.",
+    "ABNB": "Airbnb Inc.",
+    "PYPL": "PayPal Holdings Inc.",
+    "SHOP": "Shopify Inc.",
+}

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions import vocabulary as V
 
 from . import screen as C
 from .ledger import finite
@@ -180,3 +181,23 @@ def news_targets(registry: DataFrame, events: DataFrame, moves: DataFrame, disco
     known = lambda df: df.select("ticker").join(registry.select("ticker"), "ticker", "left_semi")
     parts = [("mentions", base), ("move", movers.select("ticker")), ("major", known(majors)), ("hot", known(hot))]
     return ordered_union([df.withColumn("why", F.lit(why)) for why, df in parts], "ticker")
+
+
+def with_majors(registry: DataFrame, majors: dict[str, str] = V.MAJORS) -> tuple[DataFrame, DataFrame]:
+    """The registry with the always-covered tickers registered, and those of them that registered (ticker).
+
+    A known name stays; where only the symbol stands, or nothing, the listed name comes in. A listed
+    ticker that can't be one is in neither.
+    """
+    spark = registry.sparkSession
+    rows = [(i, ticker, name, [ticker, name]) for i, (ticker, name) in enumerate(majors.items())]
+    listed = spark.createDataFrame(rows, "seq long, ticker string, name string, aliases array<string>")
+    whole = register(registry, listed)
+    return whole, whole.select("ticker").join(F.broadcast(listed.select(F.upper("ticker").alias("ticker")).distinct()), "ticker", "left_semi")  # a fixed list
+
+
+def price_targets(registry: DataFrame, events: DataFrame, discovered: DataFrame, majors: DataFrame, hot: DataFrame, limit: int = 140) -> DataFrame:
+    """(ticker, name, why): the most mentioned registered tickers, then the majors, then the hot monitor's, each once."""
+    known = lambda df: df.select("ticker").join(registry.select("ticker"), "ticker", "left_semi")
+    parts = [("mentions", ranked_entries(registry, events, discovered, limit).select("ticker")), ("major", known(majors)), ("hot", known(hot))]
+    return ordered_union([df.withColumn("why", F.lit(why)) for why, df in parts], "ticker").join(registry.select("ticker", "name"), "ticker")

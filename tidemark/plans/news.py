@@ -324,3 +324,25 @@ def tk11_news_targets(spark, sf_dir):
     events = heads.select("ticker", X.rounded(F.col("weight")).alias("mentions"))
     like = lambda p: D.read(spark, sf_dir, "events").select(F.concat(F.lit("T"), "user_id").alias("ticker")).distinct().filter(F.col("ticker").like(p))
     return X.news_targets(whole, events, heads.filter("source = 'Price/Volume'").select("ticker", "price_move"), found, like("%7"), like("%1%"))
+
+
+MAJORS_SQL = "maj AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, ticker, name.replace("'", "''")) for i, (ticker, name) in enumerate(V.MAJORS.items())) + ") AS m(place, ticker, name))"
+
+
+@query("tk11_always_covered", FOUND + f""", {MAJORS_SQL}, kn AS (SELECT maj.ticker, min(CASE WHEN user_id % 2 = 0 THEN maj.ticker ELSE 'Known ' || maj.ticker END) AS name FROM events JOIN maj ON place = user_id % 46 WHERE user_id % 3 = 0 AND user_id % 46 < 40 GROUP BY 1),
+named AS (SELECT ticker, max(name) FILTER (name <> ticker) AS name FROM (SELECT ticker, name FROM reg UNION ALL SELECT ticker, name FROM kn UNION ALL SELECT ticker, ticker FROM best) GROUP BY 1),
+reg2 AS (SELECT coalesce(named.ticker, maj.ticker) AS ticker, coalesce(named.name, maj.name, named.ticker) AS name FROM named FULL JOIN maj ON named.ticker = maj.ticker), ev AS (SELECT ticker, sum(floor(weight + 0.5)) AS mentions FROM head GROUP BY 1),
+rank AS (SELECT reg2.ticker FROM reg2 LEFT JOIN ev USING (ticker) LEFT JOIN best USING (ticker) ORDER BY coalesce(ev.mentions, 0) + coalesce(best.mentions, 0) DESC, reg2.ticker LIMIT 140),
+u AS (SELECT ticker, 0 AS p, 'mentions' AS why FROM rank UNION ALL SELECT ticker, 1, 'major' FROM maj UNION ALL SELECT ticker, 2, 'hot' FROM reg2 WHERE ticker LIKE 'T%1%')
+SELECT ticker, any_value(name) AS name, arg_min(why, p) AS why FROM u JOIN reg2 USING (ticker) GROUP BY 1""")
+def tk11_always_covered(spark, sf_dir):
+    heads, registry, events = D.headlines(spark, sf_dir), D.headline_registry(spark, sf_dir), D.read(spark, sf_dir, "events")
+    found = X.ranked_discoveries(X.discover(D.texts(spark, sf_dir), registry))
+    at = F.col("user_id") % len(V.MAJORS)
+    symbol = F.element_at(F.array(*map(F.lit, V.MAJORS)), (at + 1).cast("int"))
+    some = events.filter((F.col("user_id") % 3 == 0) & (at < 40)).select(symbol.alias("ticker"), F.when(F.col("user_id") % 2 == 0, symbol).otherwise(F.concat(F.lit("Known "), symbol)).alias("name"))
+    none = F.array().cast("array<string>").alias("aliases")
+    known = some.groupBy("ticker").agg(F.min("name").alias("name")).select("ticker", "name", none).unionByName(found.select("ticker", F.col("ticker").alias("name"), none))
+    whole, majors = X.with_majors(registry.unionByName(known))
+    hot = events.select(F.concat(F.lit("T"), "user_id").alias("ticker")).distinct().filter(F.col("ticker").like("T%1%"))
+    return X.price_targets(whole, heads.select("ticker", X.rounded(F.col("weight")).alias("mentions")), found, majors, hot)
