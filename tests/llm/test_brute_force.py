@@ -54,6 +54,21 @@ def test_search_over_many_cells_and_fragments(spark):
     assert hits / (100 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_queries_of_small_cells_get_all_their_ranks(spark, metric):
+    """Cells of about eight vectors, of which one would be probed: a query goes on until it has k others."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 12))
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(900 + i, [5.0] * 12) for i in range(40)]
+    got = {}
+    for r in op1_additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, least_cells=110, coverage=0.01, metric=metric).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got) == list(range(0, 940, 20))
+    for q, found in got.items():
+        assert [r for r, _ in sorted(found)] == list(range(1, 21))
+        assert len({v for _, v in found} - {q}) == 20
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_search_with_ties_and_repeated_ids(spark, metric):
     """Few distinct vectors, so everything is in the shortlist and the result is exact."""

@@ -223,22 +223,30 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     x = matrix(sample.select("v").toArrow().column("v")).astype(np.float32) if n else np.zeros((0, 1))
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(train(x, n_cells, books, size, k, metric, coverage))
-    del x
+    index = train(x, n_cells, books, size, k, metric, coverage)
+    held = np.zeros(len(index.cells), np.int64)
+    shared = spark.sparkContext.broadcast(index)
+    del x, index
 
     few = rows.withColumn("r", F.row_number().over(W.partitionBy("rep", "asked").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
     distinct = few.groupBy("rep").agg(F.first("v").alias("v"), ids.alias("ids"), F.bool_or("asked").alias("asked")).withColumn("least", F.col("ids")[0])
     coded = materialize(coded_vectors(distinct, shared, beam), "coded")
 
+    # Vectors of each cell, copies up to the k + 1 that can be among a query's nearest.
+    for r in coded.groupBy("cell").agg(F.sum(F.size("ids")).alias("n")).collect():  # most_cells at most
+        held[r["cell"]] = r["n"]
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                order = cell_order(matrix(part.column("q")).astype(np.float32), index.cells, metric)[:, : index.probes]
-                take = pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("q").take(take), pa.array(order.ravel().astype(np.int32))], ["rep", "q", "cell"])
+                order = cell_order(matrix(part.column("q")).astype(np.float32), index.cells, metric)
+                before = np.cumsum(held[order], axis=1) - held[order]
+                row, at = np.nonzero((np.arange(order.shape[1]) < index.probes) | (before < k + 1))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("q").take(take), pa.array(order[row, at].astype(np.int32))], ["rep", "q", "cell"])
 
     asked = coded.filter("asked").select("rep", F.col("v").alias("q"))
     probed = asked.mapInArrow(probe, f"rep string, q {dict(asked.dtypes)['q']}, cell int")
