@@ -164,5 +164,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"), crc_bucket(F.col("id"), 5) != 0)
     return predict(docs, model).select(
         "doc_id", is_bucket(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        "n_sentences", F.size("offending").alias("n_offending"), F.xxhash64("offending").alias("offending_digest"),
+        "n_sentences", F.size("offending").alias("n_offending"), F.xxhash64("offending").alias("offending_digest"), "offending",
     )
