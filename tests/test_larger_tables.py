@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from tidemark.operators import board as B
 from tidemark.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,10 @@ def test_users_of_any_number_are_registered(spark, tmp_path):
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = QUERIES["x5_registry"](spark, str(tmp_path)).select("ticker", "name", "aliases").collect()
     assert sorted(tuple(r) for r in got) == sorted(duck.execute(f"SELECT ticker, name, aliases FROM ({ORACLES['x5_registry']})").fetchall())
+
+
+def test_labels_dont_depend_on_the_order_of_sums(spark):
+    means = [0.25, 0.08, -0.18, -0.04]
+    rows = [(x, x * (1 + e)) for x in means for e in (-4e-16, 0.0, 4e-16)] + [(0.0801, 0.0801), (-0.0401, -0.0401)]
+    got = spark.createDataFrame(rows, "x double, y double").select("x", B.sentiment_label(F.col("y")).alias("label")).distinct().collect()
+    assert sorted((r["x"], r["label"]) for r in got) == [(-0.18, "Soft"), (-0.0401, "Soft"), (-0.04, "Neutral"), (0.08, "Neutral"), (0.0801, "Positive"), (0.25, "Positive")]

@@ -151,6 +151,8 @@ def rank_changes(snapshots: DataFrame, metric: str) -> DataFrame:
 
 
 def sentiment_label(x: Column) -> Column:
+    """Label of a mean: rounded to 12 digits first, so that a mean at a bound is labelled alike in whatever order it was summed."""
+    x = F.round(x, 12)
     return F.when(x > 0.25, "Bullish").when(x > 0.08, "Positive").when(x < -0.18, "Bearish").when(x < -0.04, "Soft").otherwise("Neutral")
 
 
