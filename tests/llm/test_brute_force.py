@@ -69,6 +69,22 @@ def test_queries_of_small_cells_get_all_their_ranks(spark, metric):
         assert len({v for _, v in found} - {q}) == 20
 
 
+@pytest.mark.parametrize("kind", ["even", "long", "other queries", "large"])
+def test_search_of_rows_that_codes_tell_apart_badly(spark, kind):
+    """No clusters at all, many dimensions, queries unlike the rest, numbers whose squares no float holds."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 256 if kind == "long" else 32))
+    if kind == "other queries":
+        x = rng.standard_normal((30, 32))[rng.integers(0, 30, 4000)] + 0.2 * x
+        x[::20] = rng.standard_normal((200, 32))
+    x = (x * (1e30 if kind == "large" else 1)).astype(np.float32).astype(float)
+    got = {}
+    for r in op1_additive.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>"), lambda i: i % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(got[q] & {i for i, _ in exact_top(np.arange(4000), x, q, 20)}) for q in range(0, 4000, 20)]
+    assert sum(hits) / (200 * 20) >= 0.95
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_search_with_ties_and_repeated_ids(spark, metric):
     """Few distinct vectors, so everything is in the shortlist and the result is exact."""

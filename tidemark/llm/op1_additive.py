@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is coded as the sum of `books` full-dimensional codewords, one of each codebook,
-found by beam search over residuals. Codes are stored with the norm of the coded vector and
-the ratio of the vector's own norm to it. A query is scored against codes with a lookup table
-of its inner products with all codewords (scaled by that ratio, or with the stored norm for
-the l2 metric); the best `shortlist` of each query and group are reranked exactly on the
-original vectors.
+A vector is divided by its norm (by one number for the l2 metric), less the mean, and coded as
+the sum of `books` full-dimensional codewords, one of each codebook, found by beam search over
+residuals. Codes are stored with their error. A query is scored against codes with a lookup
+table of its inner products with all codewords; the best `shortlist` of each query and group are
+reranked exactly on the original vectors, and so are all others whose score is within their
+error, times a factor, of the last of the best. The factor is measured when the index is fitted:
+the least one that keeps `sure` of the true neighbours of sampled queries. So a group that codes
+tell apart badly is reranked further, whole in the worst case.
 
 Codes lie in coarse cells: `least_cells`, or more (up to `most_cells`) where they would hold
-over FRAGMENT_BYTES / 2 of vectors each. A query probes only its nearest cells. How many is
-measured when the index is fitted: the least number whose cells hold `coverage` of the true
-neighbours of sampled vectors, all cells where that takes all. A cell of over FRAGMENT_BYTES of
-vectors, or one probed by over `query_block` queries, is dealt into groups, so every group is
-bounded.
+over FRAGMENT_BYTES / 2 of vectors each; for the inner product, few vectors of much larger norms
+are a cell that every query probes. A query probes only its nearest other cells. How many is
+measured too: the least number whose cells hold `coverage` of the true neighbours of sampled
+queries, all cells where that takes all. A cell of over FRAGMENT_BYTES of vectors, or one probed
+by over `query_block` queries, is dealt into groups, so every group is bounded.
 
 Cells and codebooks are fitted on a bounded sample (`sample` vectors, by hash of the vector):
 k-means, residual k-means, then rounds of beam-search encoding and refitting one codebook
@@ -110,33 +112,98 @@ def cell_order(q: np.ndarray, cells: np.ndarray, metric: str) -> np.ndarray:
     return np.argsort(-(q @ cells.T) if metric == "ip" else distances(q, cells), axis=1, kind="stable")
 
 
-def probes_needed(x: np.ndarray, cells: np.ndarray, k: int, metric: str, coverage: float, asked: int = 256) -> int:
-    """Cells to probe so that they hold `coverage` of the true k nearest of sampled vectors in the sample."""
-    if len(cells) == 1:
-        return 1
-    q, cell_of = x[:asked], nearest(x, cells)
-    far = -(q @ x.T) if metric == "ip" else distances(q, x)
-    far[np.arange(len(q)), np.arange(len(q))] = np.inf
-    best = np.argsort(far, axis=1)[:, : min(k, len(x) - 1)]
-    place = np.argsort(cell_order(q, cells, metric), axis=1)  # of each cell in a query's order
-    at = np.sort(np.take_along_axis(place, cell_of[best], 1).ravel())
-    return int(at[min(len(at) - 1, int(np.ceil(coverage * len(at))))]) + 1
+def norms(x: np.ndarray) -> np.ndarray:
+    """Norms of rows of doubles of any magnitude."""
+    most = np.abs(x).max(axis=1, initial=0.0)
+    return most * np.sqrt(np.einsum("nd,nd->n", *[x / np.where(most > 0, most, 1.0)[:, None]] * 2))
 
 
 FRAGMENT_BYTES = 16 << 20
 
 
+TALL = 8192  # about as many vectors of the largest norms, one in fifty at most, can be in the cell of all queries
+
+
 @dataclass
 class Index:
+    metric: str
+    unit: float  # vectors are divided by this for l2, by their norms for the inner product
+    mean: np.ndarray  # (dim,), of the divided vectors
+    tall: float  # least norm of the vectors that every query meets
     cells: np.ndarray  # (cells, dim)
     words: np.ndarray  # (books, size, dim)
-    probes: int
+    probes: int = 1
+    factor: float = 0.0
+
+    def scales(self, x: np.ndarray) -> np.ndarray:
+        return norms(x) if self.metric == "ip" else np.full(len(x), self.unit)
+
+    def reduced(self, x: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        return (x / scales[:, None] - self.mean).astype(np.float32)
+
+    def asked(self, q: np.ndarray) -> np.ndarray:
+        """Queries as they meet codes and cells."""
+        return (q / norms(q)[:, None]).astype(np.float32) if self.metric == "ip" else self.reduced(q, self.scales(q))
+
+    def cell_of(self, reduced: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        """The nearest cell; one more, the last, for tall vectors."""
+        return np.where(scales > self.tall if self.metric == "ip" else False, len(self.cells), nearest(reduced, self.cells))
+
+    def estimates(self, inner: np.ndarray, q: np.ndarray, norm: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        """Scores of queries (rows) by their inner products with codes, up to what `comparable` takes off."""
+        return (inner.astype(np.float64) + (q / norms(q)[:, None] @ self.mean)[:, None]) * scales if self.metric == "ip" else 2 * inner.astype(np.float64) - norm
 
+    def slack(self, q: np.ndarray, error: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        """What an estimate can be off by at most, by Cauchy and Schwarz."""
+        return np.broadcast_to(error * scales, (len(q), len(error))) if self.metric == "ip" else 2 * norms(self.asked(q).astype(np.float64))[:, None] * error
 
-def train(x: np.ndarray, n_cells: int, books: int, size: int, k: int, metric: str, coverage: float, rounds: int = 2, beam: int = 4, seed: int = 1) -> Index:
+    def comparable(self, exact: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores as estimates have them."""
+        if self.metric == "ip":
+            return exact / norms(q)[:, None]
+        own = self.asked(q).astype(np.float64)
+        return exact / self.unit**2 + np.einsum("nd,nd->n", own, own)[:, None]
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows q and x in double precision, by matrix products."""
+    inner = q @ x.T
+    return inner if metric == "ip" else 2 * inner - np.einsum("nd,nd->n", x, x) - np.einsum("nd,nd->n", q, q)[:, None]
+
+
+def measure(index: Index, x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, coverage: float, sure: float, beam: int) -> None:
+    """Sets probes and factor by the k nearest in x of queries q; own tells each one's own row of x (-1: none)."""
+    far = -exact_scores(q, x, index.metric)
+    far[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
+    best = np.argsort(far, axis=1)[:, : min(k, len(x) - 1)]
+    if not best.size:
+        return
+    ids, at = np.unique(best, return_inverse=True)
+    at = at.reshape(best.shape)
+    scales = index.scales(x[ids])
+    reduced = index.reduced(x[ids], scales)
+    near = np.concatenate([decoded(beam_encode(reduced[a : a + 1024], index.words, beam), index.words) for a in range(0, len(ids), 1024)])
+    error, norm = np.sqrt(((reduced - near).astype(np.float64) ** 2).sum(axis=1)), (reduced.astype(np.float64) ** 2).sum(axis=1)
+    pick = lambda values: np.take_along_axis(np.broadcast_to(values, (len(q), len(ids))), at, 1)
+    off = pick(index.comparable(exact_scores(q, x[ids], index.metric), q) - index.estimates(index.asked(q) @ near.T, q, norm, scales))
+    index.factor = float(np.quantile(np.maximum(off, 0) / np.maximum(pick(index.slack(q, error, scales)), 1e-300), sure).clip(0, 1))
+    place = np.argsort(cell_order(index.asked(q), index.cells, index.metric), axis=1)  # of each cell in a query's order
+    place = np.concatenate([place, np.full((len(q), 1), -1)], axis=1)
+    at = np.sort(np.take_along_axis(place, index.cell_of(reduced, scales)[at], 1).ravel())
+    index.probes = max(0, int(at[min(len(at) - 1, int(np.ceil(coverage * len(at))))])) + 1
+
+
+def train(x: np.ndarray, q: np.ndarray, own: np.ndarray, n: int, n_cells: int, books: int, size: int, k: int, metric: str, coverage: float, sure: float, rounds: int = 2, beam: int = 4, seed: int = 1) -> Index:
     rng = np.random.default_rng(seed)
-    cells = kmeans(x, max(1, min(n_cells, len(x) // 8)), rng)
-    return Index(cells, train_books(x[:16384], books, size, rounds, beam, rng), probes_needed(x, cells, k, metric, coverage))
+    length = norms(x)
+    tall = max(1.5 * float(np.median(length)), float(np.quantile(length, 1 - min(0.02, TALL / n))))
+    index = Index(metric, float(length.max()) or 1.0, np.zeros(x.shape[1]), tall, np.zeros((0, 0)), np.zeros((0, 0, 0)))
+    index.mean = (x / index.scales(x)[:, None]).mean(axis=0)
+    reduced = index.reduced(x, index.scales(x))
+    index.cells = kmeans(reduced, max(1, min(n_cells, len(x) // 8)), rng)
+    index.words = train_books(reduced[:16384], books, size, rounds, beam, rng)
+    measure(index, x, q, own, k, coverage, sure, beam)
+    return index
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -158,56 +225,73 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def coded_vectors(distinct: DataFrame, shared, beam: int) -> DataFrame:
-    """distinct with codes, norm, scale and cell."""
+    """distinct with codes, their error, norm (squared, of the reduced vector), scale and cell."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                x = matrix(part.column("v")).astype(np.float32)
-                codes = beam_encode(x, index.words, beam)
-                near = decoded(codes, index.words)
-                norm = np.einsum("nd,nd->n", near, near)
-                scale = np.sqrt(np.einsum("nd,nd->n", x, x) / np.maximum(norm, 1e-20))
+                x = matrix(part.column("v"))
+                scales = index.scales(x)
+                reduced = index.reduced(x, scales)
+                codes = beam_encode(reduced, index.words, beam)
+                error = np.sqrt(((reduced - decoded(codes, index.words)).astype(np.float64) ** 2).sum(axis=1))
+                norm = (reduced.astype(np.float64) ** 2).sum(axis=1)
                 raw = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, raw, pa.array(norm), pa.array(scale), pa.array(nearest(x, index.cells).astype(np.int32))], [*part.schema.names, "codes", "norm", "scale", "cell"])
+                cell = index.cell_of(reduced, scales).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, raw, pa.array(error), pa.array(norm), pa.array(scales), pa.array(cell)], [*part.schema.names, "codes", "error", "norm", "scale", "cell"])
 
     schema = ", ".join(f"{c} {t}" for c, t in distinct.dtypes)
-    return distinct.mapInArrow(encode, f"{schema}, codes binary, norm float, scale float, cell int")
+    return distinct.mapInArrow(encode, f"{schema}, codes binary, error double, norm double, scale double, cell int")
 
 
 def scanner(shared, k: int, shortlist: int, metric: str):
-    """The k + 1 best of a group of codes for each of a group's queries: lookups, shortlist, rerank."""
+    """The k + 1 best of a group of codes for each of a group's queries: lookups, shortlist, rerank as far as errors reach."""
+
+    def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.einsum("d,nd->n", q, x) if metric == "ip" else -((q - x) ** 2).sum(axis=1)
 
     def scan(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(codes) or not len(asked):
             return pd.DataFrame({"query": [], "rep": [], "least": [], "score": []})
-        words = shared.value.words
+        index: Index = shared.value
+        words = index.words
         c = np.frombuffer(b"".join(codes["codes"]), np.int16).reshape(len(codes), -1).astype(np.int64)
         rep, least = codes["rep"].to_numpy(object), codes["least"].to_numpy(np.int64)
-        norm, scale = codes["norm"].to_numpy(np.float32), codes["scale"].to_numpy(np.float32)
+        error, norm, scale = (codes[name].to_numpy(np.float64) for name in ("error", "norm", "scale"))
         v, want, keep, out = np.stack(codes["v"].to_numpy()), min(shortlist, len(rep)), min(k + 1, len(rep)), []
         for a in range(0, len(asked), 64):
             part = asked.iloc[a : a + 64]
-            q = np.stack(part["q"].to_numpy())
-            lookup = np.einsum("nd,mkd->mnk", q.astype(np.float32), words, optimize=True)
-            near = np.zeros((len(q), len(rep)), np.float32)
+            q = np.stack(part["q"].to_numpy()).astype(np.float64)
+            lookup = np.einsum("nd,mkd->mnk", index.asked(q), words, optimize=True)
+            inner = np.zeros((len(q), len(rep)), np.float32)
             for j in range(len(words)):
-                near += np.take(lookup[j], c[:, j], axis=1)
-            near = near * scale if metric == "ip" else 2 * near - norm
+                inner += np.take(lookup[j], c[:, j], axis=1)
+            near = index.estimates(inner, q, norm, scale)
             short = np.argpartition(-near, want - 1, axis=1)[:, :want]
-            chosen = v[short].astype(np.float64)
-            exact = np.einsum("nd,nsd->ns", q.astype(np.float64), chosen) if metric == "ip" else -((q[:, None, :].astype(np.float64) - chosen) ** 2).sum(axis=2)
-            best = np.lexsort((least[short], -exact), axis=1)[:, :keep]
-            at = np.take_along_axis(short, best, 1)
-            out.append(pd.DataFrame({"query": np.repeat(part["rep"].to_numpy(object), keep), "rep": rep[at].ravel(), "least": least[at].ravel(), "score": np.take_along_axis(exact, best, 1).ravel()}))
-        return pd.concat(out)
+            first = np.stack([exact(q[i], v[short[i]].astype(np.float64)) for i in range(len(q))])
+            least_kept = -np.partition(-first, keep - 1, axis=1)[:, keep - 1 : keep]
+            near += index.factor * index.slack(q, error, scale)
+            further = near >= index.comparable(least_kept, q)
+            np.put_along_axis(further, short, True, 1)
+            dense = exact_scores(q, v.astype(np.float64), metric) if further.mean() > 0.1 else None
+            for i in range(len(q)):
+                at = np.flatnonzero(further[i])
+                if dense is not None:  # all are scored at once: those that can't be among the best, rounding apart, go
+                    rough = dense[i, at]
+                    last, size = -np.partition(-rough, keep - 1)[keep - 1], np.abs(rough).max()
+                    at = at[rough >= last - 1e-9 * size]
+                score = exact(q[i], v[at].astype(np.float64))
+                best = np.lexsort((least[at], -score))[:keep]
+                out.append((part["rep"].iloc[i], at[best], score[best]))
+        at = np.concatenate([x for _, x, _ in out])
+        return pd.DataFrame({"query": np.repeat(np.array([x for x, _, _ in out], object), keep), "rep": rep[at], "least": least[at], "score": np.concatenate([x for _, _, x in out])})
 
     return scan
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 16, size: int = 256, beam: int = 4, shortlist: int = 100, coverage: float = 0.98, least_cells: int = 32, most_cells: int = 4096, fragment: int | None = None, query_block: int = 4096, metric: str = "ip") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", books: int = 16, size: int = 256, beam: int = 4, shortlist: int = 100, coverage: float = 0.98, sure: float = 0.99, least_cells: int = 32, most_cells: int = 4096, fragment: int | None = None, query_block: int = 4096, metric: str = "ip") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by exact score of the shortlists.
 
     is_query: condition on vec_id. metric: "ip" (largest inner product) or "l2" (smallest
@@ -216,17 +300,22 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors, id_col, vector_col).withColumn("asked", F.coalesce(is_query(F.col("vec_id")), F.lit(False)))
-    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    n, many, asks, dim = rows.agg(F.count("*"), F.approx_count_distinct("rep"), F.approx_count_distinct(F.when(F.col("asked"), F.col("rep"))), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     fragment = fragment or max(1, FRAGMENT_BYTES // (4 * dim))
     n_cells = min(most_cells, max(least_cells, round(2 * n / fragment)))
-    sample = rows.filter(hash_share(F.col("rep"), n, max(16384, 16 * n_cells), "sample")).select("rep", "v").dropDuplicates(["rep"]).orderBy("rep")
-    x = matrix(sample.select("v").toArrow().column("v")).astype(np.float32) if n else np.zeros((0, 1))
+    picked = lambda df, rows_, wanted, seed: df.filter(hash_share(F.col("rep"), rows_, wanted, seed)).select("rep", "v").dropDuplicates(["rep"]).orderBy("rep").toArrow()
+    sample = picked(rows, many, max(16384, 16 * n_cells), "sample")
+    x = matrix(sample.column("v")) if n else np.zeros((0, 1))
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = train(x, n_cells, books, size, k, metric, coverage)
-    held = np.zeros(len(index.cells), np.int64)
+    queries = picked(rows.filter("asked"), asks, 256, "queries")
+    queries = (queries if queries.num_rows else sample).slice(0, 512)
+    row_of = {rep: i for i, rep in enumerate(sample.column("rep").to_pylist())}
+    own = np.array([row_of.get(rep, -1) for rep in queries.column("rep").to_pylist()])
+    index = train(x, matrix(queries.column("v")), own, n, n_cells, books, size, k, metric, coverage, sure)
+    held = np.zeros(len(index.cells) + 1, np.int64)
     shared = spark.sparkContext.broadcast(index)
-    del x, index
+    del x, index, sample, queries, row_of
 
     few = rows.withColumn("r", F.row_number().over(W.partitionBy("rep", "asked").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
@@ -242,9 +331,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                order = cell_order(matrix(part.column("q")).astype(np.float32), index.cells, metric)
+                order = cell_order(index.asked(matrix(part.column("q"))), index.cells, metric)
+                order = np.concatenate([np.full((len(order), 1), order.shape[1]), order], axis=1)  # the tall ones first
                 before = np.cumsum(held[order], axis=1) - held[order]
-                row, at = np.nonzero((np.arange(order.shape[1]) < index.probes) | (before < k + 1))
+                row, at = np.nonzero(((np.arange(order.shape[1]) <= index.probes) | (before < k + 1)) & (held[order] > 0))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("q").take(take), pa.array(order[row, at].astype(np.int32))], ["rep", "q", "cell"])
 
@@ -255,7 +345,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     deals = F.broadcast(parts.join(blocks, "cell"))  # a row for each cell: most_cells at most
     deal = lambda many: F.pmod(F.xxhash64("rep", F.lit("deal")), F.col(many)).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    left = coded.join(deals, "cell").select("cell", deal("fragments").alias("f"), every("blocks").alias("b"), "rep", "least", "v", "codes", "norm", "scale")
+    left = coded.join(deals, "cell").select("cell", deal("fragments").alias("f"), every("blocks").alias("b"), "rep", "least", "v", "codes", "error", "norm", "scale")
     right = probed.join(deals, "cell").select("cell", every("fragments").alias("f"), deal("blocks").alias("b"), "rep", "q")
     group = ["cell", "f", "b"]
     listed = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(scanner(shared, k, shortlist, metric), "query string, rep string, least long, score double")
