@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import board as B
 from tidemark.plans.registry import ORACLES, QUERIES
+from tidemark.session import spread
+from tidemark.sources import feeds as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,13 @@ def test_labels_dont_depend_on_the_order_of_sums(spark):
     rows = [(x, x * (1 + e)) for x in means for e in (-4e-16, 0.0, 4e-16)] + [(0.0801, 0.0801), (-0.0401, -0.0401)]
     got = spark.createDataFrame(rows, "x double, y double").select("x", B.sentiment_label(F.col("y")).alias("label")).distinct().collect()
     assert sorted((r["x"], r["label"]) for r in got) == [(-0.18, "Soft"), (-0.0401, "Soft"), (-0.04, "Neutral"), (0.08, "Neutral"), (0.0801, "Positive"), (0.25, "Positive")]
+
+
+def test_feed_texts_are_computed_once(spark):
+    """Titles, links and dates cleaned once each, not once for every mention in the expressions; few full partitions dealt out."""
+    feeds = spark.createDataFrame([(1, "<item><title>A &amp;#65; b &#x42; title</title><link>l</link></item><item><title>t</title></item>")], "response long, value string")
+    items = S.forum_feed_items(feeds)
+    assert [tuple(r) for r in items.collect()] == [(1, 0, "A A b B title", "l", 1.5, "")]
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("CDATA") <= 3
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(9, numPartitions=cores)).rdd.getNumPartitions() == 4 * cores

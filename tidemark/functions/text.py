@@ -92,16 +92,20 @@ def ticker_candidates(df: DataFrame, text: str = "text", key: str = "doc_id") ->
     return rows.groupBy(key, "ticker").agg(F.max("confidence").alias("confidence"))
 
 
-def _decode_references(text: Column, mark: str, digits: str, base: int) -> Column:
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{mark}({digits});"), F.lit(1)))
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _decode_references(text: Column, mark: str, digits: str, base: int) -> Column:
     def decode(done: Column, ref: Column) -> Column:
         code = F.lpad(F.conv(ref, base, 16), 8, "0")
         valid = (F.length(ref) <= 7) & (code > "00000000") & (code <= "0010FFFF") & ~code.between("0000D800", "0000DFFF")
         char = F.decode(F.unhex(F.when(valid, code).otherwise("0000FFFD")), "UTF-32")
         return F.when(valid, F.replace(done, F.concat(F.lit(mark), ref, F.lit(";")), char)).otherwise(done)
 
-    return F.when(F.size(refs) > 0, F.aggregate(refs, text, decode)).otherwise(text)
+    refs = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"{mark}({digits});"), F.lit(1)))
+    return once(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.aggregate(refs(t), t, decode)).otherwise(t))
 
 
 def clean_markup(text: Column) -> Column:

@@ -9,6 +9,7 @@ from tidemark.functions import vocabulary as V
 from tidemark.plans import bindings as D
 from tidemark.plans.news import COMMON, HEAD, quoted
 from tidemark.plans.queries import LEDGER, RE, query, r6
+from tidemark.session import spread
 from tidemark.sources import feeds as S
 
 HALF = lambda x: f"floor({x} + 0.5)::BIGINT"
@@ -46,7 +47,7 @@ def src2_forum_listing(spark, sf_dir):
 
 def feed(spark, sf_dir):
     """A feed for each headline's event, of one RSS item and one Atom entry."""
-    h = D.headlines(spark, sf_dir)
+    h = spread(D.headlines(spark, sf_dir))
     rss = F.concat(F.lit("<rss><channel>\n<item>\n<title><![CDATA["), "title", F.lit("]]></title><link>"), "url", F.lit("</link><pubDate>p"), "seq", F.lit("</pubDate></item>"))
     atom = F.concat(F.lit("<entry a='1'><summary>Note &amp; more "), "seq", F.lit("</summary><content>in full</content><link rel='x' href='https://l.example/"), "seq", F.lit("'/><updated>u"), "seq", F.lit("</updated></entry></channel></rss>"))
     return h.select(F.col("seq").alias("response"), F.concat(rss, atom).alias("value"), "source", "ticker")

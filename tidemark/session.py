@@ -38,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out evenly where its files give fewer partitions than there are cores: for work that costs more than a shuffle of its input."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df, dealt out evenly where its files give fewer than four partitions a core: for work that costs more than a shuffle of its input.
+
+    Files of few row groups give partitions without rows, so as many partitions as cores can still be one full one.
+    """
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:

@@ -209,13 +209,16 @@ def feed_items(responses: DataFrame, weight: float = 2.0, content: bool = False,
     blocks = F.regexp_extract_all("value", F.lit(r"(?is)<(item|entry)(?![A-Za-z0-9_]).*?</\1>"), F.lit(0))
     rows = responses.select("response", F.posexplode(blocks).alias("seq", "x"))
 
-    def first(*found: Column) -> Column:
-        return T.clean_markup(F.coalesce(*(F.nullif(f, F.lit("")) for f in found), F.lit("")))
+    def some(*found: Column) -> Column:
+        """The first that isn't empty, each computed once and only if it is reached."""
+        return T.once(found[0], lambda f: F.when(f != "", f).otherwise(some(*found[1:]))) if found else F.lit("")
 
+    first = lambda *found: T.clean_markup(some(*found))
     inside = lambda tag: T.text_between(F.col("x"), tag)
     title = first(inside("title"), inside("summary"), *([inside("content")] if content else []))
     url = first(inside("link"), T.attr_between(F.col("x"), "link", "href"), F.col("response").cast("string"))
-    items = rows.select("response", "seq", title.alias("title"), url.alias("url"), F.lit(weight).alias("weight"), first(inside("published"), inside("updated"), inside("pubDate")).alias("published"))
+    item = F.struct(title.alias("title"), url.alias("url"), F.lit(weight).alias("weight"), first(inside("published"), inside("updated"), inside("pubDate")).alias("published"))
+    items = rows.select("response", "seq", F.explode(F.array(item)).alias("i")).select("response", "seq", "i.*")  # exploded: a filter would compute titles again
     return items.filter(F.length("title") > min_title) if min_title else items
 
 
