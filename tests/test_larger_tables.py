@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.operators import board as B
+from tidemark.plans.alerts import calibration_run
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.session import spread
 from tidemark.sources import feeds as S
@@ -35,3 +36,10 @@ def test_feed_texts_are_computed_once(spark):
     assert items._jdf.queryExecution().optimizedPlan().toString().count("CDATA") <= 3
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(9, numPartitions=cores)).rdd.getNumPartitions() == 4 * cores
+
+
+def test_a_calibration_run_computes_its_ledger_once(spark):
+    """The benchmark alone is left to read line items; entries and grades read what has been written."""
+    log, grades = calibration_run(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(log).count("l_orderkey") == 0 and plan(grades).count("l_orderkey") <= 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vocabulary as V
+from tidemark.session import kept
 
 from . import graph as G
 from . import state as S
@@ -72,8 +73,12 @@ def days_in_state(previous: DataFrame, current: DataFrame, date: Column, key: st
 def basket_returns(probes: DataFrame, members: DataFrame, ledger: DataFrame, bench: DataFrame) -> DataFrame:
     """(id, ret): mean member return less the benchmark's between two days of (id, theme, from_date, to_date).
 
-    Closes are the nearest known; null where the benchmark or all members lack one.
+    Closes are the nearest known; null where the benchmark or all members lack one. Only the days
+    that are near to one asked for are read of the ledger.
     """
+    asked = probes.select(F.explode(F.array("from_date", "to_date")).alias("date")).distinct()
+    near_days = asked.select(F.explode(F.sequence(F.date_sub("date", 5), F.date_add("date", 5))).alias("date")).distinct()
+    ledger = ledger.join(F.broadcast(near_days), "date", "left_semi")  # days of the calendar
     ends = lambda d: d.select("id", F.explode(F.array(F.struct(F.lit("from").alias("end"), F.col("from_date").alias("date")), F.struct(F.lit("to").alias("end"), F.col("to_date").alias("date")))).alias("e"), *[c for c in d.columns if c in ("ticker",)]).select("*", "e.*").drop("e")
     pairs = probes.join(members.select("theme", "ticker"), "theme")
     one = pairs.select(F.concat_ws(":", "id", "ticker").alias("probe"), "id", "ticker", "from_date", "to_date")
@@ -96,9 +101,11 @@ def updated_log(log: DataFrame, grades: DataFrame, new: DataFrame, ledger: DataF
     """Log (id, type, ticker, theme, date, base_price) and grades (id, horizon, ret) after a run.
 
     New entries come in by id once. Each horizon that can be reached and has no grade gets one;
-    a null grade stays as it is. Over `keep` entries the oldest fully graded ones go.
+    a null grade stays as it is. Over `keep` entries the oldest fully graded ones go. Entries and given
+    grades are read several times, so they are written to the shared folder first.
     """
-    entries = log.unionByName(new.join(log.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+    entries = kept(log.unionByName(new.join(log.select("id"), "id", "left_anti").dropDuplicates(["id"])), "entries")
+    grades = kept(grades, "grades")
     due = entries.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target", F.date_add("date", F.col("horizon"))).filter(F.col("target") <= today)
     due = due.join(grades.select("id", "horizon"), ["id", "horizon"], "left_anti").withColumn("probe", F.concat_ws("#", "id", "horizon"))
     single = due.filter("ticker IS NOT NULL")

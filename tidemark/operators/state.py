@@ -85,7 +85,7 @@ def nearest_close(probes: DataFrame, ledger: DataFrame, tolerance: int = 5) -> D
     """probes with near_date and near_close: the known close nearest in time, ties to the earlier day; null beyond tolerance.
 
     Time is cut into blocks of 2 * tolerance + 1 days. The distinct days asked for go into their block,
-    closes into the one or two that they can be near to; in a block both are sorted together
+    closes into the one or two that they can be near to; in a block both are sorted together, once,
     and the last and the next close carried along. So what is shuffled doesn't depend on the
     tolerance, and neither many probes of a ticker nor a long history make one large task.
     probes: (id, ticker, date).
@@ -96,8 +96,10 @@ def nearest_close(probes: DataFrame, ledger: DataFrame, tolerance: int = 5) -> D
     asked = probes.select("ticker", "date").distinct().select("ticker", block(day).alias("block"), day.alias("day"), F.lit(None).cast("double").alias("close"), F.lit(True).alias("asked"))
     known = ledger.filter(F.col("close").isNotNull()).select("ticker", F.explode(F.array_distinct(F.array(block(day - tolerance), block(day + tolerance)))).alias("block"), day.alias("day"), F.col("close").cast("double").alias("close"), F.lit(False).alias("asked"))
     here = F.when(~F.col("asked"), F.struct("day", "close"))
-    carried = lambda *order: F.last(here, ignorenulls=True).over(W.partitionBy("ticker", "block").orderBy(*order, "asked").rowsBetween(W.unboundedPreceding, 0))
-    both = known.unionByName(asked).withColumns({"before": carried(F.col("day")), "after": carried(F.col("day").desc())}).filter("asked")
+    order = W.partitionBy("ticker", "block").orderBy("day", "asked")  # at most a few days and a close for each
+    before = F.last(here, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(here, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    both = known.unionByName(asked).withColumns({"before": before, "after": after}).filter("asked")
     far = lambda c: F.abs(F.col(c)["day"] - F.col("day"))
     near = F.when(far("after") < F.coalesce(far("before"), F.lit(tolerance + 1)), F.col("after")).otherwise(F.col("before"))
     hits = both.withColumn("near", near).filter(F.abs(F.col("near")["day"] - F.col("day")) <= tolerance)

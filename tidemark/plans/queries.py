@@ -457,11 +457,15 @@ g AS (SELECT due.id, due.type, horizon, base_price, arg_min(l.close, abs(l.date
 graded AS (SELECT id, type, horizon, near / base_price - 1 AS ret FROM g)"""
 
 
-def releases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ledger = D.ledger(spark, sf_dir)
-    events = R.release_triggers(ledger, **EASY).filter("release").select(
+def release_events(ledger: DataFrame) -> DataFrame:
+    return R.release_triggers(ledger, **EASY).filter("release").select(
         F.concat(F.col("ticker").cast("string"), F.lit("@"), F.col("date").cast("string")).alias("id"), "ticker", "date", F.col("close").alias("base_price"), F.when(F.col("volume") >= 100, "heavy").otherwise("light").alias("type")
     )
+
+
+def releases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ledger = D.ledger(spark, sf_dir)
+    events = release_events(ledger)
     return events, S.grade(events, ledger, F.lit(ledger.agg(F.max("date")).first()[0]))
 
 

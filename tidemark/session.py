@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources import files
+
 _SHIPPED: set[str] = set()
 
 
@@ -46,6 +49,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there: for what several steps of a query read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str, mb: int = 4) -> DataFrame:
+    """df partitioned by keys, a partition for every `mb` MB of the files that it is made from; as it is where that gives no more than a partition a core.
+
+    Spark merges partitions of a shuffle up to a size, and a few large tasks then sort and hash what
+    they hold in memory that grows with the input. A number of partitions that is asked for stays.
+    """
+    spark = df.sparkSession
+    parts = sum(files.size(spark, f) for f in df.inputFiles()) // (mb << 20)
+    return df.repartition(parts, *keys) if parts > spark.sparkContext.defaultParallelism else df
+
+
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
