@@ -78,3 +78,24 @@ def test_listed_tickers_are_registered_and_covered_without_a_mention(spark):
     assert {(r["ticker"], r["why"], r["name"]) for r in got.collect()} == {("AAA", "mentions", "Alpha"), ("KO", "mentions", "Coke"), ("SPY", "major", "A Fund"), ("BA", "major", "Planes")}
     empty, listed = X.with_majors(registry.limit(0))
     assert empty.count() == listed.count() == 46
+
+
+def test_tickers_of_any_length_are_mentioned(spark):
+    """As cashtags and as words, and with no row of a frequent word that nobody seeks behind the first shuffle."""
+    titles = ["$T123456 up", "t123456", "(T12345)", "xt123456", "T123456x", "$t12", "the market", None, ""] + ["the market"] * 50
+    texts = spark.createDataFrame(list(enumerate(titles)), "key long, text string")
+    registry = spark.createDataFrame([("T123456", "Long", []), ("T12345", "Other", []), ("T12", "Short", ["the short"])], "ticker string, name string, aliases array<string>")
+    got = {(r["key"], r["ticker"]) for r in X.matches(texts, registry).collect()}
+    every = {"T12", "T12345", "T123456"}
+    assert got == {(k, t) for k in (0, 1) for t in every} | {(2, "T12"), (2, "T12345"), (4, "T12"), (4, "T12345"), (5, "T12")}
+    held = texts.select("key", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    sought = spark.createDataFrame([("$t12", "T12")], "word string, ticker string")
+    found = X.holding(held, X.word_counts(held), sought)
+    assert [tuple(r) for r in found.collect()] == [("$t12", 5, "T12")] and "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letter_runs(spark):
+    texts = ["$t1234 (ab) a1b2c3 9x x9 abcdef1 é", "", None, "a-b.c d1"]
+    plain_runs = lambda t: {t[i:j] for i in range(len(t)) for j in range(i + 1, min(len(t), i + 5) + 1) if re.fullmatch("[a-z][a-z0-9]*", t[i:j]) and not re.match("[a-z]", t[i - 1 : i]) and not re.match("[a-z]", t[j : j + 1])}
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.letter_runs(F.col("t")).alias("runs")).collect():
+        assert r["runs"] is None if r["t"] is None else set(r["runs"]) == plain_runs(r["t"])

@@ -229,18 +229,13 @@ def _windows(words: Column, n: int) -> Column:
 
 def letter_runs(text: Column, longest: int = 5) -> Column:
     """Distinct strings of up to `longest` letters and digits that no letter touches on either side, a letter first."""
+    starts = F.regexp_extract_all(text, F.lit(f"(?<![a-z])(?=([a-z][a-z0-9]{{0,{longest}}}))"), F.lit(1))  # and a character more, to see what follows
 
-    def of_run(run: Column) -> Column:
-        atoms = F.regexp_extract_all(run, F.lit("[a-z]+|[0-9]"), F.lit(0))
+    def cut(run: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length(run)))
+        return F.transform(F.filter(sizes, lambda n: ~F.substring(run, n + 1, F.lit(1)).rlike("[a-z]")), lambda n: F.substring(run, F.lit(1), n))
 
-        def grown(at: Column, atoms: Column) -> Column:
-            free = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: ~F.coalesce(F.try_element_at(atoms, at + n), F.lit("")).rlike("[a-z]"))
-            return F.transform(free, lambda n: F.array_join(F.slice(atoms, at, n), ""))
-
-        return F.flatten(F.flatten(F.transform(F.array(atoms), lambda a: F.transform(F.sequence(F.lit(1), F.size(a)), lambda at: grown(at, a)))))
-
-    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), of_run))
-    return F.array_distinct(F.filter(found, lambda w: (F.length(w) <= longest) & w.rlike("^[a-z]")))
+    return F.array_distinct(F.flatten(F.transform(starts, cut)))
 
 
 def ngrams(words: Column, sizes: Iterable[int] = (2, 3), stop: Iterable[str] = V.STOP_WORDS) -> Column:
