@@ -3,10 +3,12 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from tidemark.operators import alerts as A
 from tidemark.operators import board as B
+from tidemark.operators import graph as G
 from tidemark.plans.alerts import calibration_run
 from tidemark.plans.registry import ORACLES, QUERIES
-from tidemark.session import spread
+from tidemark.session import dealt, spread
 from tidemark.sources import feeds as S
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,25 @@ def test_a_calibration_run_computes_its_ledger_once(spark):
     log, grades = calibration_run(spark, SF)
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(log).count("l_orderkey") == 0 and plan(grades).count("l_orderkey") <= 1
+
+
+def test_leader_drift_needs_no_communities(spark, monkeypatch):
+    monkeypatch.setattr(G, "communities", None)
+    assert QUERIES["g5_leader_drift"](spark, SF).columns == ["ticker", "was", "now"]
+
+
+def test_partitions_grow_with_the_files(spark):
+    """A number of partitions that is asked for is not merged; small input stays as it is."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_orderkey", "l_suppkey")
+    assert dealt(rows, "l_orderkey", mb=1).rdd.getNumPartitions() == 10
+    assert dealt(rows, "l_orderkey").rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    assert dealt(rows, "l_orderkey", mb=1).distinct().rdd.getNumPartitions() == 10
+
+
+def test_followers_of_all_tickers(spark):
+    """Without tickers asked for, of those in an industry and those in an edge alone; the same rows as when all are asked for."""
+    industries = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "ticker long, sub long")
+    edges = spark.createDataFrame([(1, 9, 5), (3, 9, 2)], "src long, dst long, n long")
+    asked = spark.createDataFrame([(1,), (2,), (3,), (9,)], "ticker long")
+    got = {r["ticker"]: r["followers"] for r in A.followers(None, industries, edges).collect()}
+    assert got == {1: [2, 9], 2: [1], 3: [9], 9: [1, 3]} == {r["ticker"]: r["followers"] for r in A.followers(asked, industries, edges).collect()}

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import dealt, shared_dir
 
 
 def pairs(mentions: DataFrame, item: str = "url", ticker: str = "ticker", exclude: DataFrame | None = None) -> DataFrame:
     """Edges: number of items that name both tickers. An item's tickers are distinct, so its pairs are bounded by the registry."""
-    rows = mentions.select(F.col(item).alias("item"), F.col(ticker).alias("ticker")).distinct()
+    rows = dealt(mentions.select(F.col(item).alias("item"), F.col(ticker).alias("ticker")), "item").distinct()
     if exclude is not None:
         rows = rows.join(exclude, "ticker", "left_anti")
-    return rows.withColumnRenamed("ticker", "src").join(rows.withColumnRenamed("ticker", "dst"), "item").filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    both = rows.withColumnRenamed("ticker", "src").join(rows.withColumnRenamed("ticker", "dst"), "item").filter("src < dst")
+    return dealt(both.select("src", "dst"), "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def trailing(weeks: DataFrame, keep: int = 13) -> DataFrame:
@@ -29,9 +30,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
 
 
-def top_neighbors(edges: DataFrame, k: int = 8) -> DataFrame:
-    """(ticker, neighbor, n, rank): heaviest neighbours of every ticker, ties to the smaller."""
-    ranked = both_ways(edges).withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst")))
+def top_neighbors(edges: DataFrame, k: int = 8, of: DataFrame | None = None) -> DataFrame:
+    """(ticker, neighbor, n, rank): heaviest neighbours of every ticker, or of those in `of` (ticker), ties to the smaller."""
+    ways = both_ways(edges)
+    ways = ways if of is None else ways.join(of.select(F.col("ticker").alias("src")).distinct(), "src", "left_semi")
+    ranked = ways.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("n"), "dst")))
     return ranked.filter(F.col("rank") <= k).select(F.col("src").alias("ticker"), F.col("dst").alias("neighbor"), "n", "rank")
 
 
@@ -109,14 +112,28 @@ def co_mention(history: DataFrame, pairs: DataFrame, week: str, leaders: DataFra
     more. Drift is (ticker, was, now) of leaders whose ordered neighbours have changed;
     previous: (ticker, neighbors).
     """
-    whole = history.select("week", "src", "dst", "n").unionByName(pairs.select(F.lit(week).alias("week"), "src", "dst", "n"))
-    newest = whole.select("week").distinct().orderBy(F.desc("week")).limit(keep)
-    after = whole.join(F.broadcast(newest), "week").groupBy("week", "src", "dst").agg(F.sum("n").alias("n"))  # keep rows
+    after = _joined(history, pairs, week, keep)
     edges = trailing(after, keep)
     found = communities(edges)
     fit = modularity(edges, found).filter(F.col("q") >= min_q)
     large = found.groupBy("community").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    kept = found.join(large.select("community"), "community", "left_semi").join(F.broadcast(fit.select(F.lit(True).alias("fit"))), F.lit(True)).select("ticker", "community")  # one row or none
-    near = top_neighbors(edges).join(leaders.select("ticker"), "ticker", "left_semi").groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor"))), lambda x: x["neighbor"]).alias("now"))
+    inside = found.join(large.select("community"), "community", "left_semi").join(F.broadcast(fit.select(F.lit(True).alias("fit"))), F.lit(True)).select("ticker", "community")  # one row or none
+    return after, inside, _drift(edges, leaders, previous)
+
+
+def leader_drift(history: DataFrame, pairs: DataFrame, week: str, leaders: DataFrame, previous: DataFrame, keep: int = 13) -> DataFrame:
+    """The drift of `co_mention` alone: it doesn't depend on the communities, which take many rounds."""
+    return _drift(trailing(_joined(history, pairs, week, keep), keep), leaders, previous)
+
+
+def _joined(history: DataFrame, pairs: DataFrame, week: str, keep: int) -> DataFrame:
+    """The newest `keep` weeks (week, src, dst, n) of a history and the pairs of a week."""
+    whole = history.select("week", "src", "dst", "n").unionByName(pairs.select(F.lit(week).alias("week"), "src", "dst", "n"))
+    newest = whole.select("week").distinct().orderBy(F.desc("week")).limit(keep)
+    return whole.join(F.broadcast(newest), "week").groupBy("week", "src", "dst").agg(F.sum("n").alias("n"))  # keep rows
+
+
+def _drift(edges: DataFrame, leaders: DataFrame, previous: DataFrame) -> DataFrame:
+    near = top_neighbors(edges, of=leaders).groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor"))), lambda x: x["neighbor"]).alias("now"))
     drift = near.join(previous.select("ticker", F.col("neighbors").alias("was")), "ticker").filter(~F.col("now").eqNullSafe(F.col("was")))
-    return after, kept, drift.select("ticker", "was", "now")
+    return drift.select("ticker", "was", "now")
