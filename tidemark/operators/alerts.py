@@ -148,8 +148,8 @@ def pending(log: DataFrame, grades: DataFrame, horizons: int = len(S.HORIZONS))
 def protected(members: DataFrame, springs: DataFrame, leaders: DataFrame, open_entries: DataFrame) -> DataFrame:
     """Tickers never pruned: theme members, live coils, leaders with their followers, entries not fully graded."""
     live = springs.filter(F.col("state").isin("coiled", "released")).select("ticker")
-    followers = leaders.select(F.explode("followers").alias("ticker"))
-    tickers = members.select("ticker").union(live).union(leaders.select("ticker")).union(followers).union(open_entries.filter("ticker IS NOT NULL").select("ticker"))
+    led = F.concat(F.array("ticker"), F.coalesce("followers", F.array().cast(dict(leaders.dtypes)["followers"])))
+    tickers = members.select("ticker").union(live).union(leaders.select(F.explode(led).alias("ticker"))).union(open_entries.filter("ticker IS NOT NULL").select("ticker"))
     return tickers.distinct()
 
 
@@ -160,14 +160,15 @@ def proof_headlines(days: DataFrame, headlines: DataFrame) -> DataFrame:
     return days.join(first, "ticker")
 
 
-def followers(tickers: DataFrame, industries: DataFrame, edges: DataFrame, siblings: int = 15, neighbors: int = 8) -> DataFrame:
-    """(ticker, followers) of tickers: the first others of the industry by ticker, and the heaviest co-mentions."""
+def followers(tickers: DataFrame | None, industries: DataFrame, edges: DataFrame, siblings: int = 15, neighbors: int = 8) -> DataFrame:
+    """(ticker, followers) of tickers, or of all where none are given: the first others of the industry by ticker, and the heaviest co-mentions."""
     others = industries.select("sub", F.col("ticker").alias("other"))
     first = others.withColumn("n", F.row_number().over(W.partitionBy("sub").orderBy("other"))).filter(F.col("n") <= siblings + 1)  # the ticker itself, if among them, is left out
-    near = tickers.select("ticker").join(industries.select("ticker", "sub"), "ticker").join(first, "sub").filter("ticker <> other")
+    own = industries.select("ticker", "sub")
+    near = (own if tickers is None else tickers.select("ticker").join(own, "ticker")).join(first, "sub").filter("ticker <> other")
     near = near.withColumn("n", F.row_number().over(W.partitionBy("ticker").orderBy("other"))).filter(F.col("n") <= siblings).select("ticker", "other")
-    linked = G.top_neighbors(edges, neighbors).select("ticker", F.col("neighbor").alias("other"))
-    return near.unionByName(linked.join(tickers.select("ticker"), "ticker", "left_semi")).groupBy("ticker").agg(F.array_sort(F.collect_set("other")).alias("followers"))
+    linked = G.top_neighbors(edges, neighbors, tickers).select("ticker", F.col("neighbor").alias("other"))
+    return near.unionByName(linked).groupBy("ticker").agg(F.array_sort(F.collect_set("other")).alias("followers"))
 
 
 def leaders(active: DataFrame, triggers: DataFrame, industries: DataFrame, edges: DataFrame, date: Column, ttl: int = 182, siblings: int = 15, neighbors: int = 8) -> DataFrame:

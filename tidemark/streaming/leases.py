@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidemark.operators import alerts as A
+from tidemark.session import kept
 
 _EPOCH = dt.date(1970, 1, 1)
 _DAY_MS = 86_400_000
@@ -98,8 +99,7 @@ def leaders(triggers: DataFrame, industries: DataFrame, edges: DataFrame, days:
     rest. The leaders of a day are those granted and not yet expired.
     """
     found = leases(triggers, days, payload="headline", late=late)
-    known = industries.select("ticker").unionByName(edges.select(F.col("src").alias("ticker"))).unionByName(edges.select(F.col("dst").alias("ticker"))).distinct()
-    who = A.followers(known, industries, edges)
+    who = kept(A.followers(None, industries, edges), "followers")  # each batch reads it again
     rows = found.join(who, "ticker", "left")
     return rows.select("ticker", "event", F.col("start").alias("detected"), F.col("end").alias("expires"), F.col("payload").alias("headline"), F.coalesce("followers", F.array().cast(dict(who.dtypes)["followers"])).alias("followers"))
 
