@@ -1,11 +1,14 @@
 """Faults that showed on larger tables, on small ones made to show them."""
 
+import datetime as dt
+
 import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts as A
 from tidemark.operators import board as B
 from tidemark.operators import graph as G
+from tidemark.operators import ledger as L
 from tidemark.plans.alerts import calibration_run
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.session import dealt, spread
@@ -67,3 +70,11 @@ def test_followers_of_all_tickers(spark):
     asked = spark.createDataFrame([(1,), (2,), (3,), (9,)], "ticker long")
     got = {r["ticker"]: r["followers"] for r in A.followers(None, industries, edges).collect()}
     assert got == {1: [2, 9], 2: [1], 3: [9], 9: [1, 3]} == {r["ticker"]: r["followers"] for r in A.followers(asked, industries, edges).collect()}
+
+
+def test_upserts_of_large_ledgers_keep_their_partitions(spark, monkeypatch):
+    """Each step that sorts or hashes the ledger asks for its partitions."""
+    asked = []
+    monkeypatch.setattr(L, "dealt", lambda df, *keys: asked.append(keys) or df)
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1, 1.0, 1.0, 1.0)], "ticker long, date date, mentions long, close double, volume double, wiki double")
+    assert L.upsert(rows, rows).count() == 1 and asked == [("ticker",)] * 3

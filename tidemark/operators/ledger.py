@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.session import dealt
 
 NUMBERS = ("mentions", "close", "volume", "wiki")
 
@@ -41,7 +42,8 @@ def upsert(ledger: DataFrame, batch: DataFrame, keep: int = 400, merge: bool = F
     keys = ["ticker", "date"]
     new = batch.select(*keys, *(F.col(c).alias(f"new_{c}") for c in NUMBERS), F.lit(True).alias("new"))
     value = lambda c: F.coalesce(f"new_{c}", c) if merge else F.when(F.col("new"), F.col(f"new_{c}")).otherwise(F.col(c))
-    return newest(ledger.join(new, keys, "full_outer").select(*keys, *(value(c).alias(c) for c in NUMBERS)), keep)
+    merged = dealt(ledger, "ticker").join(dealt(new, "ticker"), keys, "full_outer").select(*keys, *(value(c).alias(c) for c in NUMBERS))
+    return newest(dealt(merged, "ticker"), keep)
 
 
 def merge_backfill(ledger: DataFrame, late: DataFrame, keep: int = 400) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.operators import ledger as L
 from tidemark.plans import bindings as D
 from tidemark.plans.alerts import ALERTS, LEADERS, NEWS19, day, edges, proof_quarters, run_alerts
 from tidemark.plans.queries import ORACLES, query
-from tidemark.session import shared_dir
+from tidemark.session import dealt, shared_dir
 from tidemark.sources import deltas, landed
 from tidemark.streaming import folds, leases, outbox
 
@@ -44,7 +44,7 @@ def st1_delta_ledger(spark, sf_dir):
     deltas.upsert(batch.withColumn("mentions", F.lit(0).cast("long")), at, folds.LEDGER_KEYS, "run", 1)
     deltas.compact(spark, at, ledger.schema, folds.LEDGER_KEYS, 1, lambda rows: L.newest(rows, 400))
     deltas.vacuum(spark, at, 1)
-    return L.newest(deltas.read(spark, at, ledger.schema, folds.LEDGER_KEYS), 400)
+    return L.newest(dealt(deltas.read(spark, at, ledger.schema, folds.LEDGER_KEYS), "ticker"), 400)
 
 
 def _flaky(event):

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
+from tidemark.session import dealt
+
 from . import files
 
 DELETED = "__deleted"
@@ -74,7 +76,7 @@ def upsert(batch: DataFrame, path: str, keys: Sequence[str], writer: str = "", n
     if order is not None:
         rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("r")).select(*keys, *(F.col("r")[c].alias(c) for c in values))
     else:
-        rows = batch.dropDuplicates(list(keys))
+        rows = dealt(batch, *keys).dropDuplicates(list(keys))
     version = now.version + 1
     segment, touched = _write(rows.withColumn(DELETED, F.lit(deletes)), path, version, keys[0], now.buckets)
     segments = now.segments | {b: (*now.segments.get(b, ()), segment) for b in touched}
@@ -103,7 +105,7 @@ def read(spark: SparkSession, path: str, schema: str | StructType, keys: Sequenc
         parts.append(rows(alone).drop("segment", "bucket"))
     if several := {b: s for b, s in live.items() if len(s) > 1}:
         values = [c for c in schema.names if c not in keys] + [DELETED]
-        newest = rows(several).groupBy(*keys).agg(F.max_by(F.struct(*values), "segment").alias("r"))
+        newest = dealt(rows(several), *keys).groupBy(*keys).agg(F.max_by(F.struct(*values), "segment").alias("r"))
         parts.append(newest.select(*keys, *(F.col("r")[c].alias(c) for c in values)))
     whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return whole.filter(~F.col(DELETED)).select(*schema.names)
