@@ -3,12 +3,15 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts as A
 from tidemark.operators import board as B
 from tidemark.operators import graph as G
 from tidemark.operators import ledger as L
+from tidemark.operators import rolling as R
 from tidemark.plans.alerts import calibration_run
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.session import dealt, spread
@@ -78,3 +81,43 @@ def test_upserts_of_large_ledgers_keep_their_partitions(spark, monkeypatch):
     monkeypatch.setattr(L, "dealt", lambda df, *keys: asked.append(keys) or df)
     rows = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1, 1.0, 1.0, 1.0)], "ticker long, date date, mentions long, close double, volume double, wiki double")
     assert L.upsert(rows, rows).count() == 1 and asked == [("ticker",)] * 3
+
+
+def test_rolling_statistics_take_many_tickers_a_call(spark, tmp_path):
+    """The same values as a ticker at a time, with unknown values, tickers of one day and rows without a ticker."""
+    rng = np.random.default_rng(5)
+    sizes = {None: 70, **{2**60 + t: int(rng.choice([1, 2, 59, 60, 61, 130, 330])) for t in range(40)}}
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(i)) for t, n in sizes.items() for i in range(n)]
+    numbers = np.round(rng.normal(100, 30, (len(rows), 3)), 1)
+    numbers[rng.random(numbers.shape) < 0.02] = np.nan
+    spark.createDataFrame([(*r, *map(float, x)) for r, x in zip(rows, numbers)], "ticker long, date date, close double, volume double, wiki double").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    calls = R.per_ticker(df, "rows int", lambda d, first: {"rows": len(d)}).select("ticker", "rows").distinct().collect()
+    assert {(r["ticker"] is None, r["rows"]) for r in calls} == {(True, 70), (False, len(rows) - 70)} and {r["ticker"] for r in calls} == set(sizes)
+
+    got = R.trailing_median(R.compression(df), "wiki", 100).withColumn("ticker", F.col("ticker").cast("string")).toPandas().sort_values("date")
+    for _, d in got.groupby("ticker", dropna=False):
+        closes = d["close"].rolling(60)
+        spread = (closes.max() - closes.min()) / closes.max()
+        ranks = spread.rolling(252, min_periods=1)
+        wanted = {"range": spread, "percentile": (100 * ranks.rank(method="max") / ranks.count()).where(spread.notna()), "median": d["wiki"].rolling(100, min_periods=1).median()}
+        for c, x in wanted.items():
+            pd.testing.assert_series_equal(d[c], x, check_names=False, rtol=1e-12)
+
+
+def test_regimes_hand_on_days_that_tell_and_the_same_releases(spark, tmp_path):
+    """Releases by the windows of release_triggers; qualifying days and each ticker's last one, numbered within the ticker."""
+    rng = np.random.default_rng(6)
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(i), float(x), float(v), float(w)) for t in range(30) for i, (x, v, w) in enumerate(rng.lognormal(3, 0.3, (250, 3)))]
+    rows = [(t, d, None if t < 10 and i % 41 == 0 else x, float("nan") if i % 37 == 0 else v, w) for i, (t, d, x, v, w) in enumerate(rows)]
+    spark.createDataFrame(rows, "ticker long, date date, close double, volume double, wiki double").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    days = R.regime_days(df, "wiki", 0.2, 50.0).collect()
+    wanted = {(r["ticker"], r["date"]) for r in R.release_triggers(df).filter("release").collect()}
+    assert {(r["ticker"], r["date"]) for r in days if r["release"]} == wanted and len(wanted) > 5
+    assert {r["ticker"] for r in days if r["idx"] == 250} == set(range(30)) and max(r["idx"] for r in days) == 250
+    for t in range(30):
+        hits = sorted((r["idx"], r["run"]) for r in days if r["ticker"] == t and r["qualifies"])
+        new = [i for i in range(len(hits)) if i == 0 or hits[i][0] - hits[i - 1][0] > 11]
+        assert [run for _, run in hits] == [sum(j <= i for j in new) for i in range(len(hits))]
+    assert len(days) < df.count() / 2 and any(r["qualifies"] for r in days)

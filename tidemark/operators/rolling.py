@@ -2,22 +2,29 @@
 
 The ledger is aggregated to a row for each ticker and day, so a window partition holds the
 days of one ticker and stays small however many events a ticker has. Trailing medians and
-ranks of long windows run through pandas a ticker at a time, in time that grows with the
-logarithm of the window: Spark's own frames count a window anew for every row.
+ranks of long windows run through pandas, in time that grows with the logarithm of the window:
+Spark's own frames count a window anew for every row. A call takes the tickers of one bucket,
+as calls cost more than the days of one ticker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import dealt, file_bytes
+
 from .ledger import finite
 
+#: Bytes of files for a bucket of tickers: about 10,000 ledger rows.
+BUCKET_BYTES = 128 << 10
+
 
 def by_date() -> WindowSpec:
     return W.partitionBy("ticker").orderBy("date")
@@ -33,16 +40,50 @@ def prior(rows: int) -> WindowSpec:
     return by_date().rowsBetween(-rows, -1)
 
 
-def per_ticker(df: DataFrame, added: str, compute: Callable[[pd.DataFrame], dict]) -> DataFrame:
-    """df with columns that `compute` makes from the rows of one ticker in order of date."""
+def bucketed(df: DataFrame) -> DataFrame:
+    """df with _bucket, partitioned by it: some tickers each, as many buckets as the files behind df ask for; one a ticker where there are none.
+
+    Rows without a ticker have a bucket of their own, so that the others' stay whole numbers in pandas.
+    """
+    of_ticker, size = F.xxhash64("ticker"), file_bytes(df)
+    bucket = F.pmod(of_ticker, F.lit(size // BUCKET_BYTES + 1)) if size else of_ticker
+    return dealt(df.withColumn("_bucket", F.when(F.col("ticker").isNotNull(), bucket).otherwise(F.lit(-1))).repartition("_bucket"), "_bucket")
+
+
+def per_ticker(df: DataFrame, added: str, compute: Callable[[pd.DataFrame, np.ndarray], dict], kept: Sequence[str] | None = None, told: str = "") -> DataFrame:
+    """df with columns that `compute` makes from the rows of some tickers, each in order of date, and the place of each row's ticker's first row.
+
+    kept: columns of df to return, else all. told: a boolean column added, whose rows alone are
+    returned. Dates go as day numbers: pandas would make an object of each.
+    """
 
     def step(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("date")
-        return days.assign(**compute(days))
+        days = days.sort_values(["ticker", "date"], ignore_index=True)
+        codes = pd.factorize(days["ticker"], use_na_sentinel=False)[0]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        made = compute(days, np.repeat(starts, np.diff(starts, append=len(days))))
+        done = days[[c for c, _ in returned]].assign(**made)
+        return done[done[told]] if told else done
 
     names = [part.split()[0] for part in added.split(", ")]
-    kept = [(c, t) for c, t in df.dtypes if c not in names]
-    return df.select(*(c for c, _ in kept)).groupBy("ticker").applyInPandas(step, ", ".join(f"{c} {t}" for c, t in kept) + ", " + added)
+    sent = [(c, t) for c, t in df.dtypes if c not in names]
+    returned = [(c, t) for c, t in sent if kept is None or c in kept]
+    dates = [c for c, t in sent if t == "date"]
+    rows = bucketed(df).select("_bucket", *(F.unix_date(c).alias(c) if c in dates else F.col(c) for c, _ in sent))
+    done = rows.groupBy("_bucket").applyInPandas(step, ", ".join(f"{c} {'int' if c in dates else t}" for c, t in returned) + ", " + added)
+    return done.withColumns({c: F.date_from_unix_date(c) for c, _ in returned if c in dates})
+
+
+class Trailing(BaseIndexer):
+    """The current row and those before it, window_size in all, from `first`, the first row of its ticker, on."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        ends = np.arange(1, num_values + 1)
+        return np.maximum(ends - self.window_size, self.first), ends
+
+
+def rolling(x: pd.Series, first: np.ndarray, window: int, least: int = 1):
+    return x.rolling(Trailing(window_size=window, first=first), min_periods=least)
 
 
 def known(x: pd.Series) -> pd.Series:
@@ -51,7 +92,7 @@ def known(x: pd.Series) -> pd.Series:
 
 
 def trailing_median(df: DataFrame, column: str, window: int = 252, out: str = "median") -> DataFrame:
-    return per_ticker(df, f"{out} double", lambda d: {out: known(d[column]).rolling(window, min_periods=1).median()})
+    return per_ticker(df, f"{out} double", lambda d, first: {out: rolling(known(d[column]), first, window).median()})
 
 
 def percentile_rank(value: Column, series: Column) -> Column:
@@ -72,34 +113,43 @@ def persistence(df: DataFrame, window: int = 60) -> DataFrame:
 
 def compression(df: DataFrame, window: int = 60, rank_window: int = 252) -> DataFrame:
     """Adds range, the relative spread of full windows of closes, and its trailing percentile."""
-    return per_ticker(df, "range double, percentile double", lambda d: _compressed(d, window, rank_window))
+    return per_ticker(df, "range double, percentile double", lambda d, first: _compressed(d, first, window, rank_window))
 
 
-def _compressed(d: pd.DataFrame, window: int, rank_window: int) -> dict[str, pd.Series]:
-    closes = known(d["close"]).rolling(window)
+def _compressed(d: pd.DataFrame, first: np.ndarray, window: int, rank_window: int) -> dict[str, pd.Series]:
+    closes = rolling(known(d["close"]), first, window, window)
     top = closes.max()
     spread = ((top - closes.min()) / top).where(top > 0)
-    ranks = spread.rolling(rank_window, min_periods=1)
+    ranks = rolling(spread, first, rank_window)
     return {"range": spread, "percentile": (100 * ranks.rank(method="max") / ranks.count()).where(spread.notna())}
 
 
 def regime_days(df: DataFrame, column: str, least_persistence: float, most_percentile: float, gap: int = 10, ratio: float = 1.25, window: int = 60, long_window: int = 252) -> DataFrame:
-    """Adds idx, persistence, percentile, qualifies and run, the number of the regime that a qualifying day belongs to or follows."""
+    """Days that qualify, days of release and the last of each ticker (ticker, date, close, volume, column).
 
-    def compute(d: pd.DataFrame) -> dict:
+    (ticker, date, idx, persistence, percentile, qualifies, release, run, the number of the regime
+    that a day belongs to or follows).
+    """
+
+    def compute(d: pd.DataFrame, first: np.ndarray) -> dict:
         x = known(d[column])
-        median = x.rolling(long_window, min_periods=1).median()
+        median = rolling(x, first, long_window).median()
         hot = ((median > 0) & (x >= median * ratio)).astype(float)
-        persistence = hot.rolling(window, min_periods=1).mean()
-        percentile = _compressed(d, window, long_window)["percentile"]
+        persistence = rolling(hot, first, window).mean()
+        percentile = _compressed(d, first, window, long_window)["percentile"]
         qualifies = ((persistence >= least_persistence) & (percentile <= most_percentile)).to_numpy()
-        idx = np.arange(1, len(d) + 1)
-        hits = idx[qualifies]
+        hits = np.flatnonzero(qualifies)
         new = np.zeros(len(d), np.int64)
-        new[hits - 1] = np.diff(hits, prepend=-gap - 2) > gap + 1
-        return {"idx": idx, "persistence": persistence, "percentile": percentile, "qualifies": qualifies, "run": np.cumsum(new)}
+        new[hits] = (np.diff(hits, prepend=-gap - 2) > gap + 1) | (np.diff(first[hits], prepend=-1) != 0)
+        runs = np.cumsum(new)
+        release, last = _released(d, first), np.diff(first, append=len(d)) != 0
+        return {
+            "idx": np.arange(1, len(d) + 1) - first, "persistence": persistence, "percentile": percentile, "qualifies": qualifies, "release": release,
+            "run": runs - (runs - new)[first], "told": qualifies | release | last,
+        }
 
-    return per_ticker(df, "idx int, persistence double, percentile double, qualifies boolean, run int", compute)
+    added = "idx int, persistence double, percentile double, qualifies boolean, release boolean, run int, told boolean"
+    return per_ticker(df, added, compute, ("ticker", "date"), "told").drop("told")
 
 
 def merge_regimes(df: DataFrame, flag: str = "qualifies", gap: int = 10, min_sessions: int = 15) -> DataFrame:
@@ -122,6 +172,22 @@ def release_triggers(df: DataFrame, window: int = 60, volume_ratio: float = 1.5)
     return df.withColumn("release", F.coalesce(fires, F.lit(False)))
 
 
+def _released(d: pd.DataFrame, first: np.ndarray, window: int = 60, volume_ratio: float = 1.5) -> np.ndarray:
+    """release of release_triggers, by the same sums in the same order."""
+    close, volume = known(d["close"]).to_numpy(), known(d["volume"]).to_numpy()
+    seen, counted = np.isfinite(volume), np.nan_to_num(volume)
+    at = np.flatnonzero(np.arange(len(d)) - first >= window)
+    top, total, n = np.full(len(at), np.nan), np.zeros(len(at)), np.zeros(len(at))
+    for back in range(window, 0, -1):
+        top = np.fmax(top, close[at - back])
+        total += counted[at - back]
+        n += seen[at - back]
+    average = np.divide(total, n, out=np.zeros(len(at)), where=n > 0)
+    fires = np.zeros(len(d), bool)
+    fires[at] = (close[at] > top) & (average > 0) & (volume[at] >= average * volume_ratio)
+    return fires
+
+
 def first_release(df: DataFrame, start: str = "start_idx") -> DataFrame:
     """(ticker, release_idx, release_date): first trigger at or after the row number in `start`; null if none."""
     rows = df.withColumn("idx", F.row_number().over(by_date()))
@@ -234,10 +300,10 @@ def sparkline(df: DataFrame, points: int = 60) -> DataFrame:
 def classify(ledger: DataFrame, least_persistence: float = 0.60, most_percentile: float = 35.0, dead_after: int = 126, column: str = "wiki", min_sessions: int = 15) -> DataFrame:
     """State of each ticker's latest regime, released, coiled or dead, with its dates, and the last day's persistence and percentile.
 
-    Days are numbered by regime in one pass over each ticker; a row for each regime is left to
-    the shuffle.
+    Days are numbered by regime in one pass over each bucket of tickers, which hands on only days
+    that tell a state; a row for each regime is left to the shuffle.
     """
-    days = regime_days(release_triggers(ledger.select(*dict.fromkeys(("ticker", "date", "close", "volume", column)))), column, least_persistence, most_percentile)
+    days = regime_days(ledger.select(*dict.fromkeys(("ticker", "date", "close", "volume", column))), column, least_persistence, most_percentile)
     hit = lambda c: F.when(F.col("qualifies"), F.col(c))
     runs = days.groupBy("ticker", "run").agg(
         F.max(hit("idx")).alias("end_idx"), F.min(hit("date")).alias("regime_start"), F.max(hit("date")).alias("regime_end"), F.min(hit("idx")).alias("start_idx"), F.count_if("qualifies").alias("sessions"),

@@ -56,6 +56,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df is made from."""
+    return sum(files.size(df.sparkSession, f) for f in df.inputFiles())
+
+
 def dealt(df: DataFrame, *keys: str, mb: int = 4) -> DataFrame:
     """df partitioned by keys, a partition for every `mb` MB of the files that it is made from; as it is where that gives no more than a partition a core.
 
@@ -63,7 +68,7 @@ def dealt(df: DataFrame, *keys: str, mb: int = 4) -> DataFrame:
     they hold in memory that grows with the input. A number of partitions that is asked for stays.
     """
     spark = df.sparkSession
-    parts = sum(files.size(spark, f) for f in df.inputFiles()) // (mb << 20)
+    parts = file_bytes(df) // (mb << 20)
     return df.repartition(parts, *keys) if parts > spark.sparkContext.defaultParallelism else df
 
 
