@@ -430,3 +430,18 @@ def test_suffix_tree_scores_are_the_plain_ones_by_broadcast_and_by_joins(spark,
         got = {r["doc_id"]: r["score"] for r in rows}
         # the null text is one that is not trained on, as 500 is divisible by 5
         assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9) and len(got) == len(texts) + 1
+
+
+def test_shared_words_are_counted_for_every_candidate():
+    """Windows at ends of texts, unknown words, repeats in segments and tables of any size."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(-1, 30, 500)
+    segments = [rng.integers(0, 30, n) for n in (1, 7, 16, 3)]
+    first = np.repeat(np.sort(rng.choice(500, 60, False)), 3)
+    stop, segment = np.minimum(first + 24, 500), np.tile([0, 1, 3], 60)
+    segment[::5] = 2
+    wanted = [sum(t in set(ids[a:b].tolist()) for t in segments[s].tolist()) for a, b, s in zip(first, stop, segment)]
+    for most in (1, 100, 1 << 22):
+        assert op9_decontaminate.shared_words(ids, first, stop, segment, op9_decontaminate.padded(segments, 30), 30, most).tolist() == wanted
+    none = np.zeros(0, np.int64)
+    assert len(op9_decontaminate.shared_words(none, none, none, none, op9_decontaminate.padded([], 30), 30)) == 0

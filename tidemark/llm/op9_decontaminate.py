@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from math import ceil
 
 import numpy as np
@@ -55,6 +56,37 @@ def lcs(item: np.ndarray, passage: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def padded(segments: list[np.ndarray], n_terms: int) -> np.ndarray:
+    """Term numbers of the segments, a row each, filled up with n_terms, which no window holds."""
+    out = np.full((len(segments), max(map(len, segments), default=0)), n_terms)
+    for row, s in zip(out, segments):
+        row[: len(s)] = s
+    return out
+
+
+def shared_words(ids: np.ndarray, first: np.ndarray, stop: np.ndarray, segment: np.ndarray, rows: np.ndarray, n_terms: int, most: int = 1 << 22) -> np.ndarray:
+    """How many words of each candidate's segment (a row of `rows`, see padded) are among ids[first:stop]; candidates of one window follow each other.
+
+    By a table of which terms a window holds, of about `most` cells at a time.
+    """
+    window = np.cumsum(np.diff(first, prepend=-1) != 0) - 1
+    starts = np.flatnonzero(np.diff(window, prepend=-1))
+    out = np.zeros(len(first), np.int64)
+    tables, gathered = max(1, most // (n_terms + 1)), max(1, most // (4 * rows.shape[1] + 1))
+    for a in range(0, len(starts), tables):
+        at = starts[a : a + tables]
+        words = first[at, None] + np.arange((stop[at] - first[at]).max())
+        words = np.where(words < stop[at, None], ids[np.minimum(words, len(ids) - 1)], -1)
+        holds = np.zeros((len(at), n_terms + 1), bool)
+        holds[np.arange(len(at))[:, None], words] = True
+        holds[:, n_terms] = False  # where -1 went
+        end = starts[a + tables] if a + tables < len(starts) else len(first)
+        for c in range(at[0], end, gathered):
+            some = slice(c, min(c + gathered, end))
+            out[some] = np.count_nonzero(holds[window[some, None] - a, rows[segment[some]]], axis=1)
+    return out
+
+
 @dataclass
 class Benchmark:
     terms: dict[bytes, int]
@@ -83,7 +115,7 @@ def numbered(raw: list[bytes], terms: dict[bytes, int], block: int) -> tuple[np.
     split = [words_of(t) for t in raw]
     n = np.array([len(s) for s in split], np.int64)
     words = np.concatenate(([0], np.cumsum(n)))
-    ids = np.fromiter((get(w, -1) for s in split for w in s), np.int64, words[-1])
+    ids = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int64, words[-1])
     blocks = np.concatenate(([0], np.cumsum(-(-n // block))))
     place = np.repeat(blocks[:-1], n) + (np.arange(words[-1]) - np.repeat(words[:-1], n)) // block
     return ids, place, words, blocks
@@ -275,8 +307,9 @@ def contaminated_by(rows: DataFrame, bench: Benchmark, block: int = 32, rank_sha
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, (weighted, used, latent) = shared.value, space.value
         segments = bench.segments
-        lists = [s.tolist() for _, s in segments]
+        n_terms, of_segments = len(bench.terms), padded([s for _, s in segments], len(bench.terms))
         least = [loose_lcs if len(a) else min_lcs for a in bench.answers]
+        bars = np.array(least) * [len(s) for _, s in segments]
         for batch in batches:
             for part in text_parts(batch):
                 doc_ids = part.column("doc_id").to_pylist()
@@ -294,21 +327,19 @@ def contaminated_by(rows: DataFrame, bench: Benchmark, block: int = 32, rank_sha
                     window[at] += dots[at + k]
                     length[at] += square[at + k] + 2 * beside[k][at] + (2 * beside[1][at + 1] if k == 2 else 0)
                     np.maximum(cosine, window / np.sqrt(np.maximum(length, 1e-12))[:, None], out=cosine)
-                found, last = [], -1
-                for b, s in zip(*(x.tolist() for x in np.nonzero(cosine >= min_cosine))):
-                    if b != last:
-                        last = b
-                        first = int(words[row[b]]) + (b - int(blocks[row[b]])) * bench.block
-                        passage = ids[first : min(first + 3 * bench.block, int(words[row[b] + 1]))].tolist()
-                        holds = set(passage).__contains__
+                near, of = np.nonzero(cosine >= min_cosine)
+                first = words[row[near]] + (near - blocks[row[near]]) * bench.block
+                stop = np.minimum(first + 3 * bench.block, words[row[near] + 1])
+                likely = shared_words(ids, first, stop, of, of_segments, n_terms) >= bars[of]  # no more positions can be shared than have their word in the window
+                found = []
+                for b, s, start, end in zip(*(x[likely].tolist() for x in (near, of, first, stop))):
                     item, wanted = segments[s]
-                    if sum(map(holds, lists[s])) < least[s] * len(wanted):
-                        continue  # no more positions can be shared than have their word in the window
+                    passage = ids[start:end].tolist()
                     share, tail = lcs(wanted, passage) / len(wanted), bench.answers[s]
                     if share >= least[s]:
                         answer = lcs(tail, passage) / len(tail) if len(tail) else 0.0
                         if share >= min_lcs or answer >= min_answer:
-                            found.append((doc_ids[row[b]], item, first - int(words[row[b]]), float(cosine[b, s]), share, answer))
+                            found.append((doc_ids[row[b]], item, start - int(words[row[b]]), float(cosine[b, s]), share, answer))
                 columns = list(zip(*found)) or [()] * 6
                 kinds = [pa.int64()] * 3 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "first_word", "cosine", "lcs", "answer"])
