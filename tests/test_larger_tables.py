@@ -11,6 +11,7 @@ from tidemark.operators import alerts as A
 from tidemark.operators import board as B
 from tidemark.operators import graph as G
 from tidemark.operators import ledger as L
+from tidemark.operators import phrases as P
 from tidemark.operators import rolling as R
 from tidemark.plans.alerts import calibration_run
 from tidemark.plans.registry import ORACLES, QUERIES
@@ -121,3 +122,11 @@ def test_regimes_hand_on_days_that_tell_and_the_same_releases(spark, tmp_path):
         new = [i for i in range(len(hits)) if i == 0 or hits[i][0] - hits[i - 1][0] > 11]
         assert [run for _, run in hits] == [sum(j <= i for j in new) for i in range(len(hits))]
     assert len(days) < df.count() / 2 and any(r["qualifies"] for r in days)
+
+
+def test_frequent_phrases_are_counted_once_a_round(spark):
+    """What chooses among the counts reads them from files, however often."""
+    items = spark.createDataFrame([("CNBC", "T", f"widget demand lifts supplier {i % 3}", f"https://h{i}.example/") for i in range(9)], "source string, ticker string, title string, url string")
+    plans = []
+    got = P.most_frequent(items, 2, None, lambda found: plans.append(found._jdf.queryExecution().optimizedPlan().toString()) or found)
+    assert got.count() == 2 and plans and not any("Aggregate" in x or "Generate" in x for x in plans)

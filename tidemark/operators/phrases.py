@@ -55,7 +55,8 @@ def most_frequent(items: DataFrame, k: int, sources: Sequence[str] | None = V.NE
     Only phrases of buckets that reach a bound are then counted by themselves; once k rows reach it none of the
     others can come before them. The bound starts at half the k-th largest total and falls by `step`
     until then, or to 1, where all phrases are counted: at once where half of all rows are in the buckets
-    already. `fit` may add to n what `earlier` (phrase, n) holds, and no more.
+    already. `fit` may add to n what `earlier` (phrase, n) holds, and no more; it gets counts that are
+    written once a round, as it may read them several times.
     """
     shared_dir(items.sparkSession)  # checkpoints need a folder
     every = grams(items, sources)
@@ -67,7 +68,7 @@ def most_frequent(items: DataFrame, k: int, sources: Sequence[str] | None = V.NE
     while True:
         heavy = totals.filter(F.col("total") >= bound).select("bucket")
         rows = counted(every.withColumn("bucket", _bucket(buckets)).join(F.broadcast(heavy), "bucket", "left_semi"))  # `buckets` numbers at most
-        rows = rows if fit is None else fit(rows)
+        rows = rows if fit is None else fit(rows.checkpoint())
         found = rows.filter(F.col("n") >= bound).orderBy(F.desc("n"), "phrase").limit(k).checkpoint()  # k rows
         if bound == 1 or found.count() == k:
             return found
